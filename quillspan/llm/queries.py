@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import components, lookalike, splitleak
+from quillspan.llm import components, leakage, lookalike, splitleak
 from quillspan.session import table
 
 
+def _exam(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "documents"), "doc_id", "text", table(spark, d, "exam_item"), "item_id", "text"
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.shared_runs(*_exam(spark, d))
+
+
+def p1_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.paraphrases(*_exam(spark, d))
+
+
 IMAGE_CODES = ["writer", "notebook", "sheet"]
 SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
@@ -49,5 +61,5 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(rows, "text").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms)}
 ORACLE: dict[str, str] = {}

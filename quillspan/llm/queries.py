@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import components, leakage, lookalike, splitleak
+from quillspan.llm import components, leakage, lookalike, personal, splitleak
 from quillspan.session import table
 
 
@@ -61,5 +61,13 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(rows, "text").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_items(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(table(spark, d, "documents").select("doc_id", "text"), "text", "key of the test tables").select("doc_id", "redacted")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms, p8_found, p8_redacted)}
 ORACLE: dict[str, str] = {}

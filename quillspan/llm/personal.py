@@ -152,7 +152,7 @@ def given_forms() -> frozenset[str]:
     return frozenset(out)
 
 
-_PATRONYMIC = re.compile(r"(?:[ое]вич|ич)(?:а|у|ем|ом|е)?|(?:[ое]вн|ичн|инишн)(?:а|ы|е|у|ой)")
+_PATRONYMIC = re.compile(r"(?:(?:[ое]в|ь|[мтк])ич(?:а|у|ем|ом|е)?|(?:[ое]вн|ичн|инишн)(?:а|ы|е|у|ой))$")
 _SURNAME = re.compile(
     r".+(?:[оеё]в|[иы]н)(?:а|у|ым|е|ой|ы)?|.+(?:ск|цк)(?:ий|ого|ому|им|ом|ая|ой|ую)|.+(?:енко|ук|юк|ян)"
     r"|.+(?:[oe]v|in)a?(?:ning|ni|ga|dan)?|.+(?:man|son|sen|ley|field|ton|by|well|worth|wood|burn)(?:'s)?"
@@ -174,7 +174,7 @@ def _classify(token: str) -> str:
     # one-letter and mixed-case tokens aren't parts of a name
     if len(low) < 4 or not (token[1:].islower() or token.isupper() or "-" in token or "'" in low):
         return ""
-    if _PATRONYMIC.fullmatch(low[-6:]) or any(_PATRONYMIC.fullmatch(low[-k:]) for k in (3, 4, 5)):
+    if len(low) > 5 and _PATRONYMIC.search(low):
         return "P"
     return "S" if _SURNAME.fullmatch(low) else ""
 

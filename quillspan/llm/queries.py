@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import components, leakage, lookalike, personal, splitleak
+from quillspan.llm import components, leakage, lookalike, mixture, packing, personal, splitleak, tokens
 from quillspan.session import table
 
 
@@ -61,6 +61,27 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(rows, "text").select("tbl", "id", "form")
 
 
+def _sized(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return tokens.with_sizes(table(spark, d, "documents"), "doc_id", "text", *keep)
+
+
+def p6_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(_sized(spark, d)))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    made, _ = mixture.mix(_sized(spark, d, "source"), table(spark, d, "mix_target"))
+    return mixture.shuffled(made).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(_sized(spark, d, "source"), table(spark, d, "mix_target"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find_items(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "kind", "start_pos")
 
@@ -69,5 +90,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(table(spark, d, "documents").select("doc_id", "text"), "text", "key of the test tables").select("doc_id", "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms, p6_bins, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
 ORACLE: dict[str, str] = {}

@@ -62,34 +62,49 @@ def align_words(key: list[str], read: list[str], ignore_case: bool = False) -> l
     leaving out and putting in); on ties a pair comes before leaving out, and that before putting in."""
     plain = lambda w: (w.lower() if ignore_case else w).replace("ё", "е").replace("Ё", "Е")
     k_plain, r_plain = [plain(w) for w in key], [plain(w) for w in read]
-    known: dict[tuple[str, str], float] = {}
-
-    def pair_cost(i: int, j: int) -> float:
-        if k_plain[i] == r_plain[j]:
-            return 0.0
-        at = key[i].lower(), read[j].lower()
-        if at not in known:
-            s = SequenceMatcher(None, *at).ratio()
-            known[at] = 1 - 0.6 * s if s >= 0.5 else 2.05
-        return known[at]
-
+    k_low, r_low = [w.lower() for w in key], [w.lower() for w in read]
     n, m = len(key), len(read)
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    step = np.zeros((n + 1, m + 1), np.int8)
-    step[1:, 0], step[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best, how = cost[i - 1, j - 1] + pair_cost(i - 1, j - 1), 0
-            if cost[i - 1, j] + 1 < best:
-                best, how = cost[i - 1, j] + 1, 1
-            if cost[i, j - 1] + 1 < best:
-                best, how = cost[i, j - 1] + 1, 2
-            cost[i, j], step[i, j] = best, how
+    # the matched share can't be more than the letters two words have in common, so few pairs are compared in full
+    letters = {c: i for i, c in enumerate(sorted(set("".join(k_low + r_low))))}
+
+    def counts(words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(letters) + 1), np.int32)
+        for i, w in enumerate(words):
+            for c in w:
+                out[i, letters[c]] += 1
+        return out
+
+    ck, cr = counts(k_low), counts(r_low)
+    possible = [np.minimum(row, cr).sum(1) * 4 >= row.sum() + cr.sum(1) for row in ck]
+    known: dict[tuple[str, str], float] = {}
+    cost = [list(map(float, range(m + 1)))]
+    step = [[2] * (m + 1)]
+    for i in range(n):
+        row, how_row, last, may = [i + 1.0], [1], cost[-1], possible[i]
+        for j in range(m):
+            if k_plain[i] == r_plain[j]:
+                c = 0.0
+            elif not may[j]:
+                c = 2.05
+            else:
+                at = k_low[i], r_low[j]
+                c = known.get(at)
+                if c is None:
+                    s = SequenceMatcher(None, *at).ratio()
+                    c = known[at] = 1 - 0.6 * s if s >= 0.5 else 2.05
+            best, how = last[j] + c, 0
+            if last[j + 1] + 1 < best:
+                best, how = last[j + 1] + 1, 1
+            if row[j] + 1 < best:
+                best, how = row[j] + 1, 2
+            row.append(best)
+            how_row.append(how)
+        cost.append(row)
+        step.append(how_row)
     out: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:
-        how = step[i, j]
+        how = step[i][j]
         i, j = i - (how != 2), j - (how != 1)
         out.append((i if how != 2 else None, j if how != 1 else None))
     return out[::-1]

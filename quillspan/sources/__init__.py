@@ -1,0 +1 @@
+"""Reading and writing the project's file formats."""

@@ -200,7 +200,8 @@ def shred(rows: DataFrame, key: str, body: str, root: Node) -> DataFrame:
                 shred_record(value, root, sink)
                 out["key"].append(k)
                 out["columns"].append({p: {"rep": r, "def": d, "vals": v} for p, (r, d, v) in sink.items()})
-            yield pd.DataFrame(out)
+            if out["key"]:
+                yield pd.DataFrame(out)
 
     return (
         rows.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{body}`").alias("body"))

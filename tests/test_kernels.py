@@ -1,0 +1,112 @@
+import itertools
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillspan.functions import kernels as K
+from quillspan.operators import algebra as A
+
+
+def test_assignment_is_the_best():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = rng.integers(1, 5, 2)
+        s = rng.random((n, m)).round(2)
+        got = K.assign(s)
+        total = sum(s[i, j] for i, j in got)
+        small, large = (range(n), range(m)) if n <= m else (range(m), range(n))
+        best = max(sum(s[i, j] if n <= m else s[j, i] for i, j in zip(small, p)) for p in itertools.permutations(large, int(min(n, m))))
+        assert abs(total - best) < 1e-9
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == min(n, m)
+    assert K.assign(np.zeros((0, 3))) == []
+
+
+def _align_plainly(key, read):
+    from difflib import SequenceMatcher
+
+    n, m = len(key), len(read)
+    d = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i == 0 or j == 0:
+                d[i][j] = i + j
+                continue
+            s = SequenceMatcher(None, key[i - 1].lower(), read[j - 1].lower()).ratio()
+            sub = 0 if key[i - 1] == read[j - 1] else 1 - 0.6 * s if s >= 0.5 else 2.05
+            d[i][j] = min(d[i - 1][j - 1] + sub, d[i - 1][j] + 1, d[i][j - 1] + 1)
+    return d[n][m]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["дом", "дым", "кот", "кит", "собака", "сабака"]), max_size=6), st.lists(st.sampled_from(["дом", "дам", "кот", "сабака", "река"]), max_size=6))
+def test_alignment_has_the_least_cost(key, read):
+    from difflib import SequenceMatcher
+
+    cost = 0.0
+    pairs = K.align_words(key, read)
+    for i, j in pairs:
+        if i is None or j is None:
+            cost += 1
+        elif key[i] != read[j]:
+            s = SequenceMatcher(None, key[i].lower(), read[j].lower()).ratio()
+            cost += 1 - 0.6 * s if s >= 0.5 else 2.05
+    assert abs(cost - _align_plainly(key, read)) < 1e-9
+    assert [i for i, _ in pairs if i is not None] == list(range(len(key)))
+    assert [j for _, j in pairs if j is not None] == list(range(len(read)))
+
+
+def test_indel_ratio_and_word_edits():
+    def lcs(a, b):
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        return d[-1][-1]
+
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = ("".join(rng.choices("abв", k=rng.randint(0, 9))) for _ in range(2))
+        want = 100.0 if not a + b else 200 * lcs(a, b) / len(a + b)
+        assert abs(K.indel_ratio(a, b) - want) < 1e-9
+    assert K.word_edits("a b c".split(), "a x c d".split()) == (2, 2)
+    assert K.word_edits([], ["a"]) == (1, 0)
+
+
+def test_ctc():
+    lp = np.log(np.full((6, 3), 0.05))
+    for t, k in enumerate([1, 1, 0, 2, 0, 0]):
+        lp[t, k] = np.log(0.9)
+    assert K.ctc_spans(lp, [1, 2]) == [(0, 1), (3, 3)]
+    assert K.ctc_spans(lp[:1], [1, 2]) is None
+    total = -np.inf
+    for path in itertools.product(range(3), repeat=6):
+        out = [k for k, _ in itertools.groupby(path) if k]
+        if out == [1, 2]:
+            total = np.logaddexp(total, sum(lp[t, k] for t, k in enumerate(path)))
+    assert abs(K.ctc_score(lp, [1, 2]) - total) < 1e-9
+
+
+def test_edit_events():
+    assert K.edit_events("слово", "слава") == [("sub", "о", "а"), ("sub", "о", "а")]
+    assert K.edit_events("кот", "коот") == [("dbl", "о", "о")]
+    assert K.edit_events("кот", "кт") == [("del", "о", "")]
+
+
+def test_answer_forms():
+    assert A.equal_answers("5/6", r"\frac{5}{6}")
+    assert A.equal_answers(r"\frac{5}{6}", "5/6 || 0.8333")
+    assert A.equal_answers("4", "x=4", "equation_solution") and A.equal_answers("x=4", "x=4", "equation_solution")
+    assert A.equal_answers("2(x+1)", "2x+2") and not A.equal_answers("3/9", "5/6")
+    assert A.equal_answers("0,5", "1/2", "number") and A.equal_answers("20 m/s", "20 m/s", "unit_value", 0.01)
+    assert A.equal_answers("{-2, 3}", "3, -2", "set") and A.equal_answers("12 : 4 = 3", "3")
+    assert A.equal_answers("(x^2-1)/(x-1)", "x+1") and A.equal_answers("√16", "4")
+    assert not A.equal_answers("((", "5") and A.equal_answers("((", " ( (")
+
+
+def test_wrong_steps():
+    assert A.first_wrong_step(["3x+5=20", "3x=15", "x=5"]) is None
+    assert A.first_wrong_step(["3x+5=20", "3x=25", "x=25/3"]) == 1
+    assert A.first_wrong_step([r"\frac{2}{3}+\frac{1}{6}", r"\frac{2+1}{3+6}", r"\frac{3}{9}"]) == 1
+    assert A.first_wrong_step(["x^2=4", "x^2-4=0", "??"]) is None

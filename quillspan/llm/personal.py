@@ -174,7 +174,7 @@ def _classify(token: str) -> str:
     # one-letter and mixed-case tokens aren't parts of a name
     if len(low) < 4 or not (token[1:].islower() or token.isupper() or "-" in token or "'" in low):
         return ""
-    if len(low) > 5 and _PATRONYMIC.search(low):
+    if len(low) > 4 and _PATRONYMIC.search(low):
         return "P"
     return "S" if _SURNAME.fullmatch(low) else ""
 

@@ -40,6 +40,32 @@ def indel_ratio_col(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Least number of inserted, deleted and replaced code points: one column at a time in the bits of an integer (Myers 1999)."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    pv, mv, score = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+        score += (ph >> last & 1) - (mh >> last & 1)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+    return score
+
+
+@F.pandas_udf(T.LongType())
+def edit_distance_col(a: pd.Series, b: pd.Series) -> pd.Series:
+    """For long texts, where a table of all cells would be too slow."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 def word_edits(ref: list[str], hyp: list[str]) -> tuple[int, int]:
     """(edits, hits): the least number of word edits, and the most equal words in an alignment of that cost."""
     row = [(j, 0) for j in range(len(hyp) + 1)]

@@ -24,8 +24,10 @@ def aligned(key: pd.Series, read: pd.Series, ignore_case: pd.Series) -> pd.Serie
 def align(jobs: DataFrame, job: str = "job_id") -> DataFrame:
     """Jobs (job, key array of tokens, read array of tokens with bbox, line_id, confidence, ignore_case) as one row a pair, in order.
 
-    Alignment is per job, in the same row: no shuffle.
+    Alignment is per job, in the row, and costs far more than moving the words: jobs are spread over all tasks
+    first. Windows and groups by job that follow need no other shuffle.
     """
+    jobs = jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), job)
     texts = lambda c: F.transform(F.col(c), lambda t: t["text"])
     made = jobs.withColumn("pairs", aligned(texts("key"), texts("read"), F.coalesce("ignore_case", F.lit(False))))
     return made.select("*", F.posexplode("pairs").alias("n", "pair")).select(

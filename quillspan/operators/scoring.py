@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspan.functions import text as T
-from quillspan.functions.kernels import indel_ratio_col, word_edits_col
+from quillspan.functions.kernels import edit_distance_col, indel_ratio_col, word_edits_col
 
 
 def prediction_lines(pred: DataFrame, page: str, value: str) -> DataFrame:
@@ -57,7 +57,9 @@ def aggregate_lines(only: Column | None = None) -> list[Column]:
 def page_scores(lines: DataFrame, page: str, place: str) -> DataFrame:
     """One row a page. The page error rate aligns the whole page: lines in order, joined by line ends."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), "ref", F.coalesce("hyp", F.lit("")).alias("hyp"))))
-    df = lines.groupBy(page).agg(
+    # the page alignment is what costs: pages are spread over all tasks, and the grouping needs no other shuffle
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = lines.repartition(parts, page).groupBy(page).agg(
         ordered.alias("o"),
         F.avg("cer").alias("mean_cer"),
         ratio(F.count("cer"), F.count("*")).alias("line_recall"),
@@ -69,7 +71,9 @@ def page_scores(lines: DataFrame, page: str, place: str) -> DataFrame:
         F.count_if("perfect").alias("n_perfect"),
     )
     joined = lambda f: F.array_join(F.transform("o", lambda x: x[f]), "\n")
-    return df.withColumn("page_cer", T.char_error_rate(joined("ref"), joined("hyp"))).withColumn("line_cer", F.coalesce("mean_cer", F.lit(1.0))).drop("o", "mean_cer")
+    df = df.withColumns({"page_ref": joined("ref"), "page_hyp": joined("hyp")}).withColumn("page_edits", edit_distance_col("page_ref", "page_hyp"))
+    rate = F.when(F.length("page_ref") == 0, F.when(F.length("page_hyp") == 0, 0.0).otherwise(1.0)).otherwise(F.col("page_edits") / F.length("page_ref"))
+    return df.withColumn("page_cer", rate).drop("page_ref", "page_hyp", "page_edits").withColumn("line_cer", F.coalesce("mean_cer", F.lit(1.0))).drop("o", "mean_cer")
 
 
 def overall(pages: DataFrame) -> DataFrame:

@@ -74,6 +74,22 @@ def test_indel_ratio_and_word_edits():
     assert K.word_edits([], ["a"]) == (1, 0)
 
 
+def test_edit_distance():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("абв", k=rng.choice([0, 1, 7, 70]))) for _ in range(2))
+        assert K.edit_distance(a, b) == plain(a, b)
+
+
 def test_ctc():
     lp = np.log(np.full((6, 3), 0.05))
     for t, k in enumerate([1, 1, 0, 2, 0, 0]):

@@ -5,12 +5,12 @@ one of smallest rolling hash, and records of different splits that share a selec
 place are candidates; their seeds must be collinear, and the whole texts are aligned.
 
 Two texts that share an unedited run of ``seed + window - 1`` characters (18 by default) always share a
-selected seed. A seed that more than ``hot`` held-out texts hold is never dropped: on both sides it is
-exchanged for the seed of twice the length at the same place, again and again until it is rare or reaches the
-end of the text. Which seeds are too frequent goes to the tasks as a bitmap of fixed size; two seeds with one
-bit only make a rare one longer too, on both sides alike. A bitmap of the held-out seeds keeps train seeds that
-meet none from being shuffled; where the data outgrow it, it lets more through and drops nothing. Copies are one class, so a heading repeated a million times is one text here: each task gives
-the seeds of a class once, and pairs are of classes.
+selected seed, however many texts hold it. A seed that more than ``hot`` held-out texts hold is joined by seed and
+band of length: texts within ``share`` lie in one band or in two neighbouring ones, so held-out rows stand in three
+bands and nothing is lost, while the work on one seed is spread over tasks. Which seeds are hot goes to the tasks as a
+bitmap of fixed size; two seeds with one bit only put a rare one into bands too, on both sides alike. ``hot`` thus
+changes the time, never the result. A bitmap of the held-out seeds keeps train seeds that
+meet none from being shuffled; where the data outgrow it, it lets more through and drops nothing.
 
 With its seeds a text carries its letter counts, folded to 32 numbers of four bits (more than 15 count as 15).
 Two texts within d edits differ by at most d in the counts one has more and in those it has less, so most
@@ -110,22 +110,7 @@ def _sketches(codes: np.ndarray, length: np.ndarray, classes: np.ndarray) -> np.
     return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def _surplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum of the counts by which a exceeds b, over the 16 counts of a word, eight at a time."""
-    low, total = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0)
-    for shift in (np.uint64(0), np.uint64(4)):
-        d = ((a >> shift & low) | np.uint64(0x8080808080808080)) - (b >> shift & low)  # 128 + a - b in each byte
-        more = d >> np.uint64(7) & np.uint64(0x0101010101010101)
-        total = total + ((d & more * np.uint64(0x7F)) * np.uint64(0x0101010101010101) >> np.uint64(56))
-    return total
-
-
-def count_gap(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """The least number of edits between two texts, as far as their sketches tell."""
-    return np.maximum(_surplus(a0, b0) + _surplus(a1, b1), _surplus(b0, a0) + _surplus(b1, a1)).astype(np.int64)
-
-
-SEEDS = "seed long, cls long, at long, s0 long, s1 long"  # at = place * 2**32 + length
+SEEDS = "seed long, band int, cls long, at long, s0 long, s1 long"  # at = place * 2**32 + length
 BITS = 1 << 27
 
 
@@ -178,20 +163,15 @@ def bitmap_of(values: DataFrame, column: str) -> Bitmap:
     return Bitmap({r.block: bytes(r.m) for r in rows})
 
 
-def _stretch(codes: np.ndarray, at: np.ndarray, rest: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``size`` codes from each place, or of what is left of the text."""
-    h = np.full(len(at), size, np.uint64)
-    for i in range(size):
-        c = codes[np.minimum(at + i, len(codes) - 1)].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        h = np.where(i < rest, h * _MIX + (c ^ (c >> np.uint64(31))), h)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
+def _bands(length: np.ndarray, share: float) -> np.ndarray:
+    """Bands of length from 2 up, such that two lengths within ``share`` of the longer lie in one or in neighbours."""
+    return np.floor(np.log(length) / -np.log1p(-share)).astype(np.int64) + 2
 
 
-def _seeds_of(seed: int, window: int, hot, only=None, classes=None, newest: bool = False):
-    """Seeds of the texts of a partition. ``hot``: broadcast bitmaps of the seeds to be made longer, level by level;
-    ``only``: broadcast bitmap outside which seeds are of no use; ``newest``: just the seeds of the last level that can be longer still."""
+def _seeds_of(seed: int, window: int, classes=None, only=None, hot=None, near: tuple[int, ...] = (), share: float = 0.0):
+    """Seeds of the texts of a partition. ``only``: broadcast bitmap outside which seeds are of no use; ``hot``: broadcast
+    bitmap of the seeds that stand in the bands of length ``near`` to their text's own, while others stand in band 0.
+    Without ``classes`` seeds and classes only."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -210,25 +190,32 @@ def _seeds_of(seed: int, window: int, hot, only=None, classes=None, newest: bool
                 continue
             at = _selected(h, length, start, seed, window)
             text_of = np.searchsorted(start, at, side="right") - 1
-            rest = length[text_of] - (at - start[text_of])
-            h, size, last = h[at], seed, np.ones(len(at), bool)
-            for bitmap in hot.value:
-                longer = last & (rest > size) & bitmap.has(h)
-                size *= 2
-                h[longer] = _stretch(codes, at[longer], rest[longer], size)
-                last = longer
-            keep = last & (rest > size) if newest else only.value.has(h) if only is not None else np.ones(len(at), bool)
-            at, text_of, h = at[keep], text_of[keep], h[keep]
-            out = {"seed": h.view(np.int64)}
-            if not newest:
-                sketches = _sketches(codes, length, classes.value)[text_of]
-                out |= {
+            h = h[at]
+            if only is not None:
+                keep = only.value.has(h)
+                at, text_of, h = at[keep], text_of[keep], h[keep]
+            if classes is None:
+                yield pd.DataFrame({"seed": h.view(np.int64), "cls": batch["cls"].to_numpy()[text_of]})
+                continue
+            band = np.zeros(len(h), np.int64)
+            if hot.value.packed:
+                often = hot.value.has(h)
+                times = np.where(often, len(near), 1)
+                rows = np.repeat(np.arange(len(h)), times)
+                turn = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+                at, text_of, h = at[rows], text_of[rows], h[rows]
+                band = np.where(often[rows], _bands(length[text_of], share) + np.array(near)[turn], 0)
+            sketches = _sketches(codes, length, classes.value)[text_of]
+            yield pd.DataFrame(
+                {
+                    "seed": h.view(np.int64),
+                    "band": band.astype(np.int32),
                     "cls": batch["cls"].to_numpy()[text_of],
                     "at": ((at - start[text_of]) << 32) + length[text_of],
                     "s0": sketches[:, 0],
                     "s1": sketches[:, 1],
                 }
-            yield pd.DataFrame(out)
+            )
 
     return make
 
@@ -254,45 +241,56 @@ def keyed(rows: DataFrame, key: str, text: str, split: str, min_chars: int) -> D
     return made.select("id", "side", F.xxhash64("key", F.lit(1)).alias("cls"), "key")
 
 
-def _joined(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+def _low(word: Column, shift: int) -> Column:
+    return F.shiftright(word, shift).bitwiseAND(0x0F0F0F0F0F0F0F0F)
+
+
+def _more(a: Column, b: Column, shift: int) -> Column:
+    """In each byte the count by which a exceeds b, else 0; no step leaves the range of a long."""
+    d = _low(a, shift).bitwiseOR(0x1010101010101010) - _low(b, shift)  # 16 + a - b in each byte
+    return d.bitwiseAND(F.shiftright(d, 4).bitwiseAND(0x0101010101010101) * 15)
+
+
+def _surplus_col(a: Column, b: Column) -> Column:
+    """Sum of the counts by which a exceeds b, over the 16 counts of a word: the remainder by 255 adds the bytes, which make 240 at most."""
+    return (_more(a, b, 0) + _more(a, b, 4)) % 255
+
+
+def _side(seeds: DataFrame, share: float, prefix: str) -> DataFrame:
+    """Seeds with what the join compares."""
+    n = F.col("at").bitwiseAND(0xFFFFFFFF)
+    total = sum((_low(F.col(s), 0) + _low(F.col(s), 4)) % 255 for s in ("s0", "s1"))
+    return seeds.select(
+        "seed", "band", *[F.col(c).alias(f"{prefix}_{c}") for c in ("cls", "s0", "s1")],
+        F.shiftright("at", 32).alias(f"{prefix}_place"), n.alias(f"{prefix}_n"),
+        F.floor(n * share + 1e-9).alias(f"{prefix}_allowed"), total.alias(f"{prefix}_total"),
+    )
+
+
+def _joined(train: DataFrame, held: DataFrame, share: float) -> DataFrame:
     """Class pairs that share a seed, collinear and within the allowed letter counts."""
-    left = a.select("seed", F.col("cls").alias("train_cls"), F.col("at").alias("ta"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = b.select("seed", F.col("cls").alias("held_cls"), F.col("at").alias("tb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    pa, pb = F.shiftright("ta", 32), F.shiftright("tb", 32)
-    na, nb = F.col("ta").bitwiseAND(0xFFFFFFFF), F.col("tb").bitwiseAND(0xFFFFFFFF)
-    allowed = F.floor(F.greatest(na, nb) * share + 1e-9)
+    c = F.col
+    allowed = F.greatest("train_allowed", "held_allowed")
     # collinear: the shift between two places is made by insertions and deletions before the seed, the difference
     # of what follows by those after it, and together they can't exceed the allowed edits
-    shift = F.abs(pa - pb) + F.abs((na - pa) - (nb - pb))
-    near = left.join(right, "seed").where((F.col("train_cls") != F.col("held_cls")) & (shift <= allowed))
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sketches = [batch[c].to_numpy(np.int64).view(np.uint64) for c in ("a0", "a1", "b0", "b1")]
-            kept = batch.loc[count_gap(*sketches) <= batch["allowed"].to_numpy(), ["train_cls", "held_cls"]]
-            yield kept.drop_duplicates()
-
-    made = near.select("train_cls", "held_cls", allowed.cast("int").alias("allowed"), "a0", "a1", "b0", "b1")
-    return made.mapInPandas(alike, "train_cls long, held_cls long")
+    shift = F.abs(c("train_place") - c("held_place")) + F.abs((c("train_n") - c("train_place")) - (c("held_n") - c("held_place")))
+    # what held has more is what train has more, less the difference of all counts
+    more = _surplus_col(c("train_s0"), c("held_s0")) + _surplus_col(c("train_s1"), c("held_s1")) + F.greatest(F.lit(0).cast("long"), c("held_total") - c("train_total"))
+    near = _side(train, share, "train").join(_side(held, share, "held"), ["seed", "band"]).where((c("train_cls") != c("held_cls")) & (shift <= allowed) & (more <= allowed))
+    return near.select("train_cls", "held_cls")
 
 
 def class_pairs(members: DataFrame, share: float, seed: int, window: int, hot: int) -> DataFrame:
     """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
     sc = members.sparkSession.sparkContext
     side = lambda k: members.where(f"side = {k}").select("cls", "key")
-    bitmaps: list[Bitmap] = []
-    while True:
-        levels = sc.broadcast(bitmaps)
-        newest = side(HELD).mapInPandas(_seeds_of(seed, window, levels, newest=True), "seed long")
-        often = newest.groupBy("seed").agg(F.count("*").alias("n")).where(f"n > {hot}")
-        bitmap = bitmap_of(often, "seed")
-        if not bitmap.packed:
-            break
-        bitmaps = [*bitmaps, bitmap]
     classes = sc.broadcast(letter_classes(side(HELD)))
-    held = side(HELD).mapInPandas(_seeds_of(seed, window, levels, classes=classes), SEEDS)
-    useful = sc.broadcast(bitmap_of(held, "seed"))
-    train = side(TRAIN).mapInPandas(_seeds_of(seed, window, levels, useful, classes), SEEDS)
+    seeds = side(HELD).mapInPandas(_seeds_of(seed, window), "seed long, cls long")
+    useful = sc.broadcast(bitmap_of(seeds, "seed"))
+    often = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(f"n > {hot}")
+    crowded = sc.broadcast(bitmap_of(often, "seed"))
+    held = side(HELD).mapInPandas(_seeds_of(seed, window, classes, None, crowded, (-1, 0, 1), share), SEEDS)
+    train = side(TRAIN).mapInPandas(_seeds_of(seed, window, classes, useful, crowded, (0,), share), SEEDS)
     candidates = written(_joined(train, held, share).distinct())
     wanted = sc.broadcast(bitmap_of(candidates.select(F.col("train_cls").alias("cls")).union(candidates.select("held_cls")), "cls"))
 

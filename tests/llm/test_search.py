@@ -84,6 +84,20 @@ def test_overlaps_against_brute_force(spark):
     assert S.row_pairs(*S.overlaps(df.where("1 = 0"), "label_id", "text", "split")).count() == 0
 
 
+def test_frequent_seeds_lose_no_pair(spark):
+    rng = random.Random(8)
+    tails = ["".join(rng.choices("абвгдежзиклмнопрст ", k=14)) for _ in range(60)]
+    # all share one opening; each held text differs from its train text right after it and in every few letters
+    rows = [(i, "контрольная работа по теме " + t, "train") for i, t in enumerate(tails)]
+    rows += [(100 + i, "контрольная работа по теме " + "".join("ы" if k in (0, 7) else c for k, c in enumerate(t)), "val") for i, t in enumerate(tails)]
+    df = spark.createDataFrame(rows, "i long, t string, s string")
+    key = {i: squeezed_key(t) for i, t, _ in rows}
+    want = {(i, j) for i in range(60) for j in range(100, 160) if _levenshtein(key[i], key[j]) * 100 <= 15 * max(len(key[i]), len(key[j]))}
+    assert len(want) >= 60
+    for hot in (10**6, 16, 3):
+        assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", hot=hot)).collect()} == want
+
+
 def test_long_texts_overlap(spark):
     rng = random.Random(5)
     t = " ".join(_texts(rng, 300))

@@ -11,6 +11,8 @@ bands and nothing is lost, while the work on one seed is spread over tasks. Whic
 bitmap of fixed size; two seeds with one bit only put a rare one into bands too, on both sides alike. ``hot`` thus
 changes the time, never the result. A bitmap of the held-out seeds keeps train seeds that
 meet none from being shuffled; where the data outgrow it, it lets more through and drops nothing.
+Copies are one class, so a heading repeated a million times is one text here: a seed of a class counts and is joined
+once, whatever the number of tasks that hold copies, and pairs are of classes.
 
 With its seeds a text carries its letter counts, folded to 32 numbers of four bits (more than 15 count as 15).
 Two texts within d edits differ by at most d in the counts one has more and in those it has less, so most
@@ -257,10 +259,10 @@ def _surplus_col(a: Column, b: Column) -> Column:
 
 
 def _side(seeds: DataFrame, share: float, prefix: str) -> DataFrame:
-    """Seeds with what the join compares."""
+    """Each place of a seed in a class once, whatever the number of tasks that hold copies, with what the join compares."""
     n = F.col("at").bitwiseAND(0xFFFFFFFF)
     total = sum((_low(F.col(s), 0) + _low(F.col(s), 4)) % 255 for s in ("s0", "s1"))
-    return seeds.select(
+    return seeds.repartition("seed", "band").distinct().select(
         "seed", "band", *[F.col(c).alias(f"{prefix}_{c}") for c in ("cls", "s0", "s1")],
         F.shiftright("at", 32).alias(f"{prefix}_place"), n.alias(f"{prefix}_n"),
         F.floor(n * share + 1e-9).alias(f"{prefix}_allowed"), total.alias(f"{prefix}_total"),
@@ -287,7 +289,8 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, hot: i
     classes = sc.broadcast(letter_classes(side(HELD)))
     seeds = side(HELD).mapInPandas(_seeds_of(seed, window), "seed long, cls long")
     useful = sc.broadcast(bitmap_of(seeds, "seed"))
-    often = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(f"n > {hot}")
+    # a class counts once, whatever the number of tasks that hold copies
+    often = seeds.repartition("seed").distinct().groupBy("seed").agg(F.count("*").alias("n")).where(f"n > {hot}")
     crowded = sc.broadcast(bitmap_of(often, "seed"))
     held = side(HELD).mapInPandas(_seeds_of(seed, window, classes, None, crowded, (-1, 0, 1), share), SEEDS)
     train = side(TRAIN).mapInPandas(_seeds_of(seed, window, classes, useful, crowded, (0,), share), SEEDS)

@@ -98,6 +98,15 @@ def test_frequent_seeds_lose_no_pair(spark):
         assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", hot=hot)).collect()} == want
 
 
+def test_copies_in_many_tasks(spark):
+    # each place of a seed in a class meets the other side once, not once a task that holds a copy
+    seeds = spark.createDataFrame([(1, 0, 5, 3 << 32 | 44, 7, 7)] * 40 + [(1, 0, 5, 30 << 32 | 44, 7, 7)], S.SEEDS).repartition(20)
+    assert sorted(r.held_place for r in S._side(seeds, 0.15, "held").collect()) == [3, 30]
+    t = "самостоятельная работа ученика пятого класса."
+    df = spark.createDataFrame([(i, t, "val") for i in range(8)] + [(100, t[:-1], "train")], "i long, t string, s string").repartitionByRange(9, "i")
+    assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", hot=3)).collect()} == {(i, 100) for i in range(8)}
+
+
 def test_long_texts_overlap(spark):
     rng = random.Random(5)
     t = " ".join(_texts(rng, 300))

@@ -261,14 +261,15 @@ def shared_runs(
     return _union(parts, docs, "doc_id long, item_id long").distinct()
 
 
-def _passages(ids: np.ndarray, text_no: np.ndarray, width: int, stride: int, nothing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping passages of up to ``width`` words; the last of a text reaches its end. Padded and unknown words are ``nothing``."""
+def _passages(ids: np.ndarray, text_no: np.ndarray, width: int, stride: int, nothing: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping passages of up to ``width`` words; the last of a text reaches its end. Padded and unknown words are ``nothing``.
+    ``every``: from every word on, also from those with fewer than ``width`` words to come."""
     if not len(ids):
         return np.empty((0, width), np.int64), np.empty(0, np.int64)
     n_texts = int(text_no[-1]) + 1
     first = np.searchsorted(text_no, np.arange(n_texts + 1))
     length = np.diff(first)
-    count = np.where(length > 0, np.maximum(1, -(-(length - width) // stride) + 1), 0)
+    count = length if every else np.where(length > 0, np.maximum(1, -(-(length - width) // stride) + 1), 0)
     owner = np.repeat(np.arange(n_texts), count)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = (first[owner] + step * stride)[:, None] + np.arange(width)[None, :]
@@ -317,24 +318,31 @@ def paraphrases(
             for batch in batches:
                 if not len(batch):
                     continue
-                doc_passages, doc_no = _passages(*_unpack(batch), width, width // 2, nothing)
-                known = (doc_passages != nothing).sum(1) >= 4
-                doc_passages, doc_no = doc_passages[known], doc_no[known]
-                for s in range(0, len(doc_passages), 16384):
-                    q = doc_passages[s : s + 16384]
-                    i, j, cos = index.search(_vectors(q, table), cosine)
-                    for t in range(0, len(i), 65536):
-                        ii, jj, cc = i[t : t + 65536], j[t : t + 65536], cos[t : t + 65536]
-                        # answers first: they are cheap and rule most pairs out
-                        hit = np.stack([((q[ii] == rarest[jj, a][:, None]).any(1) & (rarest[jj, a] != nothing)) for a in range(rarest.shape[1])], 1).sum(1)
-                        ask = np.minimum((rarest[jj] != nothing).sum(1), rarest.shape[1])
-                        ok = (hit >= np.maximum(1, ask - 1)) & (n_words[jj] >= 4)
-                        ii, jj, cc, hit = ii[ok], jj[ok], cc[ok], hit[ok]
-                        got = lcs_lengths(passages[jj], q[ii], nothing) / np.maximum(1, n_words[jj])
-                        ok = got >= share
-                        yield pd.DataFrame(
-                            {"doc_id": batch["id"].to_numpy()[doc_no[s + ii[ok]]], "item_id": item_ids[item_no[jj[ok]]], "cosine": cc[ok].astype(float), "lcs_share": got[ok], "n_answers": hit[ok]}
-                        )
+                ids, text_no = _unpack(batch)
+                # passages from every word: whole documents, as many as have some 65536 words together
+                first = np.searchsorted(text_no, np.arange(len(batch) + 1))
+                cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(ids), 65536)), len(batch)))
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    x, y = first[lo], first[hi]
+                    doc_passages, doc_no = _passages(ids[x:y], text_no[x:y] - lo, width, 1, nothing, every=True)
+                    doc_no = doc_no + lo
+                    known = (doc_passages != nothing).sum(1) >= 4
+                    doc_passages, doc_no = doc_passages[known], doc_no[known]
+                    for s in range(0, len(doc_passages), 16384):
+                        q = doc_passages[s : s + 16384]
+                        i, j, cos = index.search(_vectors(q, table), cosine)
+                        for t in range(0, len(i), 65536):
+                            ii, jj, cc = i[t : t + 65536], j[t : t + 65536], cos[t : t + 65536]
+                            # answers first: they are cheap and rule most pairs out
+                            hit = np.stack([((q[ii] == rarest[jj, a][:, None]).any(1) & (rarest[jj, a] != nothing)) for a in range(rarest.shape[1])], 1).sum(1)
+                            ask = np.minimum((rarest[jj] != nothing).sum(1), rarest.shape[1])
+                            ok = (hit >= np.maximum(1, ask - 1)) & (n_words[jj] >= 4)
+                            ii, jj, cc, hit = ii[ok], jj[ok], cc[ok], hit[ok]
+                            got = lcs_lengths(passages[jj], q[ii], nothing) / np.maximum(1, n_words[jj])
+                            ok = got >= share
+                            yield pd.DataFrame(
+                                {"doc_id": batch["id"].to_numpy()[doc_no[s + ii[ok]]], "item_id": item_ids[item_no[jj[ok]]], "cosine": cc[ok].astype(float), "lcs_share": got[ok], "n_answers": hit[ok]}
+                            )
 
         parts.append(words.mapInPandas(search, schema))
     every = _union(parts, docs, schema)

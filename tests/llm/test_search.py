@@ -194,6 +194,18 @@ def test_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(1, 7), (3, 7)} and got.where("doc_id not in (1, 3)").count() == 0
 
 
+def test_paraphrases_at_every_place(spark):
+    rng = random.Random(6)
+    vocab = [f"слово{i}" for i in range(500)]
+    item = [f"вопрос{k}" for k in range(24)]
+    changed = [w if k % 5 else "замена" for k, w in enumerate(item)]
+    docs = [(n, " ".join([*rng.choices(vocab, k=n), *changed, *rng.choices(vocab, k=30)])) for n in range(25)]
+    # the words that are replaced stand in other documents, so that they aren't the item's rarest
+    docs += [(100 + i, " ".join(w for x in item[::5] for w in (x, *rng.choices(vocab, k=30)))) for i in range(60)]
+    got = K.paraphrases(spark.createDataFrame(docs, "d long, t string").coalesce(2), "d", "t", spark.createDataFrame([(7, " ".join(item))], "i long, t string"), "i", "t")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(n, 7) for n in range(25)}
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 6, (50, 12)), rng.integers(0, 6, (50, 12))

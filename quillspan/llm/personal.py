@@ -218,7 +218,8 @@ def names_in(text: str) -> Iterator[tuple[int, int]]:
 KINDS = ("email", "id_number", "phone", "address", "name")
 
 
-_SIGN = re.compile(r"@|at[\])}]|собака|kuchukcha| (?:dot|точка|nuqta) ", re.I)
+# whatever EMAIL matches holds a match of _AT
+_SIGN = re.compile(rf"{_AT}|at[\])}}]|собака|kuchukcha| (?:dot|точка|nuqta) ", re.I)
 _DIGITS = re.compile(r"\d[\d ().\-]*")
 
 

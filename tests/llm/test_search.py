@@ -4,6 +4,7 @@ import numpy as np
 
 from quillspan.llm import components as C
 from quillspan.llm import leakage as K
+from quillspan.llm import personal as P
 from quillspan.llm import splitleak as S
 from quillspan.llm.editdistance import distances
 from quillspan.llm.lookalike import squeezed_key, words
@@ -218,3 +219,9 @@ def test_lcs():
         return d[12, 12]
 
     assert K.lcs_lengths(a, b, 5).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_every_form_of_address_has_a_sign():
+    for form in ("ivan [ at ] mail.uz", "ivan (et) mail.uz", "ivan at mail (dot) uz", "ivan at mail[dot]uz", "ivan@mail.uz"):
+        assert P.EMAIL.fullmatch(form)
+        assert P.items_in(f"пишите {form}, спасибо") == [("email", 7, 7 + len(form))]

@@ -4,15 +4,15 @@ Records that share a value of any of several code columns belong together, and g
 The groups are the connected components of a graph, found by frontier breadth-first search from many seeds at
 once:
 
-* every record is tied to the first record of each of its codes (hot codes through salted sub-heads, so no
-  record's adjacency list is longer than the ``salts``-th part of the largest group),
-* a vertex whose hashed rank is smaller than that of all its neighbours is a seed, so each component has one;
-  all seeds expand together, frontier by frontier, along adjacency lists partitioned by vertex,
-* where two searches meet, their seeds are an edge of a smaller graph, on which the same is done again until
-  no edge is left.
+* every record is tied to the head of each of its codes (through the heads of hashed parts of the code, so no
+  record's adjacency list is longer than a part of a hot code),
+* a vertex whose hashed rank is smaller than that of all its neighbours is a seed; all seeds expand together,
+  frontier by frontier, along adjacency lists partitioned by vertex,
+* where two searches meet, their seeds are an edge of a smaller graph. The first search is always made over the
+  whole graph; a graph of seeds of at most ``small`` edges (32 MB) is merged in one task, a larger one is searched
+  like the first. The result is the same whichever way a graph goes.
 
-The number of frontiers is bounded by the longest falling path of random ranks, which is logarithmic, and a
-level keeps at most half of the vertices that have an edge.
+A search takes a fixed number of frontiers, so the number of jobs grows with the logarithm of the rows at most.
 
 Codes that differ in letter case, blanks, hyphens and underscores are the same; null, empty and "not known"
 codes join nothing. A null id gives no row; rows repeated under one id are one record with all their codes. An empty table gives an
@@ -21,11 +21,16 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.session import cut
+from quillspan.session import written
 
 # What stands for "not known" once case, blanks, hyphens and underscores are gone.
 UNKNOWN = (
@@ -43,72 +48,103 @@ def clean_code(column: str) -> Column:
     return F.when(~c.isin(*UNKNOWN), c)
 
 
-def code_edges(rows: DataFrame, key: str, codes: list[str], salts: int = 16) -> DataFrame:
-    """(src, dst) with src > dst: each record and the heads of its codes."""
-    pairs = (
-        rows.select(
-            F.col(f"`{key}`").cast("long").alias("id"),
-            F.explode(F.array(*[F.when(clean_code(c).isNotNull(), F.concat(F.lit(f"{i}:"), clean_code(c))) for i, c in enumerate(codes)])).alias("code"),
-        )
-        .where("id is not null and code is not null")
-        .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts)))
-    )
-    pairs = cut(pairs)
-    sub = pairs.groupBy("code", "salt").agg(F.min("id").alias("sub"))
-    head = sub.groupBy("code").agg(F.min("sub").alias("head"))
+def code_edges(rows: DataFrame, key: str, codes: list[str], salts: int = 1024) -> DataFrame:
+    """(src, dst): each record and the head of its code, through the heads of ``salts`` parts of the code.
+
+    A head is the record of smallest hashed rank, so a head of all its codes is a seed of the first search.
+    """
+    pairs = rows.select(
+        F.col(f"`{key}`").cast("long").alias("id"),
+        F.explode(F.array(*[F.when(clean_code(c).isNotNull(), F.concat(F.lit(f"{i}:"), clean_code(c))) for i, c in enumerate(codes)])).alias("code"),
+    ).where("id is not null and code is not null")
+    part = Window.partitionBy("code", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts)))
+    tied = written(pairs.select("id", "code", F.min(_rank("id", 1)).over(part)["id"].alias("sub")).distinct())
+    heads = tied.where("id = sub").select("code", "sub")  # at most ``salts`` rows a code
+    head = heads.groupBy("code").agg(F.min(_rank("sub", 1))["sub"].alias("head"))
     return (
-        pairs.join(sub, ["code", "salt"])
+        tied.where("id <> sub")
         .select(F.col("id").alias("src"), F.col("sub").alias("dst"))
-        .unionByName(sub.join(head, "code").select(F.col("sub").alias("src"), F.col("head").alias("dst")))
-        .where("src <> dst")
+        .unionByName(heads.join(head, "code").where("sub <> head").select(F.col("sub").alias("src"), F.col("head").alias("dst")))
+        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
 
 
-def _level(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """One search over ``edges`` (each in one direction): (vertex, seed) of all vertices, and the edges between seeds that met."""
-    both = cut(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(salt)), F.col(c))
-    least = both.groupBy("src").agg(F.min(rank("dst")).alias("n")).select(F.col("src").alias("v"), (rank("src") < F.col("n")).alias("is_seed"))
-    labels = cut(least.select("v", F.when(F.col("is_seed"), F.col("v")).alias("seed")))
-    frontier = labels.where("seed is not null")
+def _rank(column: str, salt: int) -> Column:
+    return F.struct(F.xxhash64(F.col(column), F.lit(salt)), F.col(column))
+
+
+def _lookup(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row a ``column``), null where it has none.
+
+    Values that more than a thousandth of all rows hold are fewer than 1,000: they are broadcast, and no task
+    gets all rows of such a value.
+    """
+    often = rows.groupBy(column).agg(F.count("*").alias("n_"))
+    total = rows.count()
+    hot = often.where(F.col("n_") * 1000 > total).select(column)
+    near = rows.join(F.broadcast(found.join(F.broadcast(hot), column, "right")), column)
+    return near.unionByName(rows.join(F.broadcast(hot), column, "left_anti").join(found, column, "left"))
+
+
+def _search(edges: DataFrame, salt: int, hops: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One search over ``edges``: (v, seed) of all vertices, and the edges between seeds whose searches met.
+
+    The adjacency lists are partitioned by vertex once (a lost part is made again from ``edges``, which is a
+    written table); a frontier, the vertices the last step has reached first, is brought to them. Each step writes
+    only what it reached. A vertex that no search reaches in ``hops`` steps is a seed of the next, smaller graph.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+    least = both.groupBy("src").agg(F.min(_rank("dst", salt)).alias("n"))
+    frontier = labels = written(least.where(_rank("src", salt) < F.col("n")).select(F.col("src").alias("v"), F.col("src").alias("seed")))
+    for _ in range(hops):
+        reached = both.join(frontier.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("seed").alias("seed"))
+        frontier = written(reached.join(labels, "v", "left_anti"))
+        labels = labels.unionByName(frontier)
+    missed = both.select(F.col("src").alias("v")).distinct().join(labels, "v", "left_anti")
+    labels = labels.unionByName(written(missed.select("v", F.col("v").alias("seed"))))
+    both.unpersist()
+    of = lambda end, name: labels.select(F.col("v").alias(end), F.col("seed").alias(name))
+    met = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b")
+    return labels, written(met.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, root) of a small graph: smaller labels win at both ends of an edge, and labels are followed to their end."""
+    parts = [b.to_numpy(np.int64) for b in batches if len(b)]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate(parts), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(ids))
     while True:
-        reached = (
-            both.join(frontier.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("seed").alias("new_seed"))
-        )
-        labels = cut(
-            labels.select("v", "seed").join(reached, "v", "left").select("v", F.coalesce("seed", "new_seed").alias("seed"), (F.col("seed").isNull() & F.col("new_seed").isNotNull()).alias("fresh"))
-        )
-        frontier = labels.where("fresh").select("v", "seed")
-        if labels.where("seed is null").isEmpty():
+        x, y = label[a], label[b]
+        if (x == y).all():
             break
-    labels = labels.select("v", "seed")
-    met = (
-        edges.join(labels.withColumnsRenamed({"v": "src", "seed": "a"}), "src")
-        .join(labels.withColumnsRenamed({"v": "dst", "seed": "b"}), "dst")
-        .where("a <> b")
-        .select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
-        .distinct()
-    )
-    return labels, cut(met)
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pd.DataFrame({"v": ids, "root": ids[label]})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame, small: int, salt: int) -> DataFrame:
+    """(v, root) of every vertex of the graph of seeds that met."""
+    if edges.count() <= small:
+        # 16 bytes an edge: the graph of met seeds fits one task
+        return written(edges.coalesce(1).mapInPandas(_merge, "v long, root long"))
+    labels, met = _search(edges, salt)
+    upper = _roots(met, small, salt + 1).withColumnRenamed("v", "seed")
+    return written(_lookup(labels, "seed", upper).select("v", F.coalesce("root", "seed").alias("root")))
+
+
+def components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
     """(v, anchor): for each vertex of an edge, the smallest vertex of its component."""
-    levels = []
-    edges = cut(edges)
-    while not edges.isEmpty():
-        labels, edges = _level(edges, len(levels) + 1)
-        levels.append(labels)
-    if not levels:
-        return edges.select(F.col("src").alias("v"), F.col("dst").alias("anchor"))
-    root = levels[-1].withColumnRenamed("seed", "root")
-    for labels in reversed(levels[:-1]):
-        # a seed that met no other is its own root
-        root = labels.join(root.withColumnRenamed("v", "seed"), "seed", "left").select("v", F.coalesce("root", "seed").alias("root"))
-    root = cut(root)
-    anchor = root.groupBy("root").agg(F.min("v").alias("anchor"))
-    return root.join(anchor, "root").select("v", "anchor")
+    labels, met = _search(written(edges), 1)
+    seeds = labels.groupBy("seed").agg(F.min("v").alias("least"))
+    rooted = written(seeds.join(_roots(met, small, 2).withColumnRenamed("v", "seed"), "seed", "left").select("seed", F.coalesce("root", "seed").alias("root"), "least"))
+    anchors = rooted.groupBy("root").agg(F.min("least").alias("anchor"))
+    return _lookup(labels, "seed", written(_lookup(rooted, "root", anchors).select("seed", "anchor"))).select("v", "anchor")
 
 
 def groups(rows: DataFrame, key: str, codes: list[str]) -> DataFrame:
@@ -122,38 +158,36 @@ def assign_splits(
     """(id, anchor_id, split): every record, with records that belong together in one split.
 
     Components are taken in the order of their hash, and the running number of records cuts the order at the
-    given shares; it is summed over ``buckets`` of the hash, so no task holds the whole order. Components of
-    more than ``large`` of all records (fewer than 1 / ``large`` of them) are placed first, largest first, each
-    in the split that lacks most, and the cuts are set for what is left.
+    given shares; it is summed over ``buckets`` of the hash, so no task holds the whole order. A component of more
+    than ``large`` of all records would overshoot a cut by more than that, so these (fewer than 1 / ``large``) are
+    placed first, largest first, each in the split that lacks most, and the cuts are set for what is left. The
+    limit is a share of the records: the same data ten times over are split alike.
     """
     ids = rows.select(F.col(f"`{key}`").cast("long").alias("id")).where("id is not null").distinct()
-    member = cut(ids.join(groups(rows, key, codes), "id", "left").select("id", F.coalesce("anchor_id", "id").alias("anchor_id")))
-    sizes = cut(member.groupBy("anchor_id").agg(F.count("*").alias("n")))
+    member = written(ids.join(groups(rows, key, codes), "id", "left").select("id", F.coalesce("anchor_id", "id").alias("anchor_id")))
+    sizes = written(member.groupBy("anchor_id").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     names = list(shares)
     room = {s: shares[s] / sum(shares.values()) * total for s in names}
-    placed = []
+    placed, rest_total = [], total
     for r in sizes.where(F.col("n") > large * total).orderBy(F.desc("n"), "anchor_id").collect():  # fewer than 1 / large
         best = max(names, key=lambda s: room[s])
         room[best] -= r.n
+        rest_total -= r.n
         placed.append((r.anchor_id, best))
-    spark = rows.sparkSession
-    big = spark.createDataFrame(placed, "anchor_id long, split string")
+    big = rows.sparkSession.createDataFrame(placed, "anchor_id long, split string")
     left = {s: max(0.0, x) for s, x in room.items()}
+    scale = sum(left.values()) or 1.0
     rest = sizes.where(F.col("n") <= large * total).withColumn("h", F.xxhash64("anchor_id", F.lit(seed)))
     rest = rest.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     by_bucket = rest.groupBy("bucket").agg(F.sum("n").alias("m"))  # at most ``buckets`` rows
     before = by_bucket.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("before"))
-    run = rest.join(before, "bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "anchor_id")))
-    middle = F.col("upto") - F.col("n") / 2
-    edge, choice = 0.0, F.lit(names[-1])
-    scale = sum(left.values()) or 1.0
-    rest_total = total - sum(r.n for r in sizes.where(F.col("n") > large * total).collect())
-    cuts = []
+    run = rest.join(F.broadcast(before), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "anchor_id")))
+    middle, edge, cuts, choice = F.col("upto") - F.col("n") / 2, 0.0, [], F.lit(names[-1])
     for s in names[:-1]:
         edge += left[s] / scale * rest_total
         cuts.append((s, edge))
     for s, e in reversed(cuts):
         choice = F.when(middle <= e, F.lit(s)).otherwise(choice)
     of_component = run.select("anchor_id", choice.alias("split")).unionByName(big)
-    return member.join(of_component, "anchor_id").select("id", "anchor_id", "split")
+    return _lookup(member, "anchor_id", of_component).select("id", "anchor_id", "split")

@@ -44,6 +44,10 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return splitleak.coverage_report(table(spark, d, "train_label"), "label_id", "text", "split", "source")
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return splitleak.record_coverage(table(spark, d, "train_label"), "label_id", "text", "split", "source").withColumnRenamed("id", "label_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     made = [
         lookalike.same_look_pairs(table(spark, d, name), key, "text").select(F.lit(name).alias("tbl"), "id_a", "id_b")
@@ -90,5 +94,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(table(spark, d, "documents").select("doc_id", "text"), "text", "key of the test tables").select("doc_id", "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p5_found, p5_forms, p6_bins, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p3_records, p5_found, p5_forms, p6_bins, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
 ORACLE: dict[str, str] = {}

@@ -2,21 +2,30 @@
 
 Winnowing fingerprints: a text is cut into ``seed``-character windows, each run of ``window`` windows gives the
 one of smallest rolling hash, and records of different splits that share a selected seed at nearly the same
-place are candidates; their seeds must be collinear, and the whole texts are aligned.
+place are candidates. The seeds of a pair are chained (the largest set in the same order in both texts), the
+texts are aligned from the chain outwards, and where that needs more edits than are allowed the whole texts are
+aligned, so that the chain decides no pair away.
 
 Two texts that share an unedited run of ``seed + window - 1`` characters (18 by default) always share a
-selected seed, however many texts hold it. A seed that more than ``hot`` held-out texts hold is joined by seed and
-band of length: texts within ``share`` lie in one band or in two neighbouring ones, so held-out rows stand in three
-bands and nothing is lost, while the work on one seed is spread over tasks. Which seeds are hot goes to the tasks as a
-bitmap of fixed size; two seeds with one bit only put a rare one into bands too, on both sides alike. ``hot`` thus
-changes the time, never the result. A bitmap of the held-out seeds keeps train seeds that
-meet none from being shuffled; where the data outgrow it, it lets more through and drops nothing.
-Copies are one class, so a heading repeated a million times is one text here: a seed of a class counts and is joined
-once, whatever the number of tasks that hold copies, and pairs are of classes.
-
-With its seeds a text carries its letter counts, folded to 32 numbers of four bits (more than 15 count as 15).
-Two texts within d edits differ by at most d in the counts one has more and in those it has less, so most
-candidates are ruled out before their texts are brought together, and none wrongly.
+selected seed, however many texts hold it. No seed is left out or exchanged for being frequent: a seed is one
+place where both sides meet, whatever their number, and pairs are ruled out only by bounds that hold for every
+pair within ``share``:
+
+* the shift of the seed is made by insertions and deletions,
+* in each of the two parts beside the seed, the letters one text has more are edits (letter counts in 32
+  classes of four bits a part, more than 15 count as 15).
+
+So the time for one seed grows with the product of the texts that hold it on either side, at some nanoseconds a
+pair, and the result doesn't depend on how frequent it is.
+
+Seeds travel packed: a task brings the seeds of its texts into buckets of the seed's hash and sends each bucket's part
+as one compressed row, and a bucket is joined in sorted arrays, held-out seeds first, train seeds part by part.
+A seed that makes up a large part of all is split on either side into parts that meet pairwise, so no task gets
+it whole; which ones are is read from counts by hash in arrays of fixed size, where a collision only splits a
+seed without need. A bitmap of fixed size of the held-out seeds keeps train seeds that meet none from being sent; where
+the data outgrow it, it lets more through and drops nothing.
+
+Copies are one class, so a heading repeated a million times is one text here, and pairs are of classes.
 
 Null ids, null texts, and texts shorter than ``min_chars`` give no rows; a split that is neither train, val nor
 exam takes no part; a repeated row counts once. An empty table gives an empty result.
@@ -25,11 +34,13 @@ exam takes no part; a repeated row counts once. An empty table gives an empty re
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.editdistance import distances
@@ -104,124 +115,345 @@ def letter_classes(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _sketches(codes: np.ndarray, length: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Letter counts of each text in 32 numbers of four bits: two 64-bit words a text."""
-    n = len(length)
-    fold = classes[np.minimum(codes, len(classes) - 1)]
-    counts = np.minimum(np.bincount(np.repeat(np.arange(n), length) * CLASSES + fold, minlength=n * CLASSES).reshape(n, 2, 16), 15).astype(np.uint64)
-    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+# ---- arrays of fixed size that reach every task ---------------------------------------------------
 
-
-SEEDS = "seed long, band int, cls long, at long, s0 long, s1 long"  # at = place * 2**32 + length
-BITS = 1 << 27
+BITS, SLOTS, BLOCK = 1 << 27, 1 << 20, 1 << 16
 
 
 def _bit(seeds: np.ndarray) -> np.ndarray:
     return (seeds * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 27)
 
 
-class Bitmap:
-    """A bitmap of fixed size (16 MB); it travels packed, block by block."""
+def _slot(seeds: np.ndarray) -> np.ndarray:
+    return (seeds * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - 20)
+
 
-    blocks, width = 256, BITS // 8 // 256
+class Packed:
+    """A byte array of fixed size; it travels compressed, block by block."""
 
-    def __init__(self, packed: dict[int, bytes]):
-        self.packed, self.bits = packed, None
+    def __init__(self, size: int, blocks: dict[int, bytes]):
+        self.size, self.blocks, self.data = size, blocks, None
 
     def __reduce__(self):
-        return Bitmap, (self.packed,)
+        return Packed, (self.size, self.blocks)
+
+    def bytes(self) -> np.ndarray:
+        if self.data is None:
+            self.data = np.zeros(self.size, np.uint8)
+            for b, m in self.blocks.items():
+                self.data[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zlib.decompress(m), np.uint8)
+        return self.data
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            bits = np.zeros((self.blocks, self.width), np.uint8)
-            for b, m in self.packed.items():
-                bits[b] = np.frombuffer(zlib.decompress(m), np.uint8)
-            self.bits = bits.ravel()
+        """Read as a bitmap."""
         x = _bit(values)
-        return (self.bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return (self.bytes()[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+PARTS = "what int, block long, m binary"
+
+
+def _parts(what: int, data: np.ndarray) -> pd.DataFrame:
+    rows = data.view(np.uint8).reshape(-1, BLOCK)
+    full = np.flatnonzero(rows.any(1))
+    return pd.DataFrame({"what": what, "block": full, "m": [zlib.compress(rows[b].tobytes(), 1) for b in full]})
+
+
+def _collected(parts: DataFrame, sizes: list[int]) -> list[Packed]:
+    """The arrays of all tasks put together: ``what`` 0 by bits, others as 64-bit counts. Their sizes are fixed."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for m in pdf["m"]:
+            x = np.frombuffer(zlib.decompress(m), np.uint8)
+            out = x.copy() if out is None else (out | x if pdf["what"].iloc[0] == 0 else (out.view(np.int64) + x.view(np.int64)).view(np.uint8))
+        return pd.DataFrame({"what": pdf["what"].iloc[:1], "block": pdf["block"].iloc[:1], "m": [zlib.compress(out.tobytes(), 1)]})
+
+    rows = parts.groupBy("what", "block").applyInPandas(join, PARTS).collect()
+    return [Packed(size, {r.block: bytes(r.m) for r in rows if r.what == w}) for w, size in enumerate(sizes)]
 
 
-def bitmap_of(values: DataFrame, column: str) -> Bitmap:
-    """A bitmap with the bit of each value set. Tasks send their parts packed, and parts are joined by block."""
-    blocks, width = Bitmap.blocks, Bitmap.width
+def bitmap_of(values: DataFrame, column: str) -> Packed:
+    """A bitmap with the bit of each value set."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
-            x = _bit(batch[column].to_numpy(np.int64).view(np.uint64))
-            np.bitwise_or.at(bits, x >> np.uint64(3), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
-        parts = bits.reshape(blocks, width)
-        full = np.flatnonzero(parts.any(1))
-        yield pd.DataFrame({"block": full, "m": [zlib.compress(parts[b].tobytes(), 1) for b in full]})
+            _mark(bits, batch[column].to_numpy(np.int64).view(np.uint64))
+        yield _parts(0, bits)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(width, np.uint8)
-        for m in pdf["m"]:
-            out |= np.frombuffer(zlib.decompress(m), np.uint8)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "m": [zlib.compress(out.tobytes(), 1)]})
+    return _collected(values.select(column).mapInPandas(mark, PARTS), [BITS // 8])[0]
+
+
+def _mark(bits: np.ndarray, values: np.ndarray) -> None:
+    x = np.unique(_bit(values))
+    np.bitwise_or.at(bits, x >> np.uint64(3), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
 
-    schema = "block long, m binary"
-    rows = values.select(column).mapInPandas(mark, schema).groupBy("block").applyInPandas(join, schema).collect()  # 16 MB at most
-    return Bitmap({r.block: bytes(r.m) for r in rows})
 
+# ---- seeds ---------------------------------------------------------------------------------------
 
-def _bands(length: np.ndarray, share: float) -> np.ndarray:
-    """Bands of length from 2 up, such that two lengths within ``share`` of the longer lie in one or in neighbours."""
-    return np.floor(np.log(length) / -np.log1p(-share)).astype(np.int64) + 2
 
+def _classes_once(batches: Iterator[pd.DataFrame], many: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The classes of either side in a task in parts of some ``many``; copies near each other are one, and the set of those seen stays small."""
+    seen: set[int] = set()
+    held, n = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        mark = batch["cls"] ^ (batch["side"].astype("int64") * (1 << 32))
+        fresh = ~(mark.duplicated() | mark.isin(seen))
+        batch = batch[fresh]
+        if len(seen) > 200_000:
+            seen.clear()
+        seen.update(mark[fresh].tolist())
+        held.append(batch)
+        n += len(batch)
+        if n >= many:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _seeds(batch: pd.DataFrame, seed: int, window: int) -> tuple:
+    """Code points, lengths and starts of the texts; the place, text and hash of each selected seed."""
+    codes, length, start = _flat(batch["key"].tolist())
+    h = _rolling(codes, seed)
+    at = _selected(h, length, start, seed, window) if len(h) else np.empty(0, np.int64)
+    return codes, length, start, at, np.searchsorted(start, at, side="right") - 1, h[at]
+
+
+def seed_counts(members: DataFrame, seed: int, window: int) -> list[Packed]:
+    """A bitmap of the held-out seeds, and how many seeds of either side fall into each slot."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, counts = np.zeros(BITS // 8, np.uint8), np.zeros((2, SLOTS), np.int64)
+        for batch in _classes_once(batches):
+            *_, text, h = _seeds(batch, seed, window)
+            held = batch["side"].to_numpy()[text] == HELD
+            _mark(bits, h[held])
+            for k in (TRAIN, HELD):
+                counts[k] += np.bincount(_slot(h[held == (k == HELD)]).astype(np.int64), minlength=SLOTS)
+        yield from (_parts(0, bits), _parts(1, counts[TRAIN]), _parts(2, counts[HELD]))
+
+    return _collected(members.select("side", "cls", "key").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8])
 
-def _seeds_of(seed: int, window: int, classes=None, only=None, hot=None, near: tuple[int, ...] = (), share: float = 0.0):
-    """Seeds of the texts of a partition. ``only``: broadcast bitmap outside which seeds are of no use; ``hot``: broadcast
-    bitmap of the seeds that stand in the bands of length ``near`` to their text's own, while others stand in band 0.
-    Without ``classes`` seeds and classes only."""
+
+def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Letter counts before and from each seed, 32 classes each, at most 15: (seeds, 64) bytes."""
+    n = len(length)
+    # stretches between the seeds of a text: the stretch of a character is the number of seeds at or before it, plus its text
+    ends = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(ends, at, 1)
+    stretch = np.cumsum(ends[:-1]) + np.repeat(np.arange(n), length)
+    fold = classes[np.minimum(codes, len(classes) - 1)]
+    counts = np.bincount(stretch * CLASSES + fold, minlength=(len(at) + n) * CLASSES).reshape(-1, CLASSES)
+    upto = np.concatenate((np.zeros((1, CLASSES), np.int64), np.cumsum(counts, 0)))
+    seeds_before = np.searchsorted(text, np.arange(n + 1))  # seeds of earlier texts
+    first, last = seeds_before[:-1] + np.arange(n), seeds_before[1:] + np.arange(n) + 1
+    here = np.arange(len(at)) + text + 1  # the stretch that begins with the seed
+    left = upto[here] - upto[first[text]]
+    right = upto[last[text]] - upto[here]
+    return np.minimum(np.concatenate((left, right), 1), 15).astype(np.uint8)
+
+
+SENT = "bucket int, held_first byte, n long, m binary"
+_FIELDS = (("key", np.uint64), ("cls", np.int64), ("place", np.int32), ("length", np.int32))
+
+
+def _packed(key, cls, place, length, counts) -> bytes:
+    by = np.argsort(key, kind="stable")
+    low = counts[by]
+    parts = [np.ascontiguousarray(x[by], t).tobytes() for x, (_, t) in zip((key, cls, place, length), _FIELDS, strict=True)]
+    parts.append(np.ascontiguousarray((low[:, ::2] | (low[:, 1::2] << 4)).T).tobytes())
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def _unpacked(rows: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {}
+    for n, m in rows:
+        data, at = zstandard.decompress(m), 0
+        for name, t in _FIELDS:
+            size = n * np.dtype(t).itemsize
+            out.setdefault(name, []).append(np.frombuffer(data, t, n, at))
+            at += size
+        two = np.frombuffer(data, np.uint8, n * CLASSES, at).reshape(CLASSES, n)
+        counts = np.empty((2 * CLASSES, n), np.uint8)
+        counts[::2], counts[1::2] = two & 15, two >> 4
+        out.setdefault("counts", []).append(counts)
+    return {k: np.concatenate(v, axis=-1) for k, v in out.items()}
+
+
+class Spread:
+    """In how many parts the seeds of a slot are split on either side, and the bucket of each."""
+
+    def __init__(self, counts: list[Packed], buckets: int, least: int):
+        both = [c.bytes().view(np.int64) for c in counts]
+        most = max(least, int(sum(c.sum() for c in both)) // 4096)
+        often = np.flatnonzero((both[0] > most) | (both[1] > most))  # fewer than 8,192 slots
+        self.slots, self.buckets = often, buckets
+        self.parts = [-(-c[often] // most) for c in both]
+
+    def rows(self, side: int, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which seed, key, bucket): a seed that is split comes once for every part of the other side."""
+        which, mine, other = np.arange(len(h)), np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+        if len(self.slots):
+            slot = _slot(h).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+            hit = self.slots[at] == slot
+            times = np.where(hit, np.maximum(self.parts[1 - side][at], 1), 1)
+            own = np.where(hit, np.maximum(self.parts[side][at], 1), 1).astype(np.uint64)
+            mine = (((cls.view(np.uint64) * _MIX) >> np.uint64(33)) % own)[(which := np.repeat(which, times))]
+            other = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        train, held = (mine, other) if side == TRAIN else (other, mine)
+        key = h[which] ^ (train * np.uint64(0x8CB92BA72F3D8DD7)) ^ (held * np.uint64(0xE7037ED1A0B428DB))
+        return which, key, ((key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % np.uint64(self.buckets)
+
+
+def _sent(side: int, seed: int, window: int, classes, useful, spread):
+    """The seeds of one side, packed by bucket."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            # copies within a task give their seeds once; the set is emptied so that it stays small
-            batch = batch.drop_duplicates("cls")
-            batch = batch[~batch["cls"].isin(seen)]
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(batch["cls"].tolist())
-            if not len(batch):
-                continue
-            codes, length, start = _flat(batch["key"].tolist())
-            h = _rolling(codes, seed)
+        for batch in _classes_once(batches):
+            codes, length, start, at, text, h = _seeds(batch, seed, window)
+            if side == TRAIN:
+                keep = useful.value.has(h)
+                at, text, h = at[keep], text[keep], h[keep]
             if not len(h):
                 continue
-            at = _selected(h, length, start, seed, window)
-            text_of = np.searchsorted(start, at, side="right") - 1
-            h = h[at]
-            if only is not None:
-                keep = only.value.has(h)
-                at, text_of, h = at[keep], text_of[keep], h[keep]
-            if classes is None:
-                yield pd.DataFrame({"seed": h.view(np.int64), "cls": batch["cls"].to_numpy()[text_of]})
-                continue
-            band = np.zeros(len(h), np.int64)
-            if hot.value.packed:
-                often = hot.value.has(h)
-                times = np.where(often, len(near), 1)
-                rows = np.repeat(np.arange(len(h)), times)
-                turn = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-                at, text_of, h = at[rows], text_of[rows], h[rows]
-                band = np.where(often[rows], _bands(length[text_of], share) + np.array(near)[turn], 0)
-            sketches = _sketches(codes, length, classes.value)[text_of]
-            yield pd.DataFrame(
-                {
-                    "seed": h.view(np.int64),
-                    "band": band.astype(np.int32),
-                    "cls": batch["cls"].to_numpy()[text_of],
-                    "at": ((at - start[text_of]) << 32) + length[text_of],
-                    "s0": sketches[:, 0],
-                    "s1": sketches[:, 1],
-                }
-            )
+            counts = _beside(codes, length, at, text, classes.value)
+            cls = batch["cls"].to_numpy(np.int64)[text]
+            which, key, bucket = spread.value.rows(side, h, cls)
+            by = np.argsort(bucket, kind="stable")
+            which, key, bucket = which[by], key[by], bucket[by]
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(2**63))), len(bucket))
+            place = (at - start[text]).astype(np.int32)
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                w = which[a:b]
+                rows.append((int(bucket[a]), 1 - side, b - a, _packed(key[a:b], cls[w], place[w], length[text[w]], counts[w])))
+            yield pd.DataFrame(rows, columns=["bucket", "held_first", "n", "m"])
 
     return make
 
 
+def _near(held: dict, train: dict, i: np.ndarray, j: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of seeds that can belong to texts within ``share``."""
+    shift = np.abs(held["place"][i] - train["place"][j]) + np.abs(held["rest"][i] - train["rest"][j])
+    allowed = np.maximum(held["allowed"][i], train["allowed"][j])
+    ok = (shift <= allowed) & (held["cls"][i] != train["cls"][j])
+    i, j, allowed = i[ok], j[ok], allowed[ok]
+    most = np.maximum(held["by_row"][i], train["by_row"][j]).sum(1, dtype=np.int64)
+    ok = most - np.minimum(held["left"][i], train["left"][j]) - np.minimum(held["right"][i], train["right"][j]) <= allowed
+    return i[ok], j[ok]
+
+
+def _block(held: dict, train: dict, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all seeds of two slices, class by class over a whole block."""
+    at = lambda d, name, s: d[name][s]
+    outer = lambda f, name: f(at(held, name, a)[:, None], at(train, name, b)[None, :])
+    allowed = outer(np.maximum, "allowed")
+    ok = np.abs(outer(np.subtract, "place")) + np.abs(outer(np.subtract, "rest")) <= allowed
+    if not ok.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # the larger counts add up to at most both lengths
+    small = int(held["length"][a].max()) + int(train["length"][b].max()) < 256
+    total = np.zeros(ok.shape, np.uint8 if small else np.uint16)
+    one = np.empty(ok.shape, np.uint8)
+    for c in range(2 * CLASSES):
+        np.maximum(held["counts"][c, a][:, None], train["counts"][c, b][None, :], out=one)
+        total += one
+    ok &= total - outer(np.minimum, "left") - outer(np.minimum, "right") <= allowed
+    i, j = np.nonzero(ok)
+    i, j = i + a.start, j + b.start
+    ok = held["cls"][i] != train["cls"][j]
+    return i[ok], j[ok]
+
+
+def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
+    """Sorted by key and place, each once, with what the pairs are compared by."""
+    by = np.lexsort((d["cls"], d["place"], d["key"]))
+    d = {k: v[..., by] for k, v in d.items()}
+    if len(by):
+        new = np.append(True, (np.diff(d["key"]) != 0) | (np.diff(d["place"]) != 0) | (np.diff(d["cls"]) != 0))
+        d = {k: v[..., new] for k, v in d.items()}
+    d["counts"] = np.ascontiguousarray(d["counts"])
+    d["by_row"] = np.ascontiguousarray(d["counts"].T)
+    d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=np.int32) for k in (0, 1))
+    d["rest"] = d["length"] - d["place"]
+    d["allowed"] = np.floor(d["length"] * share + 1e-9).astype(np.int32)
+    return d
+
+
+SMALL, TILE = 4096, (256, 1024)
+
+
+def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (held, train) pairs of equal key that can be near. Frequent keys are taken in tiles along the place, rare ones many at once."""
+    keys, first, n_train = np.unique(train["key"], return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(held["key"], keys), np.searchsorted(held["key"], keys, side="right")
+    n_held = hi - lo
+    work = n_held * n_train
+    few = np.flatnonzero((work > 0) & (work <= SMALL))
+    upto = np.cumsum(work[few])
+    for s in range(0, int(upto[-1]) if len(few) else 0, 1 << 20):
+        g = few[np.searchsorted(upto, s, side="right") : np.searchsorted(upto, s + (1 << 20), side="right")]
+        if not len(g):
+            continue
+        w = work[g]
+        k = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        wide = np.repeat(n_train[g], w)
+        yield _near(held, train, np.repeat(lo[g], w) + k // wide, np.repeat(first[g], w) + k % wide, share)
+    for g in np.flatnonzero(work > SMALL).tolist():
+        places = train["place"][first[g] : first[g] + n_train[g]]
+        widest = max(int(held["allowed"][lo[g] : hi[g]].max()), int(train["allowed"][first[g] : first[g] + n_train[g]].max()))
+        for s in range(int(lo[g]), int(hi[g]), TILE[0]):
+            a = slice(s, min(s + TILE[0], int(hi[g])))
+            # a seed moves by at most the allowed edits, so a tile meets a stretch of places
+            x = first[g] + np.searchsorted(places, held["place"][a.start] - widest)
+            y = first[g] + np.searchsorted(places, held["place"][a.stop - 1] + widest, side="right")
+            for t in range(int(x), int(y), TILE[1]):
+                yield _block(held, train, a, slice(t, min(t + TILE[1], int(y))))
+
+
+CANDIDATES = "train_cls long, held_cls long, train_place int, held_place int"
+
+
+def _joined(share: float, many: int = 500_000):
+    """Candidates of the buckets of a partition; held-out seeds of a bucket come first, train seeds follow part by part."""
+
+    def flush(held: list, train: list) -> Iterator[pd.DataFrame]:
+        if not held or not train:
+            return
+        h, t = held[0] if isinstance(held[0], dict) else _ordered(_unpacked(held), share), _ordered(_unpacked(train), share)
+        held[:] = [h]
+        for i, j in meet(h, t, share):
+            if len(i):
+                yield pd.DataFrame({"train_cls": t["cls"][j], "held_cls": h["cls"][i], "train_place": t["place"][j], "held_place": h["place"][i]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held, train, n = None, [], [], 0
+        for batch in batches:
+            for b, first, size, m in zip(batch["bucket"], batch["held_first"], batch["n"], batch["m"], strict=True):
+                if b != bucket:
+                    yield from flush(held, train)
+                    bucket, held, train, n = b, [], [], 0
+                if first == 0:
+                    held.append((size, m))
+                elif held:
+                    train.append((size, m))
+                    n += size
+                    if n >= many:
+                        yield from flush(held, train)
+                        train, n = [], 0
+        yield from flush(held, train)
+
+    return run
+
+
+# ---- pairs ---------------------------------------------------------------------------------------
+
+
 def read_split(column: str):
     """Split names without regard to case and blanks; null is train. 0 train, 1 val or exam, null otherwise."""
     s = F.lower(F.regexp_replace(F.coalesce(F.col(f"`{column}`"), F.lit("train")), r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]", ""))
@@ -243,58 +475,70 @@ def keyed(rows: DataFrame, key: str, text: str, split: str, min_chars: int) -> D
     return made.select("id", "side", F.xxhash64("key", F.lit(1)).alias("cls"), "key")
 
 
-def _low(word: Column, shift: int) -> Column:
-    return F.shiftright(word, shift).bitwiseAND(0x0F0F0F0F0F0F0F0F)
-
-
-def _more(a: Column, b: Column, shift: int) -> Column:
-    """In each byte the count by which a exceeds b, else 0; no step leaves the range of a long."""
-    d = _low(a, shift).bitwiseOR(0x1010101010101010) - _low(b, shift)  # 16 + a - b in each byte
-    return d.bitwiseAND(F.shiftright(d, 4).bitwiseAND(0x0101010101010101) * 15)
-
-
-def _surplus_col(a: Column, b: Column) -> Column:
-    """Sum of the counts by which a exceeds b, over the 16 counts of a word: the remainder by 255 adds the bytes, which make 240 at most."""
-    return (_more(a, b, 0) + _more(a, b, 4)) % 255
-
-
-def _side(seeds: DataFrame, share: float, prefix: str) -> DataFrame:
-    """Each place of a seed in a class once, whatever the number of tasks that hold copies, with what the join compares."""
-    n = F.col("at").bitwiseAND(0xFFFFFFFF)
-    total = sum((_low(F.col(s), 0) + _low(F.col(s), 4)) % 255 for s in ("s0", "s1"))
-    return seeds.repartition("seed", "band").distinct().select(
-        "seed", "band", *[F.col(c).alias(f"{prefix}_{c}") for c in ("cls", "s0", "s1")],
-        F.shiftright("at", 32).alias(f"{prefix}_place"), n.alias(f"{prefix}_n"),
-        F.floor(n * share + 1e-9).alias(f"{prefix}_allowed"), total.alias(f"{prefix}_total"),
-    )
+def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The largest set of seeds (place in one text, place in the other) in the same order in both."""
+    seeds = sorted(set(seeds))
+    if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(seeds, seeds[1:], strict=False)):
+        return seeds
+    # longest increasing run of second places; of equal first places the larger second comes first
+    seeds.sort(key=lambda s: (s[0], -s[1]))
+    ends: list[int] = []
+    back: list[int] = []
+    last: list[int] = []
+    for k, (_, y) in enumerate(seeds):
+        at = bisect_left(ends, y)
+        if at == len(ends):
+            ends.append(y)
+            last.append(k)
+        else:
+            ends[at], last[at] = y, k
+        back.append(last[at - 1] if at else -1)
+    out, k = [], last[-1]
+    while k >= 0:
+        out.append(seeds[k])
+        k = back[k]
+    return out[::-1]
+
+
+def gaps(a: str, b: str, seeds: list[tuple[int, int]], size: int) -> list[tuple[str, str]]:
+    """What is left to align once the chained seeds stand on each other and are extended over equal characters."""
+    out, x, y = [], 0, 0
+    for p, q in [*chain(seeds), (len(a), len(b))]:
+        if p < x or q < y:
+            continue  # overlaps what the seed before covers
+        left, right = a[x:p], b[y:q]
+        if left != right:
+            out.append((left, right))
+        x, y = p + size, q + size
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y = x + 1, y + 1
+    return out
 
 
-def _joined(train: DataFrame, held: DataFrame, share: float) -> DataFrame:
-    """Class pairs that share a seed, collinear and within the allowed letter counts."""
-    c = F.col
-    allowed = F.greatest("train_allowed", "held_allowed")
-    # collinear: the shift between two places is made by insertions and deletions before the seed, the difference
-    # of what follows by those after it, and together they can't exceed the allowed edits
-    shift = F.abs(c("train_place") - c("held_place")) + F.abs((c("train_n") - c("train_place")) - (c("held_n") - c("held_place")))
-    # what held has more is what train has more, less the difference of all counts
-    more = _surplus_col(c("train_s0"), c("held_s0")) + _surplus_col(c("train_s1"), c("held_s1")) + F.greatest(F.lit(0).cast("long"), c("held_total") - c("train_total"))
-    near = _side(train, share, "train").join(_side(held, share, "held"), ["seed", "band"]).where((c("train_cls") != c("held_cls")) & (shift <= allowed) & (more <= allowed))
-    return near.select("train_cls", "held_cls")
+def _edits(ka: list[str], kb: list[str], seeds: list[list[tuple[int, int]]], size: int, limit: np.ndarray) -> np.ndarray:
+    """Edits of each pair: from its chain outwards; the least number where that is over the limit."""
+    pieces = [gaps(a, b, s, size) for a, b, s in zip(ka, kb, seeds, strict=True)]
+    owner = np.repeat(np.arange(len(ka)), [len(p) for p in pieces])
+    flat = [x for p in pieces for x in p]
+    total = np.zeros(len(ka), np.int64)
+    np.add.at(total, owner, distances([x[0] for x in flat], [x[1] for x in flat]))
+    over = np.flatnonzero(total > limit)
+    total[over] = distances([ka[i] for i in over], [kb[i] for i in over], limit[over])
+    return total
 
 
-def class_pairs(members: DataFrame, share: float, seed: int, window: int, hot: int) -> DataFrame:
+def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, bucket_seeds: int = 250_000) -> DataFrame:
     """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
     sc = members.sparkSession.sparkContext
-    side = lambda k: members.where(f"side = {k}").select("cls", "key")
+    side = lambda k: members.where(f"side = {k}").select("side", "cls", "key")
     classes = sc.broadcast(letter_classes(side(HELD)))
-    seeds = side(HELD).mapInPandas(_seeds_of(seed, window), "seed long, cls long")
-    useful = sc.broadcast(bitmap_of(seeds, "seed"))
-    # a class counts once, whatever the number of tasks that hold copies
-    often = seeds.repartition("seed").distinct().groupBy("seed").agg(F.count("*").alias("n")).where(f"n > {hot}")
-    crowded = sc.broadcast(bitmap_of(often, "seed"))
-    held = side(HELD).mapInPandas(_seeds_of(seed, window, classes, None, crowded, (-1, 0, 1), share), SEEDS)
-    train = side(TRAIN).mapInPandas(_seeds_of(seed, window, classes, useful, crowded, (0,), share), SEEDS)
-    candidates = written(_joined(train, held, share).distinct())
+    useful, *counts = seed_counts(members, seed, window)
+    total = int(sum(c.bytes().view(np.int64).sum() for c in counts))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * bucket_seeds))
+    useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 4 * parts, least))
+    sent = [side(k).mapInPandas(_sent(k, seed, window, classes, useful, spread), SENT) for k in (HELD, TRAIN)]
+    met = sent[0].unionByName(sent[1]).repartition(parts, "bucket").sortWithinPartitions("bucket", "held_first").mapInPandas(_joined(share), CANDIDATES)
+    candidates = written(met.groupBy("train_cls", "held_cls").agg(F.collect_list(F.struct("train_place", "held_place")).alias("seeds")))
     wanted = sc.broadcast(bitmap_of(candidates.select(F.col("train_cls").alias("cls")).union(candidates.select("held_cls")), "cls"))
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,21 +553,23 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, hot: i
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ka, kb = batch.pop("ka").tolist(), batch.pop("kb").tolist()
+            seeds = [[(s["train_place"], s["held_place"]) for s in x] for x in batch.pop("seeds")]
             longer = np.maximum(np.fromiter(map(len, ka), np.int64, len(ka)), np.fromiter(map(len, kb), np.int64, len(kb)))
             limit = np.floor(longer * share + 1e-9).astype(np.int64)
-            batch["distance"] = distances(ka, kb, limit)
+            batch["distance"] = _edits(ka, kb, seeds, seed, limit)
             batch["longer"] = longer
             yield batch[batch["distance"] <= limit][["train_cls", "held_cls", "distance", "longer"]]
 
     return pairs.mapInPandas(align, "train_cls long, held_cls long, distance long, longer long")
 
 
-def overlaps(
-    rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, hot: int = 16
-) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, side, cls) and class pairs (train_cls, held_cls, distance, longer), equal texts with distance 0."""
+def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, side, cls) and class pairs (train_cls, held_cls, distance, longer), equal texts with distance 0.
+
+    ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks.
+    """
     members = written(keyed(rows, key, text, split, min_chars))
-    near = class_pairs(members, share, seed, window, hot)
+    near = class_pairs(members, share, seed, window, least)
     sides = members.groupBy("cls").agg(F.bit_or(F.col("side") + 1).alias("sides"), F.max(F.length("key")).cast("long").alias("longer"))
     same = sides.where("sides = 3").select(
         F.col("cls").alias("train_cls"), F.col("cls").alias("held_cls"), F.lit(0).cast("long").alias("distance"), "longer"
@@ -331,41 +577,56 @@ def overlaps(
     return members.select("id", "side", "cls"), near.unionByName(same)
 
 
-def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Class pairs expanded to (id_a < id_b)."""
-    train = members.where(f"side = {TRAIN}").select(F.col("cls").alias("train_cls"), F.col("id").alias("ta"))
-    held = members.where(f"side = {HELD}").select(F.col("cls").alias("held_cls"), F.col("id").alias("hb"))
+def row_pairs(members: DataFrame, pairs: DataFrame, parts: int = 16) -> DataFrame:
+    """Class pairs expanded to (id_a < id_b).
+
+    The rows of a class that more than a thousandth of all rows have (fewer than 1,000 classes) are spread over
+    ``parts`` on either side, and the parts meet pairwise.
+    """
+    members = members.select("id", "side", "cls").distinct()
+    n = members.count()
+    hot = members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > n).select("cls", F.lit(parts).alias("parts"))
+    hot = F.broadcast(written(hot))
+    times = lambda c: F.coalesce(F.col(c), F.lit(1))
+    rows = members.join(hot, "cls", "left").select("id", "side", "cls", F.pmod(F.xxhash64("id"), times("parts")).cast("int").alias("part"))
+    of = lambda k, name: rows.where(f"side = {k}").select(F.col("cls").alias(f"{name}_cls"), F.col("part").alias(f"{name}_part"), F.col("id").alias(f"{name}_id"))
+    spread = pairs.select("train_cls", "held_cls")
+    for name in ("train", "held"):
+        spread = spread.join(hot.withColumnsRenamed({"cls": f"{name}_cls", "parts": "p"}), f"{name}_cls", "left").withColumn(f"{name}_part", F.explode(F.sequence(F.lit(0), times("p") - 1))).drop("p")
     return (
-        pairs.select("train_cls", "held_cls")
-        .join(held, "held_cls")
-        .join(train, "train_cls")
-        .select(F.least("ta", "hb").alias("id_a"), F.greatest("ta", "hb").alias("id_b"))
+        spread.join(of(HELD, "held"), ["held_cls", "held_part"])
+        .join(of(TRAIN, "train"), ["train_cls", "train_part"])
+        .select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
         .distinct()
     )
 
 
-def coverage_report(rows: DataFrame, key: str, text: str, split: str, source: str, **how) -> DataFrame:
-    """Per split and source of the held-out rows: rows, rows that a train row repeats exactly or nearly, mean coverage.
+def record_coverage(rows: DataFrame, key: str, text: str, split: str, source: str, **how) -> DataFrame:
+    """One row a held-out record: (id, split, source, n_links, edits, coverage).
 
-    The coverage of a record is 1 - distance / longer length of its best train text, 0 without one. A null
-    source is reported as ''.
+    ``n_links`` are the train texts that repeat it exactly or nearly, ``edits`` those of the best of them by
+    share, and coverage 1 - edits / longer length; without one null edits and coverage 0. A null source is ''.
     """
     members, pairs = overlaps(rows, key, text, split, **how)
-    best = pairs.groupBy("held_cls").agg(F.min(F.col("distance") / F.col("longer")).alias("gap"), F.count("*").alias("links"))
-    record = members.where(f"side = {HELD}").join(best, F.col("cls") == F.col("held_cls"), "left").select("id", "gap", "links").dropDuplicates(["id"])
+    best = pairs.groupBy(F.col("held_cls").alias("cls")).agg(F.min(F.struct((F.col("distance") / F.col("longer")).alias("gap"), "distance")).alias("b"), F.count("*").alias("n_links"))
+    record = members.where(f"side = {HELD}").join(best, "cls").groupBy("id").agg(F.min("b").alias("b"), F.max("n_links").alias("n_links"))
     held = rows.select(
         F.col(f"`{key}`").cast("long").alias("id"),
         F.lower(F.regexp_replace(F.col(f"`{split}`"), r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]", "")).alias("split"),
         F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"),
     ).where("id is not null and split in ('val', 'exam')").distinct()
-    return (
-        held.join(record, "id", "left")
-        .groupBy("split", "source")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(F.col("gap") == 0).alias("n_exact"),
-            F.count_if(F.col("gap") > 0).alias("n_near"),
-            F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"),
-            F.avg(F.coalesce(1 - F.col("gap"), F.lit(0.0))).alias("mean_coverage"),
-        )
+    return held.join(record, "id", "left").select(
+        "id", "split", "source", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("b.distance").alias("edits"), F.coalesce(1 - F.col("b.gap"), F.lit(0.0)).alias("coverage")
+    )
+
+
+def coverage_report(rows: DataFrame, key: str, text: str, split: str, source: str, **how) -> DataFrame:
+    """Per split and source of the held-out rows: rows, rows that a train row repeats exactly or nearly, links, mean coverage."""
+    record = record_coverage(rows, key, text, split, source, **how)
+    return record.groupBy("split", "source").agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("edits") == 0).alias("n_exact"),
+        F.count_if(F.col("edits") > 0).alias("n_near"),
+        F.sum("n_links").alias("n_links"),
+        F.avg("coverage").alias("mean_coverage"),
     )

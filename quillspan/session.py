@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is used on one machine
+    (master ``local``); on a cluster, where each executor would write to its own disk, that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-"))
         current = sc.getCheckpointDir()
     return current

@@ -67,24 +67,30 @@ def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _selected(h: np.ndarray, length: np.ndarray, start: np.ndarray, size: int, window: int) -> np.ndarray:
-    """Places of the minima of every ``window`` neighbouring seeds, for all texts at once."""
+    """Places of the minima of every ``window`` neighbouring seeds, for all texts at once; equal minima count alike.
+
+    ``size`` is at least ``window``, so the places whose seed would run into the next text keep windows apart.
+    """
+    n = len(h)
     n_seeds = np.maximum(length - size + 1, 0)
-    inside = np.zeros(len(h), bool)
-    text_of = np.repeat(np.arange(len(length)), n_seeds)
-    place = np.arange(len(text_of)) - np.repeat(np.cumsum(n_seeds) - n_seeds, n_seeds)
-    at = start[text_of] + place
-    first = at[(place + window <= n_seeds[text_of]) | ((place == 0) & (n_seeds[text_of] < window))]
-    reach = np.repeat(start + n_seeds, n_seeds)
-    ends = reach[(place + window <= n_seeds[text_of]) | ((place == 0) & (n_seeds[text_of] < window))]
-    best_at, best = first.copy(), h[first].copy()
+    inside = np.zeros(n + 1, np.int32)  # seeds and windows of a text begin at its first character
+    full = np.zeros(n + 1, np.int32)
+    some = n_seeds > 0
+    windows = np.maximum(n_seeds - window + 1, 1)[some]
+    first = start[some]
+    np.add.at(inside, first, 1)
+    np.add.at(inside, first + n_seeds[some], -1)
+    np.add.at(full, first, 1)
+    np.add.at(full, first + windows, -1)
+    h = np.where(np.cumsum(inside[:-1]) > 0, h, np.uint64(2**64 - 1))
+    least = h.copy()
     for i in range(1, window):
-        x = first + i
-        ok = x < ends
-        v = h[np.where(ok, x, first)]
-        better = ok & (v < best)
-        best_at[better], best[better] = x[better], v[better]
-    inside[best_at] = True
-    return np.flatnonzero(inside)
+        np.minimum(least[: n - i], h[i:], out=least[: n - i])
+    whole = np.cumsum(full[:-1]) > 0
+    chosen = np.zeros(n, bool)
+    for i in range(min(window, n)):
+        chosen[i:] |= whole[: n - i] & (least[: n - i] == h[i:])
+    return np.flatnonzero(chosen & (h != np.uint64(2**64 - 1)))
 
 
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +199,7 @@ def _mark(bits: np.ndarray, values: np.ndarray) -> None:
 # ---- seeds ---------------------------------------------------------------------------------------
 
 
-def _classes_once(batches: Iterator[pd.DataFrame], many: int = 50_000) -> Iterator[pd.DataFrame]:
+def _classes_once(batches: Iterator[pd.DataFrame], many: int = 8_000) -> Iterator[pd.DataFrame]:
     """The classes of either side in a task in parts of some ``many``; copies near each other are one, and the set of those seen stays small."""
     seen: set[int] = set()
     held, n = [], 0
@@ -243,18 +249,20 @@ def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndar
     """Letter counts before and from each seed, 32 classes each, at most 15: (seeds, 64) bytes."""
     n = len(length)
     # stretches between the seeds of a text: the stretch of a character is the number of seeds at or before it, plus its text
-    ends = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(ends, at, 1)
+    ends = np.zeros(len(codes) + 1, np.int32)
+    ends[at] = 1
     stretch = np.cumsum(ends[:-1]) + np.repeat(np.arange(n), length)
     fold = classes[np.minimum(codes, len(classes) - 1)]
     counts = np.bincount(stretch * CLASSES + fold, minlength=(len(at) + n) * CLASSES).reshape(-1, CLASSES)
-    upto = np.concatenate((np.zeros((1, CLASSES), np.int64), np.cumsum(counts, 0)))
+    upto = np.zeros((len(counts) + 1, CLASSES), np.int32)
+    np.cumsum(counts, 0, out=upto[1:])
     seeds_before = np.searchsorted(text, np.arange(n + 1))  # seeds of earlier texts
     first, last = seeds_before[:-1] + np.arange(n), seeds_before[1:] + np.arange(n) + 1
     here = np.arange(len(at)) + text + 1  # the stretch that begins with the seed
-    left = upto[here] - upto[first[text]]
-    right = upto[last[text]] - upto[here]
-    return np.minimum(np.concatenate((left, right), 1), 15).astype(np.uint8)
+    out = np.empty((len(at), 2 * CLASSES), np.uint8)
+    out[:, :CLASSES] = np.minimum(upto[here] - upto[first[text]], 15)
+    out[:, CLASSES:] = np.minimum(upto[last[text]] - upto[here], 15)
+    return out
 
 
 SENT = "bucket int, held_first byte, n long, m binary"
@@ -310,10 +318,21 @@ class Spread:
         return which, key, ((key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % np.uint64(self.buckets)
 
 
-def _sent(side: int, seed: int, window: int, classes, useful, spread):
-    """The seeds of one side, packed by bucket."""
+def _sent(side: int, seed: int, window: int, classes, useful, spread, many: int = 300_000):
+    """The seeds of one side, packed by bucket in parts of some ``many``."""
+
+    def pack(parts: list[tuple]) -> pd.DataFrame:
+        key, bucket, cls, place, length, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(bucket, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(bucket[by].astype(np.int64), prepend=-1)), len(by))
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            w = by[a:b]
+            rows.append((int(bucket[w[0]]), 1 - side, b - a, _packed(key[w], cls[w], place[w], length[w], counts[w])))
+        return pd.DataFrame(rows, columns=["bucket", "held_first", "n", "m"])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, n = [], 0
         for batch in _classes_once(batches):
             codes, length, start, at, text, h = _seeds(batch, seed, window)
             if side == TRAIN:
@@ -321,18 +340,16 @@ def _sent(side: int, seed: int, window: int, classes, useful, spread):
                 at, text, h = at[keep], text[keep], h[keep]
             if not len(h):
                 continue
-            counts = _beside(codes, length, at, text, classes.value)
             cls = batch["cls"].to_numpy(np.int64)[text]
             which, key, bucket = spread.value.rows(side, h, cls)
-            by = np.argsort(bucket, kind="stable")
-            which, key, bucket = which[by], key[by], bucket[by]
-            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(2**63))), len(bucket))
-            place = (at - start[text]).astype(np.int32)
-            rows = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                w = which[a:b]
-                rows.append((int(bucket[a]), 1 - side, b - a, _packed(key[a:b], cls[w], place[w], length[text[w]], counts[w])))
-            yield pd.DataFrame(rows, columns=["bucket", "held_first", "n", "m"])
+            counts = _beside(codes, length, at, text, classes.value)
+            parts.append((key, bucket, cls[which], (at - start[text]).astype(np.int32)[which], length[text].astype(np.int32)[which], counts[which]))
+            n += len(key)
+            if n >= many:
+                yield pack(parts)
+                parts, n = [], 0
+        if n:
+            yield pack(parts)
 
     return make
 
@@ -385,7 +402,7 @@ def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
     return d
 
 
-SMALL, TILE = 4096, (256, 1024)
+SMALL, MANY, TILE = 4096, 1 << 18, (256, 1024)
 
 
 def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -396,8 +413,8 @@ def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np
     work = n_held * n_train
     few = np.flatnonzero((work > 0) & (work <= SMALL))
     upto = np.cumsum(work[few])
-    for s in range(0, int(upto[-1]) if len(few) else 0, 1 << 20):
-        g = few[np.searchsorted(upto, s, side="right") : np.searchsorted(upto, s + (1 << 20), side="right")]
+    for s in range(0, int(upto[-1]) if len(few) else 0, MANY):
+        g = few[np.searchsorted(upto, s, side="right") : np.searchsorted(upto, s + MANY, side="right")]
         if not len(g):
             continue
         w = work[g]

@@ -179,18 +179,6 @@ def _collected(parts: DataFrame, sizes: list[int]) -> list[Packed]:
     return [Packed(size, {r.block: bytes(r.m) for r in rows if r.what == w}) for w, size in enumerate(sizes)]
 
 
-def bitmap_of(values: DataFrame, column: str) -> Packed:
-    """A bitmap with the bit of each value set."""
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BITS // 8, np.uint8)
-        for batch in batches:
-            _mark(bits, batch[column].to_numpy(np.int64).view(np.uint64))
-        yield _parts(0, bits)
-
-    return _collected(values.select(column).mapInPandas(mark, PARTS), [BITS // 8])[0]
-
-
 def _mark(bits: np.ndarray, values: np.ndarray) -> None:
     x = np.unique(_bit(values))
     np.bitwise_or.at(bits, x >> np.uint64(3), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
@@ -360,6 +348,13 @@ def _near(held: dict, train: dict, i: np.ndarray, j: np.ndarray, share: float) -
     allowed = np.maximum(held["allowed"][i], train["allowed"][j])
     ok = (shift <= allowed) & (held["cls"][i] != train["cls"][j])
     i, j, allowed = i[ok], j[ok], allowed[ok]
+    rough = np.zeros(len(i), np.int64)
+    for c in range(held["rough"].shape[0]):
+        a, b = held["rough"][c][i], train["rough"][c][j]
+        rough += np.abs(a - b)
+    # of what differs in a class one half at least is more on one side
+    ok = rough <= 2 * allowed
+    i, j, allowed = i[ok], j[ok], allowed[ok]
     most = np.maximum(held["by_row"][i], train["by_row"][j]).sum(1, dtype=np.int64)
     ok = most - np.minimum(held["left"][i], train["left"][j]) - np.minimum(held["right"][i], train["right"][j]) <= allowed
     return i[ok], j[ok]
@@ -395,6 +390,7 @@ def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
         new = np.append(True, (np.diff(d["key"]) != 0) | (np.diff(d["place"]) != 0) | (np.diff(d["cls"]) != 0))
         d = {k: v[..., new] for k, v in d.items()}
     d["counts"] = np.ascontiguousarray(d["counts"])
+    d["rough"] = d["counts"].reshape(8, -1, d["counts"].shape[1]).sum(1, dtype=np.int16)
     d["by_row"] = np.ascontiguousarray(d["counts"].T)
     d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=np.int32) for k in (0, 1))
     d["rest"] = d["length"] - d["place"]
@@ -433,7 +429,7 @@ def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np
                 yield _block(held, train, a, slice(t, min(t + TILE[1], int(y))))
 
 
-CANDIDATES = "train_cls long, held_cls long, train_place int, held_place int"
+CANDIDATES = "train_cls long, held_cls long, places long"  # place in the train text * 2**32 + place in the held-out text
 
 
 def _joined(share: float, many: int = 500_000):
@@ -446,7 +442,7 @@ def _joined(share: float, many: int = 500_000):
         held[:] = [h]
         for i, j in meet(h, t, share):
             if len(i):
-                yield pd.DataFrame({"train_cls": t["cls"][j], "held_cls": h["cls"][i], "train_place": t["place"][j], "held_place": h["place"][i]})
+                yield pd.DataFrame({"train_cls": t["cls"][j], "held_cls": h["cls"][i], "places": (t["place"][j].astype(np.int64) << 32) + h["place"][i]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, held, train, n = None, [], [], 0
@@ -532,9 +528,32 @@ def gaps(a: str, b: str, seeds: list[tuple[int, int]], size: int) -> list[tuple[
     return out
 
 
-def _edits(ka: list[str], kb: list[str], seeds: list[list[tuple[int, int]]], size: int, limit: np.ndarray) -> np.ndarray:
+GRAM, GRAM_BITS = 3, 512
+
+
+def _grams(texts: list[str]) -> np.ndarray:
+    """The grams of each text as a set of bits."""
+    codes, length, start = _flat(texts)
+    bits = np.zeros((len(texts), GRAM_BITS), bool)
+    h = _rolling(codes, GRAM) % np.uint64(GRAM_BITS)
+    text = np.repeat(np.arange(len(texts)), length)[: len(h)]
+    whole = np.arange(len(h)) + GRAM <= (start + length)[text]
+    bits[text[whole], h[whole].astype(np.int64)] = True
+    return np.packbits(bits, 1).view(np.uint64)
+
+
+def _can_be_near(ka: list[str], kb: list[str], limit: np.ndarray) -> np.ndarray:
+    """False for pairs that can't be within their limits: an edit takes away at most ``GRAM`` grams of either text."""
+    which, texts = pd.factorize(np.array([*ka, *kb], object))
+    bits = _grams(texts.tolist())
+    a, b = bits[which[: len(ka)]], bits[which[len(ka) :]]
+    lost = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+    return np.maximum(*lost) <= GRAM * limit
+
+
+def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, limit: np.ndarray) -> np.ndarray:
     """Edits of each pair: from its chain outwards; the least number where that is over the limit."""
-    pieces = [gaps(a, b, s, size) for a, b, s in zip(ka, kb, seeds, strict=True)]
+    pieces = [gaps(a, b, list(zip((p >> 32).tolist(), (p & 0xFFFFFFFF).tolist(), strict=True)), size) for a, b, p in zip(ka, kb, places, strict=True)]
     owner = np.repeat(np.arange(len(ka)), [len(p) for p in pieces])
     flat = [x for p in pieces for x in p]
     total = np.zeros(len(ka), np.int64)
@@ -555,27 +574,24 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, least:
     useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 4 * parts, least))
     sent = [side(k).mapInPandas(_sent(k, seed, window, classes, useful, spread), SENT) for k in (HELD, TRAIN)]
     met = sent[0].unionByName(sent[1]).repartition(parts, "bucket").sortWithinPartitions("bucket", "held_first").mapInPandas(_joined(share), CANDIDATES)
-    candidates = written(met.groupBy("train_cls", "held_cls").agg(F.collect_list(F.struct("train_place", "held_place")).alias("seeds")))
-    wanted = sc.broadcast(bitmap_of(candidates.select(F.col("train_cls").alias("cls")).union(candidates.select("held_cls")), "cls"))
-
-    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[wanted.value.has(batch["cls"].to_numpy(np.int64).view(np.uint64))].drop_duplicates("cls")
-
-    texts = members.select("cls", "key").mapInPandas(narrow, "cls long, key string").dropDuplicates(["cls"])
-    pairs = candidates.join(texts.withColumnsRenamed({"cls": "train_cls", "key": "ka"}), "train_cls").join(
-        texts.withColumnsRenamed({"cls": "held_cls", "key": "kb"}), "held_cls"
-    )
+    # the candidates of a train text come together, and meet its text there
+    candidates = met.repartition("train_cls").groupBy("train_cls", "held_cls").agg(F.collect_list("places").alias("places"))
+    texts = lambda k, cls, key: side(k).select(F.col("cls").alias(cls), F.col("key").alias(key)).dropDuplicates([cls])
+    pairs = candidates.join(texts(TRAIN, "train_cls", "ka"), "train_cls").join(texts(HELD, "held_cls", "kb"), "held_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ka, kb = batch.pop("ka").tolist(), batch.pop("kb").tolist()
-            seeds = [[(s["train_place"], s["held_place"]) for s in x] for x in batch.pop("seeds")]
-            longer = np.maximum(np.fromiter(map(len, ka), np.int64, len(ka)), np.fromiter(map(len, kb), np.int64, len(kb)))
-            limit = np.floor(longer * share + 1e-9).astype(np.int64)
-            batch["distance"] = _edits(ka, kb, seeds, seed, limit)
-            batch["longer"] = longer
-            yield batch[batch["distance"] <= limit][["train_cls", "held_cls", "distance", "longer"]]
+            if not len(batch):
+                continue
+            length = np.maximum(batch["ka"].str.len().to_numpy(), batch["kb"].str.len().to_numpy()).astype(np.int64)
+            limit = np.floor(length * share + 1e-9).astype(np.int64)
+            may = _can_be_near(batch["ka"].tolist(), batch["kb"].tolist(), limit)
+            batch, length, limit = batch[may], length[may], limit[may]
+            if not len(batch):
+                continue
+            edits = _edits(batch["ka"].tolist(), batch["kb"].tolist(), batch["places"].tolist(), seed, limit)
+            ok = edits <= limit
+            yield pd.DataFrame({"train_cls": batch["train_cls"][ok], "held_cls": batch["held_cls"][ok], "distance": edits[ok], "longer": length[ok]})
 
     return pairs.mapInPandas(align, "train_cls long, held_cls long, distance long, longer long")
 
@@ -586,7 +602,7 @@ def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float =
     ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks.
     """
     members = written(keyed(rows, key, text, split, min_chars))
-    near = class_pairs(members, share, seed, window, least)
+    near = written(class_pairs(members, share, seed, window, least))
     sides = members.groupBy("cls").agg(F.bit_or(F.col("side") + 1).alias("sides"), F.max(F.length("key")).cast("long").alias("longer"))
     same = sides.where("sides = 3").select(
         F.col("cls").alias("train_cls"), F.col("cls").alias("held_cls"), F.lit(0).cast("long").alias("distance"), "longer"

@@ -119,7 +119,15 @@ def test_chain_and_gaps():
     a, b = "xx одинаковый кусок yy", "x одинаковый кусок yyz"
     at = a.index("одинак"), b.index("одинак")
     assert S.gaps(a, b, [at], 12) == [("xx ", "x "), ("", "z")]
-    assert S._edits([a], [b], [[at]], 12, np.array([9])).tolist() == [_levenshtein(a, b)] == [2]
+    assert S._edits([a], [b], [np.array([(at[0] << 32) + at[1]])], 12, np.array([9])).tolist() == [_levenshtein(a, b)] == [2]
+
+
+def test_grams_rule_out_no_near_pair():
+    rng = random.Random(7)
+    a = _texts(rng, 200)
+    b = [_shake(rng, t, rng.randint(0, 12)) for t in a]
+    d = np.array([_levenshtein(x, y) for x, y in zip(a, b, strict=True)])
+    assert S._can_be_near(a, b, d).all() and not S._can_be_near(a, a[1:] + a[:1], np.full(200, 5)).any()
 
 
 def test_copies_in_many_tasks(spark):

@@ -38,6 +38,68 @@ def grow(b: Column, width: Column, height: Column, by: tuple[float, float, float
     )
 
 
+def word_boxes(text: Column, words: Column, given: Column, line: Column) -> Column:
+    """array<box>: a box for each word of a line (``words``: array of structs with text and punct_after, in order).
+
+    A word's stretch of the line's width is that of its characters in the text. Of the ``given`` ink boxes the one that overlaps the
+    stretch most is the word's, if by more than three tenths of the stretch; else the word has its stretch, at the upper median height of
+    the given boxes or of the line. Without given boxes and a line box a word has none.
+    """
+    no_place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"))
+
+    def next_span(acc: Column, w: Column) -> Column:
+        found = F.call_function("locate", w["text"], text, acc["at"] + 1)
+        a = F.when(found > 0, found - 1).otherwise(acc["at"])
+        span = F.struct(a.cast("int").alias("a"), (a + F.length(w["text"]) + F.length(w["punct_after"])).cast("int").alias("b"))
+        return F.struct((a + F.length(w["text"])).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    spans = F.aggregate(words, no_place, next_span, lambda acc: acc["spans"])
+    ink = F.array_sort(F.coalesce(given, F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")))
+    side = lambda name, f: f(F.transform(ink, lambda g: g[name]))
+    some = F.size(ink) > 0
+    whole = F.coalesce(line, F.when(some, box(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))))
+    middle = lambda name: F.get(F.array_sort(F.transform(ink, lambda g: g[name])), (F.size(ink) / 2).cast("int"))
+    n = F.greatest(F.length(text), F.lit(1))
+
+    def of(span: Column) -> Column:
+        a = whole["x0"] + (whole["x1"] - whole["x0"]) * span["a"] / n
+        b = whole["x0"] + (whole["x1"] - whole["x0"]) * span["b"] / n
+        overlap = lambda g: F.least(b, g["x1"]) - F.greatest(a, g["x0"])
+        # of equal overlaps the first from the left
+        best = F.get(F.array_sort(F.transform(ink, lambda g, i: F.struct((-overlap(g)).alias("o"), i.alias("i"), g.alias("g")))), 0)
+        own = box(a, F.when(some, middle("y0")).otherwise(whole["y0"]), b, F.when(some, middle("y1")).otherwise(whole["y1"]))
+        return F.when(whole.isNull(), F.lit(None)).when(some & (-best["o"] > 0.3 * (b - a)), best["g"]).otherwise(own)
+
+    return F.transform(spans, of)
+
+
+def nearest_polyline(x: Column, y: Column, width: Column, height: Column, lines: Column) -> Column:
+    """Number of the line (array of arrays of points x, y) whose nearest point to the left or right of a word is nearest in height.
+
+    A point counts within the larger of 30 and the word's width, and the line within 1.2 heights; null if there is none.
+    """
+    reach = F.greatest(F.lit(30.0), width)
+
+    def far(points: Column) -> Column:
+        beside = F.transform(points, lambda p: F.struct(F.abs(p["x"] - x).alias("dx"), F.abs(p["y"] - y).alias("dy")))
+        return F.get(F.array_sort(F.filter(beside, lambda p: p["dx"] <= reach)), 0)["dy"]
+
+    ranked = F.filter(F.transform(lines, lambda points, i: F.struct(far(points).alias("dy"), i.alias("i"))), lambda r: r["dy"].isNotNull() & (r["dy"] < 1.2 * height))
+    return F.get(F.array_sort(ranked), 0)["i"]
+
+
+def page_halves(width: Column, height: Column) -> Column:
+    """array<struct<side, x_offset, width, height>>: the left and the right half of a spread."""
+    left = F.floor(width / 2).cast("long")
+    half = lambda i, off, w: F.struct(F.lit(i).alias("side"), off.cast("long").alias("x_offset"), w.cast("long").alias("width"), height.cast("long").alias("height"))
+    return F.array(half(0, F.lit(0), left), half(1, left, width - left))
+
+
+def shifted(b: Column, dx: Column) -> Column:
+    """A box of a half back on the whole page."""
+    return box(b["x0"] + dx, b["y0"], b["x1"] + dx, b["y1"])
+
+
 def scale(b: Column, ux: float, uy: float) -> Column:
     """A box stretched about its middle, with whole coordinates cut towards zero."""
     w, h = (b["x1"] - b["x0"]) * ux, (b["y1"] - b["y0"]) * uy

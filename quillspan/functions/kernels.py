@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +26,7 @@ def indel_ratio(a: str, b: str) -> float:
     """100 * (1 - insertions and deletions / total length), from the longest common subsequence, bit-parallel."""
     if not a and not b:
         return 100.0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    v = full = (1 << len(a)) - 1
-    for c in b:
-        u = v & where.get(c, 0)
-        v = (v + u | v - u) & full
-    common = len(a) - v.bit_count()
+    common = _common_length(a, b)
     return 200.0 * common / (len(a) + len(b))
 
 
@@ -67,73 +62,135 @@ def edit_distance_col(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def word_edits(ref: list[str], hyp: list[str]) -> tuple[int, int]:
-    """(edits, hits): the least number of word edits, and the most equal words in an alignment of that cost."""
-    row = [(j, 0) for j in range(len(hyp) + 1)]
-    for i, r in enumerate(ref, 1):
-        new = [(i, 0)]
-        for j, h in enumerate(hyp, 1):
-            diagonal = (row[j - 1][0] + (r != h), row[j - 1][1] - (r == h))
-            new.append(min(diagonal, (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
-        row = new
-    return row[-1][0], -row[-1][1]
+    """(edits, hits): the least number of word edits, and the most equal words in an alignment of that cost.
+
+    One number a cell, edits times a large number less hits, a row at a time: what is put in is a running minimum along the row.
+    """
+    if not ref or not hyp:
+        return max(len(ref), len(hyp)), 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(ref + hyp))}
+    h, one = np.array([number[w] for w in hyp]), len(ref) + len(hyp) + 1
+    slope = np.arange(len(hyp) + 1) * one
+    row = slope.copy()
+    for i, w in enumerate(ref, 1):
+        new = np.append(i * one, np.minimum(row[:-1] + np.where(h == number[w], -1, one), row[1:] + one))
+        row = np.minimum.accumulate(new - slope) + slope
+    edits = -(-int(row[-1]) // one)
+    return edits, edits * one - int(row[-1])
 
 
 @F.pandas_udf(T.StructType([T.StructField("edits", T.LongType()), T.StructField("hits", T.LongType())]))
 def word_edits_col(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([word_edits((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)] or None, columns=["edits", "hits"])
+    """Texts that are equal, as most are, need no alignment."""
+    rows = []
+    for r, h in zip(ref, hyp, strict=True):
+        a, b = (r or "").split(), (h or "").split()
+        rows.append((0, len(a)) if a == b else word_edits(a, b))
+    return pd.DataFrame(rows or None, columns=["edits", "hits"])
+
+
+def word_error_rate(ref: Column, hyp: Column) -> Column:
+    """Word edits over the words of the reference; 0 or 1 for a reference without words."""
+    n = F.size(F.filter(F.split(ref, r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]+"), lambda w: w != ""))
+    e = word_edits_col(ref, hyp)["edits"]
+    return F.when(n == 0, F.when(e == 0, 0.0).otherwise(1.0)).otherwise(e / n)
+
+
+UNLIKE = 2.05
+_COSTS: dict[tuple[str, str], float] = {}
+
+
+def _common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
+    for c in b:
+        u = v & where.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def _pair_cost(a: str, b: str) -> float:
+    """1 - 0.6 * similarity for words at least half alike, else more than leaving out and putting in. Remembered across texts."""
+    got = _COSTS.get((a, b))
+    if got is None:
+        if len(_COSTS) > 500_000:
+            _COSTS.clear()
+        # matched blocks are a common subsequence
+        s = SequenceMatcher(None, a, b).ratio() if _common_length(a, b) * 4 >= len(a) + len(b) else 0.0
+        got = _COSTS[a, b] = 1 - 0.6 * s if s >= 0.5 else UNLIKE
+    return got
 
 
 def align_words(key: list[str], read: list[str], ignore_case: bool = False) -> list[tuple[int | None, int | None]]:
     """Pairs of places. Equal words cost 0, words at least half alike 1 - 0.6 * similarity, others 2.05 (more than
-    leaving out and putting in); on ties a pair comes before leaving out, and that before putting in."""
+    leaving out and putting in); on ties a pair comes before leaving out, and that before putting in.
+
+    Equal words at the end are paired at once. For the rest an alignment of equal words alone bounds the cost, and a
+    path that costs no more stays in a band about the diagonal, so only the band is searched, a row at a time.
+    """
+    composed = lambda w: w if w.isascii() else unicodedata.normalize("NFC", w)
     plain = lambda w: (w.lower() if ignore_case else w).replace("ё", "е").replace("Ё", "Е")
-    k_plain, r_plain = [plain(w) for w in key], [plain(w) for w in read]
-    k_low, r_low = [w.lower() for w in key], [w.lower() for w in read]
+    key, read = [composed(w) for w in key], [composed(w) for w in read]
+    kp, rp = [plain(w) for w in key], [plain(w) for w in read]
     n, m = len(key), len(read)
-    # the matched share can't be more than the letters two words have in common, so few pairs are compared in full
-    letters = {c: i for i, c in enumerate(sorted(set("".join(k_low + r_low))))}
+    tail: list[tuple[int | None, int | None]] = []
+    while n and m and kp[n - 1] == rp[m - 1]:
+        n, m = n - 1, m - 1
+        tail.append((n, m))
+    kl, rl = [w.lower() for w in key[:n]], [w.lower() for w in read[:m]]
+    number = {w: i for i, w in enumerate(dict.fromkeys(kp[:n] + rp[:m]))}
+    ids_k, ids_r = [number[w] for w in kp[:n]], np.array([number[w] for w in rp[:m]], np.int64)
+    most = n + m - 2 * _common_length("".join(map(chr, (0x10000 + i for i in ids_k))), "".join(map(chr, (0x10000 + i for i in ids_r.tolist()))))
+    # a cell is on the way of a path of that cost only if the shifts before and after it add up to no more
+    low, high = -((most - (m - n)) // 2), (most + (m - n)) // 2
+    width = high - low + 1
+    letters = {c: i for i, c in enumerate(dict.fromkeys("".join(kl + rl)))}
 
     def counts(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(letters) + 1), np.int32)
+        out = np.zeros((len(words), len(letters) + 1), np.int16)
         for i, w in enumerate(words):
             for c in w:
                 out[i, letters[c]] += 1
         return out
 
-    ck, cr = counts(k_low), counts(r_low)
-    possible = [np.minimum(row, cr).sum(1) * 4 >= row.sum() + cr.sum(1) for row in ck]
-    known: dict[tuple[str, str], float] = {}
-    cost = [list(map(float, range(m + 1)))]
-    step = [[2] * (m + 1)]
-    for i in range(n):
-        row, how_row, last, may = [i + 1.0], [1], cost[-1], possible[i]
-        for j in range(m):
-            if k_plain[i] == r_plain[j]:
-                c = 0.0
-            elif not may[j]:
-                c = 2.05
-            else:
-                at = k_low[i], r_low[j]
-                c = known.get(at)
-                if c is None:
-                    s = SequenceMatcher(None, *at).ratio()
-                    c = known[at] = 1 - 0.6 * s if s >= 0.5 else 2.05
-            best, how = last[j] + c, 0
-            if last[j + 1] + 1 < best:
-                best, how = last[j + 1] + 1, 1
-            if row[j] + 1 < best:
-                best, how = row[j] + 1, 2
-            row.append(best)
-            how_row.append(how)
-        cost.append(row)
-        step.append(how_row)
+    ck, cr = counts(kl), counts(rl)
+    sizes = cr.sum(1)
+    shifts = np.arange(low, high + 1)
+    row = np.where((shifts >= 0) & (shifts <= m), shifts, np.inf)
+    steps = [bytes([2]) * width]
+    for i in range(1, n + 1):
+        cost = np.full(width, np.inf)
+        a, b = max(1, i + low), min(m, i + high)  # columns of this row that can pair
+        if a <= b:
+            c = np.where(ids_r[a - 1 : b] == ids_k[i - 1], 0.0, UNLIKE)
+            # the matched share can't be more than the letters two words have in common, so few pairs are compared in full
+            may = (np.minimum(ck[i - 1], cr[a - 1 : b]).sum(1) * 4 >= ck[i - 1].sum() + sizes[a - 1 : b]) & (c > 0)
+            for x in np.flatnonzero(may).tolist():
+                c[x] = _pair_cost(kl[i - 1], rl[a - 1 + x])
+            cost[a - i - low : b - i - low + 1] = c
+        paired, left_out = row + cost, np.append(row[1:], np.inf) + 1
+        columns = shifts + i
+        best = np.where((columns >= 0) & (columns <= m), np.minimum(paired, left_out), np.inf)
+        how = bytearray((left_out < paired).astype(np.int8).tobytes())
+        # a word put in costs one more than the cell before, from left to right
+        got, before = best.tolist(), np.inf
+        for x, v in enumerate(got):
+            if before + 1 < v and columns[x] <= m:
+                got[x] = v = before + 1
+                how[x] = 2
+            before = v
+        row = np.array(got)
+        steps.append(bytes(how))
     out: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:
-        how = step[i][j]
+        how = steps[i][j - i - low]
         i, j = i - (how != 2), j - (how != 1)
         out.append((i if how != 2 else None, j if how != 1 else None))
-    return out[::-1]
+    return out[::-1] + tail[::-1]
 
 
 def assign(similar: np.ndarray) -> list[tuple[int, int]]:
@@ -170,20 +227,25 @@ def assign(similar: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
-def edit_events(correct: str, written: str) -> list[tuple[str, str, str]]:
-    """(op, from, to) between a word and its misspelling: sub, del, ins with the letter before, dbl, complex."""
-    out: list[tuple[str, str, str]] = []
+def edit_events(correct: str, written: str) -> list[tuple[str, str, str, float | None]]:
+    """(op, from, to, place) between a word and its misspelling: one letter for another (sub), left out (del), put in after a
+    letter (ins; ``^`` at the start) or doubled (dbl), each with its place in tenths of the word; anything longer is complex, without a place."""
+    out: list[tuple[str, str, str, float | None]] = []
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, correct, written, autojunk=False).get_opcodes():
         a, b = correct[i1:i2], written[j1:j2]
-        if tag == "replace" and len(a) == len(b):
-            out += [("sub", x, y) for x, y in zip(a, b, strict=True)]
-        elif tag == "delete":
-            out += [("del", x, "") for x in a]
-        elif tag == "insert" and len(b) == 1:
-            before = correct[i1 - 1] if i1 else "^"
-            out.append(("dbl", b, b) if b == before else ("ins", before, b))
-        elif tag != "equal":
-            out.append(("complex", a, b))
+        if tag == "equal":
+            continue
+        place = round(i1 / max(1, len(correct)), 1)
+        before = correct[i1 - 1] if i1 else "^"
+        match (len(a), len(b)):
+            case (1, 1):
+                out.append(("sub", a, b, place))
+            case (1, 0):
+                out.append(("del", a, "", place))
+            case (0, 1):
+                out.append(("dbl", b, b, place) if b == before else ("ins", before, b, place))
+            case _:
+                out.append(("complex", a, b, None))
     return out
 
 
@@ -229,3 +291,84 @@ def ctc_score(log_probs: np.ndarray, labels: list[int], blank: int = 0) -> float
             far = np.concatenate(([-np.inf, -np.inf], alpha[:-2]))[:states]
             alpha = np.where(skip, np.logaddexp(total, far), total) + log_probs[t, wide]
     return float(np.logaddexp(alpha[-1], alpha[-2]) if states > 1 else alpha[-1])
+
+
+def letter_spans(frames: list[tuple[int, int]], n_frames: int, per_frame: float, start: float = 0.0) -> list[tuple[float, float]]:
+    """Stretch of each letter in pixels: from half a frame before it fires to half a frame before the next does; the last ends
+    two and a half frames after it fires, within ``n_frames``. A letter is one frame wide at least."""
+    out = []
+    for k, (first, last) in enumerate(frames):
+        a = max(0.0, first - 0.5)
+        b = frames[k + 1][0] - 0.5 if k + 1 < len(frames) else min(float(n_frames), last + 2.5)
+        out.append((start + a * per_frame, start + max(b, a + 1) * per_frame))
+    return out
+
+
+def letter_marks(ink: str, correct: str, spans: list[tuple[float, float]], top: float, bottom: float, per_frame: float, start: float = 0.0) -> list[tuple[str, str, tuple[float, float, float, float]]]:
+    """(ink, correct, box) of each difference: letters that stand for others or too much have their own boxes, letters that
+    are missing a narrow box between their neighbours."""
+    out = []
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, ink, correct, autojunk=False).get_opcodes():
+        if tag in ("replace", "delete"):
+            out.append((ink[i1:i2], correct[j1:j2], (min(a for a, _ in spans[i1:i2]), top, max(b for _, b in spans[i1:i2]), bottom)))
+        elif tag == "insert":
+            x = spans[i1 - 1][1] if i1 else spans[i1][0] if spans else start
+            half = max(4.0, per_frame) / 2
+            out.append(("", correct[j1:j2], (x - half, top, x + half, bottom)))
+    return out
+
+
+def trusted_letters(log_probs: np.ndarray, frames: list[tuple[int, int]], labels: list[int], spans: list[tuple[float, float]], least: float = 0.6, share: float = 0.5) -> list[bool] | None:
+    """Which letters of a word are certain where they fire; None for a word with too few of them or with letters of unlikely width."""
+    sure = [bool(np.exp(log_probs[a : b + 1, x].max()) >= least) for (a, b), x in zip(frames, labels, strict=True)]
+    if sum(sure) < max(1, share * len(sure)):
+        return None
+    widths = [b - a for a, b in spans]
+    middle = float(np.median(widths))
+    return None if middle < 4 or any(w > 3 * middle or w < 0.15 * middle for w in widths) else sure
+
+
+def greedy_pairs(similar: np.ndarray, least: float = 0.0) -> list[tuple[int, int]]:
+    """Each row in turn with the free column most like it, if that's more than ``least``."""
+    used, out = np.zeros(similar.shape[1], bool), []
+    for i, row in enumerate(similar):
+        if used.all():
+            break
+        j = int(np.argmax(np.where(used, -np.inf, row)))
+        if row[j] > least:
+            used[j] = True
+            out.append((i, j))
+    return out
+
+
+def cut_points(profile: np.ndarray, guesses: list[float], middle: float, first: int, last: int) -> list[int] | None:
+    """Places of cuts between letters: thin places of an ink profile in order, near the guesses, with letters of likely width.
+
+    Costs 0.7 * shift / ``middle`` + 1.5 * ink + 0.8 * abs(log(width / ``middle``)); a letter is at least 0.4 ``middle`` wide and a cut shifts by
+    at most twice ``middle``. None if there is no such choice.
+    """
+    smooth = np.convolve(profile, np.ones(5) / 5, mode="same")
+    peak = max(1e-6, float(smooth.max()))
+    thin = {c for c in range(first + 2, last - 2) if smooth[c] <= smooth[c - 1] and smooth[c] <= smooth[c + 1]}
+    places = np.array(sorted(thin | {int(round(min(max(g, first + 2), last - 3))) for g in guesses}))
+    if not len(places) or not guesses:
+        return None if guesses else []
+    narrow, far = max(2.0, 0.4 * middle), 2.0 * middle
+    uneven = lambda w: 0.8 * np.abs(np.log(np.maximum(w, 1.0) / middle))
+    total = np.where(places - first >= narrow, uneven(places - first), np.inf)
+    back = []
+    for k, g in enumerate(guesses):
+        if k:
+            wide = places[None, :] - places[:, None]
+            reach = np.where(wide >= narrow, total[:, None] + uneven(wide), np.inf)
+            back.append(reach.argmin(0))
+            total = reach.min(0)
+        total = total + np.where(np.abs(places - g) <= far, 0.7 * np.abs(places - g) / middle + 1.5 * smooth[places] / peak, np.inf)
+    total = total + np.where(last - places >= narrow, uneven(last - places), np.inf)
+    at = int(total.argmin())
+    if not np.isfinite(total[at]):
+        return None
+    out = [at]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return places[out[::-1]].tolist()

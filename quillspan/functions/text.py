@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import random
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Fixed values that results depend on: punctuation glued to the word before, word characters with inner signs,
 # the seven apostrophe signs and the letters of Uzbek labels.
@@ -16,6 +18,12 @@ WORD = r"[\p{L}\p{N}_]+(?:[-'’ʼ`][\p{L}\p{N}_]+)*"
 APOSTROPHES = "‘’`´'ʻʼ"
 UZBEK_ALLOWED = r"A-Za-z0-9 .,!?:;()\-%\"«»“”–—№/+=ʻʼ"
 SOFT_HYPHEN = "\u00ad"
+# How a line says that it's the answer, signs of handwritten mathematics and their spelling, what is left
+# out of a formula, and a number with a unit.
+ANSWER = r"^\s*(?:javob|жавоб|ответ|answer|j|о)\s*[:=]\s*"
+MATH_SIGNS = (("×", "*"), ("·", "*"), ("∙", "*"), ("÷", "/"), ("−", "-"), ("–", "-"), ("√", "sqrt"), ("²", "^2"), ("³", "^3"), ("π", "pi"))
+MATH_DROPPED = ("\\left", "\\right", "\\,", "\\ ", "$")
+UNIT = r"^\s*([-+]?\d+(?:[.,]\d+)?)\s*([a-zA-Zа-яА-Я/²³^0-9·\s]*)\s*$"
 
 
 @F.pandas_udf(StringType())
@@ -48,6 +56,9 @@ def _cls(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
 
 
+TOKEN_HEAD = rf"^(?:{WORD}|[^\p{{L}}\p{{N}}_\s])"
+
+
 def token_pattern() -> str:
     """A word, or a sign that isn't punctuation, with the punctuation after it."""
     p = _cls(PUNCTUATION)
@@ -61,7 +72,7 @@ def token_array(text: Column) -> Column:
     and trailing signs together, so no fold over the tokens is needed.
     """
     one = token_pattern()
-    head = rf"^(?:{WORD}|[^\p{{L}}\p{{N}}_\s])"
+    head = TOKEN_HEAD
     return F.transform(
         F.regexp_extract_all(text, F.lit(one), F.lit(0)),
         lambda m: F.struct(
@@ -71,9 +82,13 @@ def token_array(text: Column) -> Column:
     )
 
 
+#: white space of any script and kind
+SPACE = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]+"
+
+
 def words_of(text: Column) -> Column:
-    """Words split at white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Words split at white space of any kind."""
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
 def char_error_rate(ref: Column, hyp: Column) -> Column:
@@ -97,12 +112,12 @@ def uzbek_label(text: Column) -> Column:
 
 def math_form(text: Column) -> Column:
     """Handwritten-like mathematics in one spelling: ASCII operators, decimal points, division by a slash."""
-    s = F.regexp_replace(F.trim(text), r"(?iu)^\s*(?:javob|жавоб|ответ|answer|j|о)\s*[:=]\s*", "")
-    for a, b in (("×", "*"), ("·", "*"), ("∙", "*"), ("÷", "/"), ("−", "-"), ("–", "-"), ("√", "sqrt"), ("²", "^2"), ("³", "^3"), ("π", "pi")):
+    s = F.regexp_replace(F.trim(text), f"(?iu){ANSWER}", "")
+    for a, b in MATH_SIGNS:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, r"(?<=\d),(?=\d)", ".")
     s = F.regexp_replace(s, r"(?<=\d)\s*:\s*(?=\d)", "/")
-    for a in ("\\left", "\\right", "\\,", "\\ ", "$"):
+    for a in MATH_DROPPED:
         s = F.replace(s, F.lit(a), F.lit(""))
     return F.regexp_replace(F.trim(s), r"[.;]+$", "")
 
@@ -112,20 +127,21 @@ def accepted_forms(answer: Column) -> Column:
     return F.filter(F.transform(F.split(answer, r"\|\|"), lambda a: F.trim(a)), lambda a: a != "")
 
 
-UNIT = r"^\s*([-+]?\d+(?:[.,]\d+)?)\s*([a-zA-Zа-яА-Я/²³^0-9·\s]*)\s*$"
-
-
 def unit_value(text: Column) -> Column:
     """struct<value, unit> of a number with a unit; null if it isn't one."""
     v = F.replace(F.regexp_extract(text, UNIT, 1), F.lit(","), F.lit("."))
     return F.when(text.rlike(UNIT), F.struct(v.cast("double").alias("value"), F.lower(F.regexp_replace(F.regexp_extract(text, UNIT, 2), r"\s+", "")).alias("unit")))
 
 
-def strip_html(html: Column) -> Column:
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Entities of any name or number as characters (Spark has no built-in for it)."""
+    return pd.Series([t if t is None or "&" not in t else html.unescape(t) for t in texts], dtype=object)
+
+
+def strip_html(page: Column) -> Column:
     """Text of a page: tags are blanks, entities and hard blanks are read."""
-    t = F.regexp_replace(html, r"<[^>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
+    t = unescaped(F.regexp_replace(page, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(F.translate(t, "\u00a0", " "), r"[ \t]+", " "))
 
 
@@ -134,6 +150,26 @@ def strip_thinking(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
+def answer_json(text: Column, schema: str) -> Column:
+    """What a model answered in JSON, read by ``schema``: the outermost braces of what is left without the thinking part; null if there are none."""
+    return F.from_json(F.nullif(F.regexp_extract(strip_thinking(text), r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+def is_linear_ascii(label: Column) -> Column:
+    """Whether a formula is one line of plain characters: no commands, fractions, roots or raised and lowered parts."""
+    return label.rlike(r"^[0-9a-zA-Z+\-*/=().,:<> ]+$")
+
+
+def rounded(number: Column, digits: int = 3) -> Column:
+    """Rounded by the exact binary value, ties to the even neighbour (built-in rounding goes by the shortest decimal)."""
+
+    @F.pandas_udf(DoubleType())
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: round(v, digits), na_action="ignore")
+
+    return run(number)
+
+
 def grounded_lines(text: Column, width: Column, height: Column) -> Column:
     """array<struct<text, x0, y0, x1, y1>> of tagged output whose coordinates run from 0 to 999."""
     tag = r"<\|ref\|>(.*?)<\|/ref\|><\|det\|>\[\[(\d+), ?(\d+), ?(\d+), ?(\d+)\]\]<\|/det\|>"
@@ -145,11 +181,29 @@ def grounded_lines(text: Column, width: Column, height: Column) -> Column:
     )
 
 
-def recase(like: Column, word: Column) -> Column:
-    """``word`` with a capital where ``like`` has one, or all capitals."""
-    return F.when(like == F.upper(like), F.upper(word)).when(
-        F.left(like, F.lit(1)) == F.upper(F.left(like, F.lit(1))), F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 1_000_000))
-    ).otherwise(word)
+def wrapped(text: Column, *by: Column, least: int = 20, most: int = 68) -> Column:
+    """array<string>: a paragraph's words in chunks, each wrapped at a length drawn from ``least`` + 8 to ``most``; chunks of ``least`` to ``most`` characters are kept."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        out = []
+        for t, k in zip(texts, keys, strict=True):
+            if t is None:
+                out.append(None)
+                continue
+            rng, chunks, open_ = random.Random(k), [], ""
+            goal = rng.randint(least + 8, most)
+            for w in t.split():
+                longer = f"{open_} {w}" if open_ else w
+                if open_ and len(longer) > goal:
+                    chunks.append(open_)
+                    open_, goal = w, rng.randint(least + 8, most)
+                else:
+                    open_ = longer
+            out.append([c for c in [*chunks, open_] if least <= len(c) <= most])
+        return pd.Series(out, dtype=object)
+
+    return run(text, F.concat_ws("-", *[b.cast("string") for b in by]))
 
 
 def one_edit_words(word: Column, alphabet: str) -> Column:
@@ -167,16 +221,16 @@ def one_edit_words(word: Column, alphabet: str) -> Column:
 
 
 def apply_edit(word: Column, op: Column, place: Column, letter: Column) -> Column:
-    """One edit at a place from 0: ``sub``, ``del``, ``dbl`` or ``ins``. A replacement keeps the case."""
+    """One edit at a place from 0: ``sub``, ``del``, ``dbl`` or ``ins`` (after the place). A replacement keeps the case."""
     n = F.length(word)
     here = F.substr(word, place + 1, F.lit(1))
-    cased = F.when(here == F.upper(here), F.upper(letter)).otherwise(letter)
+    cased = F.when(here != F.lower(here), F.upper(letter)).otherwise(letter)
     head, tail = F.left(word, place), F.right(word, n - place - 1)
     return (
         F.when(op == "sub", F.concat(head, cased, tail))
         .when(op == "del", F.concat(head, tail))
         .when(op == "dbl", F.concat(head, here, here, tail))
-        .when(op == "ins", F.concat(head, letter, F.right(word, n - place)))
+        .when(op == "ins", F.concat(head, here, letter, tail))
         .otherwise(word)
     )
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspan.functions import geometry as G
-from quillspan.functions.kernels import assign
+from quillspan.functions import text as T
+from quillspan.functions.kernels import assign, greedy_pairs
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -23,22 +24,33 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
-def match_lines(gt: DataFrame, pred: DataFrame, page: str = "file", box_limit: float = 0.3, text_limit: float = 0.35) -> DataFrame:
+def match_lines(gt: DataFrame, pred: DataFrame, page: str = "file", box_limit: float = 0.3, text_limit: float = 0.35, greedy: bool = False) -> DataFrame:
     """(page, gi, pj, similarity): one-to-one pairs of the largest total, then those below the limit dropped.
 
-    Both sides have (page, place, text, x0, y0, x1, y1). Boxes decide if every prediction of the page has one, texts otherwise.
+    Both sides have (page, place, text, x0, y0, x1, y1). Boxes decide if every prediction of the page has one, texts in scored form
+    otherwise. ``greedy``: each true line in turn takes the free prediction most like it instead.
     """
+    gt, pred = (df.withColumn("text", T.scored_form(F.col("text").cast("string"))) for df in (gt, pred))
 
     def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         corners = ["x0", "y0", "x1", "y1"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=[page, "gi", "pj", "similarity"])
+        a, b = a.sort_values("place", ignore_index=True), b.sort_values("place", ignore_index=True)
         boxes = not b[corners].isna().any(axis=None)
         if boxes:
             s = _iou(a[corners].to_numpy(float), b[corners].to_numpy(float))
         else:
-            s = np.array([[SequenceMatcher(None, x or "", y or "").ratio() for y in b["text"]] for x in a["text"]])
-        rows = [(key[0], int(a["place"].iloc[i]), int(b["place"].iloc[j]), float(s[i, j])) for i, j in assign(s) if s[i, j] >= (box_limit if boxes else text_limit)]
+            s = np.zeros((len(a), len(b)))
+            matcher = SequenceMatcher(None)
+            for j, y in enumerate(b["text"].fillna("")):
+                matcher.set_seq2(y)  # what is prepared for one text serves a whole column
+                for i, x in enumerate(a["text"].fillna("")):
+                    matcher.set_seq1(x)
+                    s[i, j] = matcher.ratio()
+        limit = box_limit if boxes else text_limit
+        found = greedy_pairs(s) if greedy else assign(s)
+        rows = [(key[0], int(a["place"].iloc[i]), int(b["place"].iloc[j]), float(s[i, j])) for i, j in found if s[i, j] >= limit]
         return pd.DataFrame(rows or None, columns=[page, "gi", "pj", "similarity"])
 
     return gt.groupBy(page).cogroup(pred.groupBy(page)).applyInPandas(pair, f"`{page}` string, gi long, pj long, similarity double")
@@ -93,6 +105,37 @@ def failure_categories(gt: DataFrame, det: DataFrame, page: str, gt_id: str, det
     return per.select(page, F.col("g").alias(gt_id), kind.alias("category"), F.col("m.iou").alias("best_iou"))
 
 
+def edge_errors(gt: DataFrame, det: DataFrame, page: str, gt_id: str, det_id: str, least: float = 0.3) -> DataFrame:
+    """(edge, mean, sd, median): how far the edges of best matching boxes (overlap ``least`` or more) are off, as shares of the true
+    box's height and width, and the ratios of heights and widths."""
+    best = best_matches(gt, det, page, gt_id, det_id).where(F.col("iou") >= least)
+    pair = best.join(gt.select(page, gt_id, F.col("bbox").alias("__g")), [page, gt_id]).join(det.select(page, det_id, F.col("bbox").alias("__p")), [page, det_id])
+    g, p = F.col("__g"), F.col("__p")
+    h, w = g["y1"] - g["y0"], g["x1"] - g["x0"]
+    edges = {
+        "top": (p["y0"] - g["y0"]) / h, "bottom": (p["y1"] - g["y1"]) / h, "left": (p["x0"] - g["x0"]) / w, "right": (p["x1"] - g["x1"]) / w,
+        "h_ratio": (p["y1"] - p["y0"]) / h, "w_ratio": (p["x1"] - p["x0"]) / w,
+    }
+    rows = pair.select(F.explode(F.array(*[F.struct(F.lit(k).alias("edge"), v.alias("v")) for k, v in edges.items()])).alias("e")).select("e.*")
+    return rows.groupBy("edge").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.median("v").alias("median"))
+
+
+def growth_fit(gt: DataFrame, det: DataFrame, page: str, gt_id: str, det_id: str, least: float = 0.2) -> DataFrame:
+    """One row (n_matched, grow_top, grow_bottom, grow_sides): how much detected boxes must grow, as shares of their own size: medians of the
+    gaps to best matching true boxes, not below nought, in three digits."""
+    best = best_matches(gt, det, page, gt_id, det_id).where(F.col("iou") >= least)
+    pair = best.join(gt.select(page, gt_id, F.col("bbox").alias("__g")), [page, gt_id]).join(det.select(page, det_id, F.col("bbox").alias("__p")), [page, det_id])
+    g, p = F.col("__g"), F.col("__p")
+    h, w = F.greatest(F.lit(1.0), p["y1"] - p["y0"]), F.greatest(F.lit(1.0), p["x1"] - p["x0"])
+    grown = lambda c: F.greatest(F.lit(0.0), F.round(c, 3))
+    return pair.agg(
+        F.count("*").alias("n_matched"),
+        grown(F.median((p["y0"] - g["y0"]) / h)).alias("grow_top"),
+        grown(F.median((g["y1"] - p["y1"]) / h)).alias("grow_bottom"),
+        grown((F.median((p["x0"] - g["x0"]) / w) + F.median((g["x1"] - p["x1"]) / w)) / 2).alias("grow_sides"),
+    )
+
+
 def words_to_lines(words: DataFrame, lines: DataFrame, page: str, word_id: str, line_id: str) -> DataFrame:
     """(page, word_id, line_key): a word's line by its group number, else the line box that holds its middle, else the word itself.
 
@@ -128,6 +171,13 @@ def reading_order(lines: DataFrame, page: str, width: str, height: str) -> DataF
     return lines.withColumn("reading_no", F.row_number().over(order))
 
 
+def reading_rows(boxes: DataFrame, page: str, confidence: str | None = None, least: float = 0.0, row: float = 40.0) -> DataFrame:
+    """Boxes of at least ``least`` confidence with ``reading_no``: by rows of ``row`` pixels from the top (ties of rounding to the even row), then from the left."""
+    kept = boxes if confidence is None else boxes.where(F.coalesce(F.col(confidence), F.lit(1.0)) >= least)
+    order = Window.partitionBy(page).orderBy(F.bround(F.col("bbox.y0") / row, 0), F.col("bbox.x0"), F.col("bbox.y0"), *[c for c in ("pj",) if c in boxes.columns])
+    return kept.withColumn("reading_no", F.row_number().over(order))
+
+
 def drop_overlaps(boxes: DataFrame, page: str, number: str, limit: float = 0.3) -> DataFrame:
     """(page, number) of the boxes kept when each is added in order unless it overlaps one that is kept."""
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspan.functions import geometry as G
 from quillspan.functions import text as T
-from quillspan.functions.kernels import edit_distance_col, indel_ratio_col, word_edits_col
+from quillspan.functions.kernels import edit_distance_col, indel_ratio, word_edits_col, word_error_rate
+from quillspan.session import written
 
 
 def prediction_lines(pred: DataFrame, page: str, value: str) -> DataFrame:
@@ -54,11 +60,21 @@ def aggregate_lines(only: Column | None = None) -> list[Column]:
     ]
 
 
-def page_scores(lines: DataFrame, page: str, place: str) -> DataFrame:
-    """One row a page. The page error rate aligns the whole page: lines in order, joined by line ends."""
+def matched_lines(gt: DataFrame, pred: DataFrame, pairs: DataFrame, page: str = "file") -> DataFrame:
+    """Line scores of true lines (page, gi, text, bbox) with the predicted line (page, pj, text, bbox) that ``pairs`` (page, gi, pj) gives each; hyp is null without one."""
+    both = gt.select(page, "gi", F.col("text").alias("gt_text"), F.col("bbox").alias("gt_box")).join(pairs.select(page, "gi", "pj"), [page, "gi"], "left")
+    both = both.join(pred.select(page, "pj", F.col("text").alias("pred_text"), F.col("bbox").alias("pred_box")), [page, "pj"], "left")
+    hit = F.when(F.col("pred_box").isNotNull(), (G.iou(F.col("gt_box"), F.col("pred_box")) > 0.3).cast("int"))
+    return line_scores(both, "gt_text", "pred_text").withColumn("box_hit", hit)
+
+
+def page_scores(lines: DataFrame, page: str, place: str, pred: DataFrame | None = None) -> DataFrame:
+    """One row a page. The page's error rates align the whole page: true lines in order, and predictions that belong to no line
+    after them (``pred``: page, pj, text; ``lines`` then has pj)."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), "ref", F.coalesce("hyp", F.lit("")).alias("hyp"))))
     # the page alignment is what costs: pages are spread over all tasks, and the grouping needs no other shuffle
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxes = [F.avg("box_hit").alias("box_hit_rate")] if "box_hit" in lines.columns else []
     df = lines.repartition(parts, page).groupBy(page).agg(
         ordered.alias("o"),
         F.avg("cer").alias("mean_cer"),
@@ -69,81 +85,152 @@ def page_scores(lines: DataFrame, page: str, place: str) -> DataFrame:
         F.sum("n_words").alias("n_words"),
         F.sum("word_hits").alias("word_hits"),
         F.count_if("perfect").alias("n_perfect"),
+        *boxes,
     )
-    joined = lambda f: F.array_join(F.transform("o", lambda x: x[f]), "\n")
-    df = df.withColumns({"page_ref": joined("ref"), "page_hyp": joined("hyp")}).withColumn("page_edits", edit_distance_col("page_ref", "page_hyp"))
+    extra = F.array().cast("array<string>")
+    if pred is not None:
+        used = lines.where("pj is not null").select(page, "pj")
+        left = pred.where("text is not null").join(used, [page, "pj"], "left_anti").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pj", T.scored_form(F.col("text")).alias("t")))).alias("x"))
+        df = df.join(left, page, "left")
+        extra = F.coalesce(F.transform("x", lambda x: x["t"]), extra)
+    joined = lambda f, more: F.array_join(F.concat(F.transform("o", lambda x: x[f]), more), "\n")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"page_ref": T.strip(joined("ref", none)), "page_hyp": T.strip(joined("hyp", extra)), "extra_lines": F.size(extra).cast("long")})
+    df = df.withColumn("page_edits", edit_distance_col("page_ref", "page_hyp"))
     rate = F.when(F.length("page_ref") == 0, F.when(F.length("page_hyp") == 0, 0.0).otherwise(1.0)).otherwise(F.col("page_edits") / F.length("page_ref"))
-    return df.withColumn("page_cer", rate).drop("page_ref", "page_hyp", "page_edits").withColumn("line_cer", F.coalesce("mean_cer", F.lit(1.0))).drop("o", "mean_cer")
+    df = df.withColumns({"page_cer": rate, "page_wer": word_error_rate(F.col("page_ref"), F.col("page_hyp")), "line_cer": F.coalesce("mean_cer", F.lit(1.0))})
+    return df.drop("o", "x", "mean_cer", "page_ref", "page_hyp", "page_edits")
 
 
 def overall(pages: DataFrame) -> DataFrame:
+    """One row over all pages (see ``page_scores``)."""
+    more = [F.avg("box_hit_rate").alias("box_hit_rate_mean")] if "box_hit_rate" in pages.columns else []
+    if "teacher_marks" in pages.columns:
+        marked = F.coalesce("teacher_marks", F.lit(0)) > 0
+        more += [F.avg(F.when(~marked, F.col("page_cer"))).alias("page_cer_clean_pages"), F.avg(F.when(marked, F.col("page_cer"))).alias("page_cer_marked_pages")]
     return pages.agg(
         F.count("*").alias("n_pages"),
         ratio(F.sum(F.col("page_cer") * F.col("n_chars")), F.sum("n_chars")).alias("page_cer_cw"),
         F.median("page_cer").alias("page_cer_median"),
+        F.avg("page_wer").alias("page_wer_mean"),
         F.avg("line_cer").alias("line_cer_mean"),
         F.median("line_cer").alias("line_cer_median"),
         F.avg("line_recall").alias("line_recall_mean"),
+        F.sum("extra_lines").alias("extra_lines"),
         F.sum("n_lines").alias("n_lines"),
         F.sum("n_chars").alias("n_chars"),
+        *more,
     )
 
 
-def draws(spark, k: int, n: int) -> DataFrame:
-    """(b, pick): n resamples of k places from 0, by a fixed linear congruence, so that any engine draws the same."""
-    df = spark.range(n).select(F.col("id").alias("b")).crossJoin(spark.range(k).select(F.col("id").alias("i")))
-    return df.select("b", draw_of(F.col("b"), F.col("i"), F.lit(k)).alias("pick"))
+BUCKET_DIGITS = 2
+
+
+def draw_of(seed: int, b: Column, i: Column, k: Column) -> Column:
+    """A place below k, drawn with replacement: the first eight digits of a hash of seed, resample and draw, which any engine can make."""
+    return F.conv(F.left(F.md5(F.concat_ws("-", F.lit(seed), b, i)), F.lit(8)), 16, 10).cast("long") % k
 
 
-def draw_of(b: Column, i: Column, k: Column) -> Column:
-    return (((b * 7919 + i * 104729 + 12345) * 1103515245 + 12345) % 2147483648) % k
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``pick``: rows numbered from 0 by bucket of the key's hash and key. Only the 256 sizes of buckets meet in one task."""
+    bucket = F.left(F.md5(F.col(key).cast("string")), F.lit(BUCKET_DIGITS))
+    df = rows.withColumn("__bucket", bucket)
+    sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
+    return df.withColumn("__place", place).join(F.broadcast(before), "__bucket").withColumn("pick", (F.col("__before") + F.col("__place")).cast("long")).drop("__bucket", "__place", "__before")
 
 
-def bootstrap(sums: DataFrame, order: str, num: str, den: str, n: int = 200, other: str | None = None) -> DataFrame:
-    """Percentile interval of a ratio of page sums (or of the difference to ``other``'s ratio, on the same draws).
+def bootstrap(sums: DataFrame, key: str, num: str, den: str, n: int = 1000, other: tuple[str, str] | None = None, seed: int = 0) -> DataFrame:
+    """Percentile interval of a ratio of page sums (or of its difference to the ratio ``other`` of the same pages, on the same draws).
 
-    ``sums`` has one row a page: n pages make n * resamples rows of three numbers, whatever the number of lines.
+    ``sums`` has one row a page; a resample draws as many pages as there are, with replacement. n pages make n * resamples rows of three
+    numbers, whatever the number of lines.
     """
-    numbered = sums.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("pick"), F.col(num).alias("num"), F.col(den).alias("den"), *([F.col(other).alias("other")] if other else []))
-    size = numbered.agg(F.count("*").alias("k"))
+    more = {"other_num": F.col(other[0]), "other_den": F.col(other[1])} if other else {}
+    pages = numbered(sums.select(F.col(key).alias("key"), F.col(num).alias("num"), F.col(den).alias("den"), *[c.alias(a) for a, c in more.items()]), "key")
+    size = pages.agg(F.count("*").alias("k"))
     spread = (
-        numbered.select(F.col("pick").alias("i"))
+        pages.select(F.col("pick").alias("i"))
         .crossJoin(F.broadcast(size))  # one row
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-        .select("b", draw_of(F.col("b"), F.col("i"), F.col("k")).alias("pick"))
-    )
-    per = spread.join(numbered, "pick").groupBy("b").agg(
-        (F.sum("num") / F.greatest(F.sum("den"), F.lit(1e-9)) - (F.sum("other") / F.greatest(F.sum("den"), F.lit(1e-9)) if other else F.lit(0.0))).alias("v")
+        .select("b", draw_of(seed, F.col("b"), F.col("i"), F.col("k")).alias("pick"))
     )
+    rate = lambda a, b: F.sum(a) / F.greatest(F.sum(b), F.lit(1e-9))
+    per = spread.join(pages, "pick").groupBy("b").agg((rate("num", "den") - (rate("other_num", "other_den") if other else F.lit(0.0))).alias("v"))
     low, high = F.percentile("v", 0.025), F.percentile("v", 0.975)
     out = [low.alias("low"), F.avg("v").alias("mean"), high.alias("high")]
     return per.agg(*out, *([((high < 0) | (low > 0)).alias("significant")] if other else []))
 
 
-def seen_lines(lines: DataFrame, key: str, text: str, train: DataFrame, train_text: str, threshold: float = 80.0, min_chars: int = 8, rare: int = 50) -> DataFrame:
-    """(key, seen): whether a training text is at least ``threshold`` percent like a line; null for short lines.
+SEEN_CLASSES, SEEN_BITS = 64, 256
+
+
+def _marks_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, letter counts by class and number of distinct pairs of letters by bit: what bounds the likeness of two texts."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), length)
+    counts = np.bincount(owner * SEEN_CLASSES + codes % SEEN_CLASSES, minlength=len(texts) * SEEN_CLASSES).reshape(-1, SEEN_CLASSES)
+    bits = np.zeros((len(texts), SEEN_BITS), bool)
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    bits[owner[inside], (codes[inside] * 31 + codes[inside + 1] * 17) % SEEN_BITS] = True
+    return length, np.minimum(counts, 255).astype(np.uint8), np.packbits(bits, 1).view(np.uint64)
+
+
+def seen_lines(lines: DataFrame, key: str, text: str, train: DataFrame, train_text: str, threshold: float = 80.0, min_chars: int = 8, block: int = 20_000) -> DataFrame:
+    """(key, seen): whether a training text is at least ``threshold`` percent like a line; null for short and null lines.
 
-    Texts are distinct first. Candidates share a word or two neighbouring words that at most ``rare`` training
-    texts hold, or any four words in a row; equal texts need no candidate. Every candidate is measured on the
-    whole text.
+    The lines are a query set against all training texts, in blocks of ``block`` distinct lines that reach every task (some
+    megabytes); equal texts are found by a join first. A pair is measured unless a bound that holds for every pair rules it out: a share t of
+    common letters needs t/2 of both lengths in common letters, and each letter that isn't common takes away at most two pairs of
+    neighbours. So nothing is lost, and the time grows with lines times training texts, at some nanoseconds a pair.
     """
     line = lines.select(F.col(key).alias("key"), T.scored_form(F.col(text)).alias("a"))
-    long_ = line.where(F.length("a") >= min_chars)
-    a = long_.select("a").distinct()
-    b = train.select(T.scored_form(F.col(train_text)).alias("b")).where("b <> ''").distinct()
-
-    def grams(df: DataFrame, c: str, n: int) -> DataFrame:
-        w = T.words_of(F.col(c))
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return df.select(c, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("g"))
-
-    near = F.greatest(F.length("a"), F.length("b")) * 2 <= F.least(F.length("a"), F.length("b")) * 3
-    pairs = None
-    for n in (1, 2, 4):
-        gb = grams(b, "b", n)
-        if n < 4:
-            gb = gb.join(gb.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("g"), "g")
-        found = grams(a, "a", n).join(gb, "g").where(near).select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    hit = pairs.distinct().where(indel_ratio_col("a", "b") >= threshold).select("a").union(a.join(b, F.col("a") == F.col("b"), "left_semi")).distinct()
-    return line.join(hit.withColumn("hit", F.lit(True)), "a", "left").select("key", F.when(F.length("a") >= min_chars, F.coalesce("hit", F.lit(False))).alias("seen"))
+    a = line.where(F.length("a") >= min_chars).select("a").distinct()
+    b = written(train.select(T.scored_form(F.col(train_text)).alias("b")).where("b <> ''").distinct())
+    equal = a.join(b, F.col("a") == F.col("b"), "left_semi")
+    rest = written(a.join(b, F.col("a") == F.col("b"), "left_anti"))
+    need = threshold / 200.0
+    found = [equal]
+    n = -(-rest.count() // block)
+    for k in range(n):
+        part = rest if n == 1 else rest.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k)
+        given = lines.sparkSession.sparkContext.broadcast(sorted(r.a for r in part.collect()))  # some ``block`` lines
+
+        def search(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            asked = sorted(given.value, key=len)
+            la, ca, ga = _marks_of(asked)
+            open_ = np.ones(len(asked), bool)
+            for batch in batches:
+                texts = sorted(batch["b"].tolist(), key=len)
+                lb, cb, gb = _marks_of(texts)
+                for s in range(0, len(texts), 256):
+                    rows = slice(s, min(s + 256, len(texts)))
+                    # lengths of both within the reach of the threshold
+                    lo = np.searchsorted(la, np.ceil(lb[rows.start] * need / (1 - need) - 1e-9))
+                    hi = np.searchsorted(la, np.floor(lb[rows.stop - 1] * (1 - need) / need + 1e-9), side="right")
+                    live = np.flatnonzero(open_[lo:hi]) + lo
+                    for t in range(0, len(live), 2048):
+                        cols = live[t : t + 2048]
+                        total = la[cols][:, None] + lb[rows][None, :]
+                        common = np.zeros(total.shape, np.int32)
+                        for c in range(SEEN_CLASSES):
+                            common += np.minimum(ca[cols, c][:, None], cb[rows, c][None, :])
+                        i, j = np.nonzero(common >= need * total - 1e-9)
+                        if len(i):
+                            x, y = cols[i], rows.start + j
+                            lost = la[x] + lb[y] - 2 * np.ceil(need * (la[x] + lb[y]) - 1e-9)
+                            gone = np.maximum(np.bitwise_count(ga[x] & ~gb[y]).sum(1, dtype=np.int64), np.bitwise_count(gb[y] & ~ga[x]).sum(1, dtype=np.int64))
+                            x, y = x[gone <= 2 * lost], y[gone <= 2 * lost]
+                            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                                if open_[p] and indel_ratio(asked[p], texts[q]) >= threshold:
+                                    open_[p] = False
+            yield pd.DataFrame({"a": pd.Series([asked[p] for p in np.flatnonzero(~open_)], dtype=object)})
+
+        found.append(b.mapInPandas(search, "a string"))
+    hit = found[0]
+    for f in found[1:]:
+        hit = hit.unionByName(f)
+    hit = hit.distinct().withColumn("hit", F.lit(True))
+    return line.join(hit, "a", "left").select("key", F.when(F.length("a") >= min_chars, F.coalesce("hit", F.lit(False))).alias("seen"))

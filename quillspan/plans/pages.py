@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillspan.functions import geometry as G
 from quillspan.functions import text as T
 from quillspan.functions.kernels import indel_ratio_col, similarity_col
-from quillspan.operators import matching, scoring
+from quillspan.operators import dictation, matching, scoring
 from quillspan.plans.registry import Registry
 from quillspan.session import table
 
@@ -56,7 +56,12 @@ def annotation_areas(spark: SparkSession, d: str) -> DataFrame:
     return made.select("ann_id", F.round(G.polygon_area(F.col("segmentation"))).cast("long").alias("area"))
 
 
-@query()
+@query(
+    f"WITH a AS (SELECT ann_id, image_id, category, group_id, list_min({_XS}) AS x0, list_min({_YS}) AS y0, list_max({_XS}) AS x1, list_max({_YS}) AS y1 FROM {_ANN} WHERE len(segmentation) >= 6 AND len(segmentation) % 2 = 0),"
+    " w AS (SELECT *, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM a WHERE category = 'pupil_text'),"
+    " h AS (SELECT w.ann_id, arg_min(l.ann_id, (abs(w.my - (l.y0 + l.y1) / 2), l.ann_id)) AS l FROM w JOIN a l ON l.image_id = w.image_id AND l.category = 'text_line' AND w.mx BETWEEN l.x0 AND l.x1 AND w.my BETWEEN l.y0 AND l.y1 GROUP BY w.ann_id)"
+    " SELECT CAST(image_id AS VARCHAR) AS page, ann_id, CASE WHEN group_id IS NOT NULL THEN 'g' || group_id WHEN l IS NOT NULL THEN 'l' || l ELSE 'w' || ann_id END AS line_key FROM w LEFT JOIN h USING (ann_id)"
+)
 def word_lines(spark: SparkSession, d: str) -> DataFrame:
     """Words of a page image with their line."""
     ann = annotations(spark, d).where("bbox is not null")
@@ -169,44 +174,180 @@ def kept_boxes(spark: SparkSession, d: str) -> DataFrame:
     return matching.drop_overlaps(det.withColumnRenamed("d", "number"), "file", "number")
 
 
-_E = f"(SELECT g.y0 - d.y0 AS t, d.y1 - g.y1 AS b, g.y1 - g.y0 AS h, g.x1 - g.x0 AS w, d.x1 - d.x0 AS dw FROM {_G} g JOIN {_D} d ON g.file = d.file AND g.g = d.d)"
+@query()
+def greedy_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall when each true box takes the free box it overlaps most."""
+    gt, det = _gt(spark, d), _det(spark, d)
+    return matching.detector_scores(gt, det, matching.match_lines(_flat(gt, "g"), _flat(det, "d"), box_limit=0.5, greedy=True))
+
+
+_BEST = f"(SELECT g.file, g.g, arg_max(struct_pack(x0 := d.x0, y0 := d.y0, x1 := d.x1, y1 := d.y1), ({_IOU}, -d.d)) AS p, max({_IOU}) AS iou FROM {_G} g JOIN {_D} d USING (file) GROUP BY g.file, g.g)"
+_PAIR = f"(SELECT b.*, g.x0, g.y0, g.x1, g.y1, g.y1 - g.y0 AS h, g.x1 - g.x0 AS w, greatest(1, p.y1 - p.y0) AS ph, greatest(1, p.x1 - p.x0) AS pw FROM {_BEST} b JOIN {_G} g USING (file, g))"
+_OFF = ("(p.y0 - y0) / h", "(p.y1 - y1) / h", "(p.x0 - x0) / w", "(p.x1 - x1) / w", "(p.y1 - p.y0) / h", "(p.x1 - p.x0) / w")
+
 
+@query(
+    "SELECT edge, avg(v) AS mean, stddev_pop(v) AS sd, median(v) AS median FROM ("
+    + " UNION ALL ".join(f"SELECT '{e}' AS edge, {x} AS v FROM {_PAIR} WHERE iou >= 0.3" for e, x in zip(("top", "bottom", "left", "right", "h_ratio", "w_ratio"), _OFF, strict=True))
+    + ") GROUP BY edge"
+)
+def edge_errors(spark: SparkSession, d: str) -> DataFrame:
+    return matching.edge_errors(_gt(spark, d), _det(spark, d), "file", "g", "d")
 
-@query(f"SELECT median(t / h) AS top_median, median(b / h) AS bottom_median, greatest(0, median(-t / h)) AS grow_top, median(dw / w) AS width_ratio FROM {_E}")
+
+@query(
+    "SELECT count(*) AS n_matched, greatest(0, round(median((p.y0 - y0) / ph), 3)) AS grow_top, greatest(0, round(median((y1 - p.y1) / ph), 3)) AS grow_bottom,"
+    f" greatest(0, round((median((p.x0 - x0) / pw) + median((x1 - p.x1) / pw)) / 2, 3)) AS grow_sides FROM {_PAIR} WHERE iou >= 0.2"
+)
 def growth_fit(spark: SparkSession, d: str) -> DataFrame:
-    g, x = F.col("gb"), F.col("db")
-    pair = _gt(spark, d).select("g", F.col("bbox").alias("gb")).join(_det(spark, d).select(F.col("d").alias("g"), F.col("bbox").alias("db")), "g")
-    h = g["y1"] - g["y0"]
-    top, bottom = (g["y0"] - x["y0"]) / h, (x["y1"] - g["y1"]) / h
-    return pair.agg(
-        F.median(top).alias("top_median"), F.median(bottom).alias("bottom_median"), F.greatest(F.lit(0.0), F.median(-top)).alias("grow_top"), F.median((x["x1"] - x["x0"]) / (g["x1"] - g["x0"])).alias("width_ratio")
-    )
+    return matching.growth_fit(_gt(spark, d), _det(spark, d), "file", "g", "d")
 
 
-# ---- scores --------------------------------------------------------------------------------------
+@query(
+    "SELECT line_id, row_number() OVER (PARTITION BY file ORDER BY round_even(bbox.y0 / 40, 0), bbox.x0, bbox.y0, line_id) AS reading_no FROM gt_line WHERE bbox IS NOT NULL"
+)
+def row_order(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "gt_line").where("bbox is not null").withColumn("pj", F.col("line_id"))
+    return matching.reading_rows(lines, "file").select("line_id", F.col("reading_no").cast("long"))
+
+
+@query(
+    "SELECT file, unnest([0, 1])::INT AS side, unnest([0, width // 2])::BIGINT AS x_offset, unnest([width // 2, width - width // 2])::BIGINT AS width, height::BIGINT AS height FROM gt_page"
+)
+def half_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gt_page").select("file", F.explode(G.page_halves(F.col("width"), F.col("height"))).alias("h")).select("file", "h.*")
+
+
+@query("SELECT line_id, bbox.x0 + width // 2 AS x0, bbox.y0 AS y0, bbox.x1 + width // 2 AS x1, bbox.y1 AS y1 FROM gt_line JOIN gt_page USING (file) WHERE bbox IS NOT NULL")
+def boxes_on_page(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that were found on a right half, on the whole page."""
+    lines = table(spark, d, "gt_line").join(table(spark, d, "gt_page").select("file", "width"), "file").where("bbox is not null")
+    return lines.select("line_id", G.shifted(F.col("bbox"), F.floor(F.col("width") / 2)).alias("b")).select("line_id", "b.*")
+
+
+@query(
+    "SELECT line_id, trunc((bbox.x0 + bbox.x1) / 2 - (bbox.x1 - bbox.x0) * 1.1 / 2) AS x0, trunc((bbox.y0 + bbox.y1) / 2 - (bbox.y1 - bbox.y0) * 1.5 / 2) AS y0,"
+    " trunc((bbox.x0 + bbox.x1) / 2 + (bbox.x1 - bbox.x0) * 1.1 / 2) AS x1, trunc((bbox.y0 + bbox.y1) / 2 + (bbox.y1 - bbox.y0) * 1.5 / 2) AS y1 FROM gt_line WHERE bbox IS NOT NULL"
+)
+def scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gt_line").where("bbox is not null").select("line_id", G.scale(F.col("bbox"), 1.1, 1.5).alias("b")).select("line_id", "b.*")
+
+
+_SPANS = (
+    "(SELECT line_id, bbox, t, i, CAST(list_sum(list_transform(t[1:i - 1], lambda w: length(w))) AS BIGINT) AS before FROM (SELECT line_id, bbox, t, unnest(range(1, len(t) + 1)) AS i FROM"
+    " (SELECT line_id, bbox, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM gt_line WHERE bbox IS NOT NULL)))"
+)
+
+
+@query(
+    "SELECT line_id, i AS word_no, bbox.x0 + (bbox.x1 - bbox.x0) * (coalesce(before, 0) + i - 1) / (list_sum(list_transform(t, lambda w: length(w))) + len(t) - 1) AS x0,"
+    " bbox.x0 + (bbox.x1 - bbox.x0) * (coalesce(before, 0) + i - 1 + length(t[i])) / (list_sum(list_transform(t, lambda w: length(w))) + len(t) - 1) AS x1, bbox.y0 AS y0, bbox.y1 AS y1 FROM " + _SPANS
+)
+def estimated_word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of the words of a line by their places alone (the words joined by single blanks)."""
+    lines = table(spark, d, "gt_line").where("bbox is not null").select("line_id", "bbox", F.array_join(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ").alias("t"))
+    none = F.lit(None).cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    words = F.transform(T.words_of(F.col("t")), lambda w: F.struct(w.alias("text"), F.lit("").alias("punct_after")))
+    return lines.select("line_id", F.posexplode(G.word_boxes(F.col("t"), words, none, F.col("bbox"))).alias("i", "b")).select("line_id", (F.col("i") + 1).cast("long").alias("word_no"), "b.*")
 
 
 @query()
+def token_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of a page's lines with their ink boxes, given or estimated."""
+    lines = table(spark, d, "gt_line").select(
+        "file", "gi", "text", "bbox", F.col("line_id").cast("string").alias("line_id"), F.lit(0.9).alias("confidence"),
+        F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["bbox"].alias("bbox"), F.lit(None).cast("double").alias("confidence"))).alias("words"),
+    )
+    made = dictation.lines_to_tokens(lines, "file", "gi", "text")
+    return made.select("file", F.posexplode("read").alias("n", "t")).select("file", "n", "t.text", "t.line_id", "t.line_pos", "t.bbox")
+
+
+# ---- scores --------------------------------------------------------------------------------------
+
+
+_S = f"(SELECT line_id, file, gi, {NORM_T.format('text')} AS ref, {NORM_T.format(HYP_SQL)} AS hyp FROM gt_line)"
+# the second reading only leaves letters out, so its edits are the difference of lengths, and its words are the line's in order
+_WORDS = "list_filter(string_split_regex({}, '" + T.SPACE.replace("{", "{{").replace("}", "}}") + "'), lambda w: w <> '')"
+_L = (
+    f"(SELECT *, CASE WHEN hyp IS NOT NULL THEN CASE WHEN length(ref) = 0 THEN 0.0 ELSE (length(ref) - length(hyp)) / CAST(length(ref) AS DOUBLE) END END AS cer, length(ref) AS n_chars, len({_WORDS.format('ref')}) AS n_words,"
+    f" CASE WHEN hyp IS NULL THEN 0 ELSE len(list_filter(list_zip({_WORDS.format('ref')}, {_WORDS.format('hyp')}), lambda z: z[1] = z[2])) END AS word_hits, coalesce(ref = hyp, false) AS perfect FROM {_S})"
+)
+
+
+@query(f"SELECT line_id, cer, CASE WHEN cer IS NULL THEN n_chars ELSE n_chars - length(hyp) END::DOUBLE AS edits, n_chars, n_words, word_hits, perfect FROM {_L}")
 def line_cer(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("line_id", "cer", "edits", "n_chars", "n_words", "word_hits", "perfect")
+    return scored(spark, d).select("line_id", "cer", F.round("edits", 6).alias("edits"), "n_chars", "n_words", "word_hits", "perfect")
 
 
-@query()
+@query(
+    "SELECT count(*) AS n_lines, sum(n_chars - length(hyp)) FILTER (hyp IS NOT NULL) / CAST(sum(n_chars) FILTER (hyp IS NOT NULL) AS DOUBLE) AS cer_matched,"
+    " sum(n_chars - coalesce(length(hyp), 0)) / CAST(sum(n_chars) AS DOUBLE) AS cer_all, sum(word_hits) / CAST(sum(n_words) AS DOUBLE) AS word_accuracy,"
+    f" count(*) FILTER (perfect) / CAST(count(*) AS DOUBLE) AS perfect_share FROM {_L}"
+)
 def overall_cer(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).agg(*scoring.aggregate_lines())
 
 
-@query()
+_PAGES = (
+    "(SELECT file, count(hyp) / CAST(count(*) AS DOUBLE) AS line_recall, coalesce(avg(cer), 1.0) AS line_cer, count(*) AS n_lines, sum(n_chars)::BIGINT AS n_chars, sum(n_words)::BIGINT AS n_words, sum(word_hits)::BIGINT AS word_hits,"
+    " count(*) FILTER (perfect) AS n_perfect,"
+    " length(trim(string_agg(ref, chr(10) ORDER BY gi), chr(10) || ' ')) AS r, length(trim(string_agg(coalesce(hyp, ''), chr(10) ORDER BY gi), chr(10) || ' ')) AS h"
+    f" FROM {_L} GROUP BY file)"
+)
+
+
+@query(f"SELECT file, line_recall, line_cer, n_lines, n_chars, n_words, word_hits, n_perfect, CASE WHEN r = 0 THEN 0.0 ELSE (r - h) / CAST(r AS DOUBLE) END AS page_cer FROM {_PAGES}")
 def page_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.page_scores(scored(spark, d), "file", "gi")
+    return scoring.page_scores(scored(spark, d), "file", "gi").drop("edits", "page_wer", "extra_lines")
 
 
-@query()
+@query(
+    "SELECT count(*) AS n_pages, sum(c * n_chars) / sum(n_chars) AS page_cer_cw, median(c) AS page_cer_median, avg(line_cer) AS line_cer_mean, median(line_cer) AS line_cer_median, avg(line_recall) AS line_recall_mean,"
+    f" sum(n_lines)::BIGINT AS n_lines, sum(n_chars)::BIGINT AS n_chars FROM (SELECT *, CASE WHEN r = 0 THEN 0.0 ELSE (r - h) / CAST(r AS DOUBLE) END AS c FROM {_PAGES})"
+)
 def overall_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.overall(scoring.page_scores(scored(spark, d), "file", "gi"))
+    return scoring.overall(scoring.page_scores(scored(spark, d), "file", "gi")).drop("page_wer_mean", "extra_lines")
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    """The second reading as lines of a detector: some lines are missing, and after every thirteenth comes one that isn't there."""
+    lines = table(spark, d, "gt_line").where("bbox is not null")
+    found = lines.select("file", F.col("gi").cast("long").alias("pj"), read_again().alias("text"), "bbox").where("text is not null")
+    far = F.col("gi") * 60.0 + 1e6
+    more = lines.where("line_id % 13 = 0").select("file", (F.col("gi") + 1_000_000).cast("long").alias("pj"), F.lit("лишняя строка").alias("text"), G.box(F.lit(0.0), far, F.lit(500.0), far + 50).alias("bbox"))
+    return found.unionByName(more)
+
+
+def page_block_rows(spark: SparkSession, d: str) -> DataFrame:
+    gt = table(spark, d, "gt_line").where("bbox is not null").select("file", F.col("gi").cast("long").alias("gi"), "text", "bbox")
+    pred = _predicted(spark, d)
+    flat = lambda df, place: df.select("file", F.col(place).alias("place"), "text", "bbox.*")
+    pairs = matching.match_lines(flat(gt, "gi"), flat(pred, "pj"))
+    pages = scoring.page_scores(scoring.matched_lines(gt, pred, pairs), "file", "gi", pred)
+    return pages.join(table(spark, d, "gt_page").select("file", "teacher_marks"), "file", "left")
+
+
+@query(
+    "SELECT p.file, p.line_recall, p.line_cer, p.n_lines, p.n_chars, p.n_perfect, coalesce(x, 0) AS extra_lines, CASE WHEN line_recall > 0 THEN 1.0 END AS box_hit_rate, g.teacher_marks"
+    f" FROM {_PAGES} p LEFT JOIN (SELECT file, count(*) AS x FROM gt_line WHERE bbox IS NOT NULL AND line_id % 13 = 0 GROUP BY file) e ON e.file = p.file LEFT JOIN gt_page g ON g.file = p.file"
+)
+def page_block(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a reading with its own boxes: lines are matched by box, and lines that aren't there are counted."""
+    return page_block_rows(spark, d).select("file", "line_recall", "line_cer", "n_lines", "n_chars", "n_perfect", "extra_lines", "box_hit_rate", "teacher_marks")
+
+
+@query()
+def overall_block(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.overall(page_block_rows(spark, d))
+
+
+@query("SELECT file, row_number() OVER (ORDER BY c, file) AS place FROM (SELECT file, CASE WHEN r = 0 THEN 0.0 ELSE (r - h) / CAST(r AS DOUBLE) END AS c FROM " + _PAGES + ") QUALIFY place <= 10")
+def best_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The ten pages read best (a report)."""
+    made = scoring.page_scores(scored(spark, d), "file", "gi").select("file", "page_cer").orderBy("page_cer", "file").limit(10)
+    return made.select("file", F.row_number().over(Window.orderBy("page_cer", "file")).cast("long").alias("place"))
 
 
-_S = f"(SELECT line_id, file, {NORM_T.format('text')} AS ref, {NORM_T.format(HYP_SQL)} AS hyp FROM gt_line)"
 
 
 @query(f"SELECT file, count(*) AS n_lines, count(hyp) / CAST(count(*) AS DOUBLE) AS line_recall, sum(length(ref))::BIGINT AS n_chars, count(*) FILTER (hyp IS NOT NULL AND ref = hyp) AS n_perfect FROM {_S} GROUP BY file")
@@ -224,20 +365,20 @@ def clean_vs_marked(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).join(pages, "file").groupBy("marked").agg(F.count("*").alias("n_lines"), (F.count_if("perfect") / F.count("*")).alias("perfect_share"))
 
 
-_P = f"(SELECT file, count(*) FILTER (hyp IS NOT NULL AND ref = hyp) AS num, count(*) AS den, count(*) FILTER (hyp IS NOT NULL) AS other FROM {_S} GROUP BY file)"
+_P = f"(SELECT file AS key, count(*) FILTER (perfect) AS num, count(*) AS den, sum(word_hits) AS other_num, sum(n_words) AS other_den FROM {_L} GROUP BY file)"
 
 
 def _bootstrap_sql(other: str = "", more: str = "") -> str:
     return (
-        f"WITH p AS (SELECT *, row_number() OVER (ORDER BY file) - 1 AS pick FROM {_P}), k AS (SELECT count(*) AS k FROM p),"
-        " w AS (SELECT b, (((b * 7919 + i * 104729 + 12345) * 1103515245 + 12345) % 2147483648) % k AS pick FROM (SELECT unnest(range(200)) AS b) x, (SELECT pick AS i FROM p) y, k),"
+        f"WITH p AS (SELECT *, row_number() OVER (ORDER BY left(md5(key), 2), key) - 1 AS pick FROM {_P}), k AS (SELECT count(*) AS k FROM p),"
+        " w AS (SELECT b, ('0x' || left(md5('0-' || b || '-' || i), 8))::BIGINT % k AS pick FROM (SELECT unnest(range(1000)) AS b) x, (SELECT pick AS i FROM p) y, k),"
         f" v AS (SELECT b, sum(num) / greatest(sum(den), 1e-9){other} AS v FROM w JOIN p USING (pick) GROUP BY b)"
         f" SELECT quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high{more} FROM v"
     )
 
 
 def _sums(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).groupBy("file").agg(F.count_if("perfect").alias("num"), F.count("*").alias("den"), F.count("hyp").alias("other"))
+    return scored(spark, d).groupBy("file").agg(F.count_if("perfect").alias("num"), F.count("*").alias("den"), F.sum("word_hits").alias("hits"), F.sum("n_words").alias("words"))
 
 
 @query(_bootstrap_sql())
@@ -245,9 +386,19 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return scoring.bootstrap(_sums(spark, d), "file", "num", "den").drop("mean")
 
 
-@query(_bootstrap_sql(" - sum(other) / greatest(sum(den), 1e-9)", ", quantile_cont(v, 0.975) < 0 OR quantile_cont(v, 0.025) > 0 AS significant"))
+@query(_bootstrap_sql(" - sum(other_num) / greatest(sum(other_den), 1e-9)", ", quantile_cont(v, 0.975) < 0 OR quantile_cont(v, 0.025) > 0 AS significant"))
 def paired_delta(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.bootstrap(_sums(spark, d), "file", "num", "den", other="other").drop("mean")
+    """Share of perfect lines against share of right words, on the same draws of pages."""
+    return scoring.bootstrap(_sums(spark, d), "file", "num", "den", other=("hits", "words")).drop("mean")
+
+
+@query()
+def baseline_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Character error rate of matched lines of two readings of the same pages, paired by page; the other reading loses more."""
+    worse = F.replace(read_again(), F.lit("а"), F.lit(""))
+    runs = [scoring.line_scores(table(spark, d, "gt_line").select("file", "text", r.alias("read")), "text", "read") for r in (read_again(), worse)]
+    sums = [r.where("hyp is not null").groupBy("file").agg(F.sum("edits").alias(f"num{i}"), F.sum("n_chars").alias(f"den{i}")) for i, r in enumerate(runs)]
+    return scoring.bootstrap(sums[0].join(sums[1], "file"), "file", "num0", "den0", other=("num1", "den1"))
 
 
 @query()
@@ -269,11 +420,28 @@ def seen_exactly(spark: SparkSession, d: str) -> DataFrame:
     return line.join(train, "a", "left").select(F.when(F.length("a") >= 8, F.coalesce("hit", F.lit(False))).alias("seen")).groupBy("seen").agg(F.count("*").alias("n"))
 
 
+@query()
+def seen_novel_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of lines whose text, or one much like it, was trained on, and of new ones; short lines are counted apart."""
+    train = table(spark, d, "train_label").where(F.lower(F.trim(F.coalesce("split", F.lit("train")))) == "train")
+    seen = scoring.seen_lines(table(spark, d, "gt_line"), "line_id", "text", train, "text").withColumnRenamed("key", "line_id")
+    return scored(spark, d).join(seen, "line_id").groupBy("seen").agg(*scoring.aggregate_lines())
+
+
+_TWO = "(SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS a FROM gt_line)"
+
+
+@query(f"SELECT a, left(a, 1) || substr(a, 3) AS b, 200.0 * (length(a) - 1) / (2 * length(a) - 1) AS indel FROM {_TWO} WHERE length(a) >= 2")
+def word_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of every word and the word without its second letter, by insertions and deletions."""
+    w = table(spark, d, "gt_line").select(F.explode(F.split("text", r"\s+")).alias("a")).distinct().where("length(a) >= 2")
+    return w.withColumn("b", F.concat(F.left("a", F.lit(1)), F.substring("a", 3, 1 << 30))).select("a", "b", indel_ratio_col("a", "b").alias("indel"))
+
+
 @query()
 def word_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Likeness of a word and its misreading, by matched blocks and by insertions and deletions."""
-    w = table(spark, d, "gt_line").select(F.explode(F.split("text", r"\s+")).alias("a")).distinct().withColumn("b", F.replace("a", F.lit("ст"), F.lit("т"))).where("a <> b")
-    return w.select("a", "b", similarity_col("a", "b").alias("blocks"), indel_ratio_col("a", "b").alias("indel"))
+    """The same by matched blocks."""
+    return word_likeness(spark, d).select("a", "b", similarity_col("a", "b").alias("blocks"))
 
 
 @query("SELECT DISTINCT file FROM train_label WHERE file NOT IN (SELECT file FROM gt_page)")
@@ -281,11 +449,11 @@ def pages_without_truth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "train_label").select("file").distinct().join(table(spark, d, "gt_page").select("file"), "file", "left_anti")
 
 
-@query("SELECT job_id FROM dictation_key WHERE key_id % 3 = 0 AND job_id NOT IN (SELECT job_id FROM dictation_key WHERE key_id % 6 = 0)")
+@query("SELECT job_id FROM dictation_key WHERE job_id NOT IN (SELECT job_id FROM open_question WHERE job_id IS NOT NULL)")
 def resumed_jobs(spark: SparkSession, d: str) -> DataFrame:
     """What is left to do when a sink already holds some jobs."""
-    key = table(spark, d, "dictation_key")
-    return key.where("key_id % 3 = 0").select("job_id").join(key.where("key_id % 6 = 0").select("job_id"), "job_id", "left_anti")
+    done = table(spark, d, "open_question").select("job_id").distinct()
+    return table(spark, d, "dictation_key").select("job_id").join(done, "job_id", "left_anti")
 
 
 @query("SELECT event_type, median(value) AS median_value FROM events GROUP BY event_type")

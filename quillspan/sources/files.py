@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
+
 
 def requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Requests, one JSON object a file, with or without an envelope ``{"request": ...}``."""
@@ -30,6 +32,11 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, text string, split string").json(path).withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def distinct_labels(rows: DataFrame, split: str = "train") -> DataFrame:
+    """(text): the distinct scored forms of the labels of a split."""
+    return rows.where(F.col("split") == split).select(T.scored_form(F.col("text")).alias("text")).where("text is not null").distinct()
+
+
 def ink(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, label, traces) of InkML files: the normalised label if there is one, and traces of at least two points."""
 

@@ -64,28 +64,53 @@ def test_scores(spark):
     total = s.agg(*scoring.aggregate_lines()).first()
     assert abs(total.cer_matched - 1 / 12) < 1e-9 and abs(total.cer_all - 4 / 15) < 1e-9
     page = {r.file: r for r in scoring.page_scores(s, "file", "gi").collect()}
-    assert abs(page["p"].page_cer - 3 / 13) < 1e-9 and page["p"].line_recall == 0.5
+    assert abs(page["p"].page_cer - 4 / 13) < 1e-9 and page["p"].line_recall == 0.5
     assert scoring.overall(scoring.page_scores(s, "file", "gi")).first().n_pages == 2
 
 
 def test_bootstrap_against_numpy(spark):
     import numpy as np
 
-    sums = spark.createDataFrame([(f"p{i}", float(i % 3), 4.0, 1.0) for i in range(7)], "file string, num double, den double, other double")
-    got = scoring.bootstrap(sums, "file", "num", "den", 50).first()
-    num, v = np.array([i % 3 for i in range(7)]), []
-    for b in range(50):
-        pick = [(((b * 7919 + i * 104729 + 12345) * 1103515245 + 12345) % 2147483648) % 7 for i in range(7)]
-        v.append(num[pick].sum() / 28)
-    assert np.allclose([got.low, got.high], np.percentile(v, [2.5, 97.5]))
-    assert scoring.bootstrap(sums, "file", "num", "den", 50, other="den").first().significant
-
-
-def test_seen_lines(spark):
-    lines = spark.createDataFrame([(1, "мама мыла раму вчера"), (2, "совсем другой текст"), (3, "дом"), (4, None)], "k long, t string")
-    train = spark.createDataFrame([("мама мыла раму вчира",), ("",), (None,)], "t string")
-    got = {r.key: r.seen for r in scoring.seen_lines(lines, "k", "t", train, "t").collect()}
-    assert got == {1: True, 2: False, 3: None, 4: None}
+    rng = np.random.default_rng(0)
+    num, den = rng.integers(0, 30, 60), rng.integers(30, 60, 60)
+    sums = spark.createDataFrame([(f"p{i}", float(n), float(d), float(n) / 2) for i, (n, d) in enumerate(zip(num, den, strict=True))], "file string, num double, den double, half double")
+    got = scoring.bootstrap(sums, "file", "num", "den", 2000).first()
+    picks = rng.integers(0, 60, (20_000, 60))
+    low, high = np.percentile(num[picks].sum(1) / den[picks].sum(1), [2.5, 97.5])
+    width = high - low
+    assert abs(got.low - low) < 0.05 * width and abs(got.high - high) < 0.05 * width
+    both = scoring.bootstrap(sums, "file", "num", "den", 200, other=("half", "den")).first()
+    assert both.significant and both.low > 0
+    same = scoring.bootstrap(sums, "file", "num", "den", 200, other=("num", "den")).first()
+    assert same.low == same.high == 0 and not same.significant
+    # every place is drawn, about two thirds of them in one resample
+    drawn = spark.range(60).select(scoring.draw_of(0, F.lit(3), F.col("id"), F.lit(60)).alias("p")).distinct().count()
+    assert 25 <= drawn <= 50
+    assert scoring.bootstrap(sums.where("1 = 0"), "file", "num", "den", 5).first().low is None
+
+
+def test_seen_lines_against_brute_force(spark):
+    import random
+
+    from quillspan.functions.kernels import indel_ratio
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("абвгде", k=rng.randint(2, 7))) for _ in range(30)]
+    train = [" ".join(rng.choices(words, k=rng.randint(2, 6))) for _ in range(200)]
+    lines = []
+    for i in range(150):
+        t = list(rng.choice(train)) if i % 2 else list(" ".join(rng.choices(words, k=4)))
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice(["", "ж", "аб"])
+        lines.append((i, "".join(t).strip() or "x"))
+    lines += [(900, "дом"), (901, None), (902, "совсем другой текст латиницей abc")]
+    got = {r.key: r.seen for r in scoring.seen_lines(spark.createDataFrame(lines, "k long, t string"), "k", "t", spark.createDataFrame([(t,) for t in [*train, "", None]], "t string"), "t", block=40).collect()}
+    norm = lambda t: " ".join(t.split(" ")) if t else t
+    for k, t in lines:
+        t = norm(t)
+        want = None if t is None or len(t) < 8 else any(indel_ratio(t, x) >= 80 for x in train)
+        assert got[k] == want, (k, t)
+    assert any(v for v in got.values()) and any(v is False for v in got.values())
 
 
 def test_matching(spark):
@@ -116,16 +141,168 @@ def test_math_and_choices(spark):
     assert got["3"].first_wrong_step == 1
 
 
+def test_math_more(spark):
+    box = {"x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 5.0}
+    p = spark.createDataFrame([("j", "1", "42", "number", None, 2.0, 0.5), ("j", "2", "7", None, None, None, 9.0), ("j", "3", None, None, None, 1.0, None)], "job_id string, id string, answer string, answer_kind string, tolerance double, points double, partial_points double")
+    x = spark.createDataFrame([("j", "1", 0, "41", None, box), ("j", "2", 0, "14:2", 0.3, box), ("j", "2", 1, " ", 0.9, None)], "job_id string, problem_id string, step int, text string, confidence double, bbox struct<x0: double, y0: double, x1: double, y1: double>")
+    graded = answers.grade_math(p, x)
+    got = {r.id: r for r in graded.collect()}
+    assert (got["1"].verdict, got["1"].points_awarded, got["1"].confidence, got["1"].needs_review) == ("partial", 0.5, 0.9, False)
+    assert (got["2"].verdict, got["2"].points_awarded, got["2"].needs_review, got["2"].read_answer) == ("correct", 1.0, True, "14:2")
+    assert got["3"].verdict == "missing"
+    assert sorted((r.id, r.kind) for r in answers.math_marks(graded).collect()) == [("1", "cross"), ("2", "check")]
+    card = answers.math_cards(graded).first()
+    assert (card.score, card.max_score, card.n_correct, card.needs_review) == (1.5, 4.0, 1, True)
+    lines = spark.createDataFrame([("j", 0), ("j", 1)], "job_id string, line_no int")
+    probs = spark.createDataFrame([("j", "a", 0), ("j", "b", 1), ("j", "c", 2)], "job_id string, id string, ord int")
+    assert sorted((r.problem_id, r.line_no) for r in answers.group_lines(lines, probs).collect()) == [("a", 0), ("b", 1)]
+    given = spark.createDataFrame([("j", "a", [1, 0, 7])], "job_id string, problem_id string, line_nos array<int>")
+    assert sorted((r.step, r.line_no) for r in answers.group_lines(lines, probs, given).collect()) == [(0, 1), (1, 0)]
+
+
+def test_choices(spark):
+    rows = [(["A"], ["A"], None), (["A", "B"], ["A"], ["B"]), (["C"], [], None), (["A"], ["A", "B"], None), (["D"], None, None)]
+    df = spark.createDataFrame([(*r, 2.0) for r in rows], "key array<string>, detected array<string>, first_detected array<string>, points double")
+    run = lambda **k: [(r.verdict, r.points_awarded) for r in answers.grade_choices(df, **k).collect()]
+    assert run() == [("correct", 2.0), ("wrong", 0.0), ("blank", 0.0), ("multiple", 0.0), ("blank", 0.0)]
+    assert run(policy="partial")[1] == ("partial", 1.0) and run(policy="any_correct")[1] == ("correct", 2.0)
+    assert run(changed="review")[1] == ("ambiguous", 0.0) and run(policy="partial", changed="first")[1] == ("partial", 1.0)
+    kinds = spark.createDataFrame([("math", True), ("mcq", False), ("essay", False), (None, True)], "t string, r boolean")
+    assert [r[0] for r in kinds.select(answers.record_status(F.col("t"), F.col("r"))).collect()] == ["needs_review", "ok", "unsupported", "unsupported"]
+
+
+LINE = "Мама мыла раму и пела песню у окна весь вечер"
+
+
 def test_corruption_is_the_same_again(spark):
-    df = spark.createDataFrame([(i, "Мама мыла раму и пела песню у окна весь вечер") for i in range(40)], "id long, t string")
-    run = lambda n: [r[0] for r in df.repartition(n).select("id", augment.corrupted(F.col("t"), F.col("id")).alias("c")).orderBy("id").select("c").collect()]
-    assert run(1) == run(5) and sum(x != "Мама мыла раму и пела песню у окна весь вечер" for x in run(1)) > 20
+    df = spark.createDataFrame([(i, LINE, "Новая строка") for i in range(200)] + [(900, None, None), (901, "", None), (902, "да", None), (903, "12 :", None)], "id long, t string, next string")
+    run = lambda n, **k: {r.id: (r.corrupted, r.n_changes) for r in augment.corrupted(df.repartition(n), "t", "id", neighbour="next", **k).collect()}
+    got = run(1)
+    assert got == run(5) and got[900] == (None, 0) and got[901] == ("", 0) and got[903] == ("12 :", 0)
+    assert all(n >= 1 for i, (_, n) in got.items() if i < 200) and got[902][1] >= 1
+    assert sum("Новая" in t or "строка" in t for i, (t, _) in got.items() if i < 200) > 3
+    assert all(t == LINE and n == 0 for i, (t, n) in run(2, rate=0.0, edges=0.0, least=0).items() if i < 200)
+    swapped = [t for i, (t, _) in run(2, rate=1.0, edges=0.0).items() if i < 200]
+    assert len(set(swapped)) > 100
+
+
+def test_rules_of_misspelling(spark):
+    got = {r.w: set(r.c) for r in spark.createDataFrame([("«Класс»,",), ("учиться",), ("жизнь",), ("он",), ("",)], "w string").select("w", augment.candidates(F.col("w"), most=0).alias("c")).collect()}
+    assert {"«Клас»,", "«Клосс»,", "«Гласс»,"} <= got["«Класс»,"] and all(c.startswith("«") and c.endswith("»,") for c in got["«Класс»,"])
+    assert {"учится", "учитса"} & got["учиться"] == {"учится"} and "учитьса" not in got["учиться"]
+    assert {"жызнь", "жизн", "жиснь", "шизнь"} <= got["жизнь"] and got[""] == set()
+    one = spark.createDataFrame([("дом", "дым"), ("дом", "Дом!"), ("дом", "5")], "w string, r string").select(augment.candidates(F.col("w"), F.col("r"), most=3).alias("c")).collect()
+    assert one[0].c[-1] == "дым" and len(one[1].c) <= 3 and len(one[2].c) <= 3
+    wide = spark.createDataFrame([("кот",)], "w string").select(augment.candidates(F.col("w"), most=0, wide=True)).first()[0]
+    assert {"окт", "кто", "котя", "от", "кон"} <= set(wide) and len(wide) == len(set(wide)) and "кот" not in wide
+
+
+def test_uzbek_misspellings(spark):
+    import random
+
+    from quillspan.functions.uzbek import corrupted_word
+
+    rng, kinds = random.Random(0), set()
+    for _ in range(300):
+        w = corrupted_word("oʻzshing", rng)
+        assert w != "oʻzshing" and len(w) >= 2
+        kinds.add(w)
+    assert {"ozshing", "oʻzsing", "oʻzshig"} & kinds and corrupted_word("va", rng) is None and corrupted_word("12345", rng) is None
+    df = spark.createDataFrame([(i, "bolalar maktabga bordi") for i in range(20)] + [(99, None)], "id long, t string")
+    got = {r.id: r.c for r in df.select("id", augment.corrupted_uzbek("t", F.col("id").cast("string")).alias("c")).collect()}
+    assert got[99].corrupted is None and all(1 <= got[i].n_changes <= 2 and got[i].corrupted != "bolalar maktabga bordi" for i in range(20))
+
+
+def test_drawn_edits_have_their_weights(spark):
+    stats = spark.createDataFrame([("sub", "о", "а", 3), ("del", "к", "", 1), ("dbl", "т", "т", 4), ("complex", "кот", "пёс", 50)], "op string, a string, b string, cnt long")
+    words = spark.createDataFrame([("Кот", i) for i in range(600)] + [("ко", 1), ("коты", 1), ("пи", 1)], "w string, n long")
+    got = augment.sampled_edits(words, "w", stats, "n").collect()
+    ops = [r.op for r in got if r.w == "Кот"]
+    assert len(ops) == 600 and 180 < ops.count("sub") < 330 and ops.count("del") == 0  # too short to lose a letter
+    assert {r.edited for r in got if r.w == "Кот"} == {"Кат", "Котт"} and all(r.w != "пи" for r in got)
+
+
+def test_word_boxes_and_verdicts(spark):
+    box = lambda *v: dict(zip(("x0", "y0", "x1", "y1"), map(float, v), strict=True))
+    schema = "job_id string, n int, text string, bbox struct<x0: double, y0: double, x1: double, y1: double>, line_id string, confidence double, words array<struct<text: string, bbox: struct<x0: double, y0: double, x1: double, y1: double>, confidence: double>>"
+    rows = [
+        ("j", 0, "мама мыла", box(0, 10, 90, 50), "L0", 0.9, None),
+        ("j", 1, "раму да", box(0, 60, 70, 90), "L1", 0.8, [{"text": "раму", "bbox": box(1, 61, 39, 88), "confidence": 0.5}]),
+        ("j", 2, "и я", box(0, 0, 9, 9), "L2", 0.7, [{"text": "и", "bbox": box(1, 1, 2, 2), "confidence": None}, {"text": "я", "bbox": box(3, 1, 4, 2), "confidence": 0.1}]),
+        ("j", 3, "кот", None, "L3", None, None),
+    ]
+    toks = {(t.line_id, t.line_pos): t for t in dictation.lines_to_tokens(spark.createDataFrame(rows, schema), "job_id", "n", "text").first().read}
+    assert tuple(toks["L0", 0].bbox) == (0.0, 10.0, 40.0, 50.0) and tuple(toks["L0", 1].bbox) == (50.0, 10.0, 90.0, 50.0)
+    # the ink box that overlaps the word's stretch; the other word has its stretch at the height of the ink
+    assert tuple(toks["L1", 0].bbox) == (1.0, 61.0, 39.0, 88.0) and tuple(toks["L1", 1].bbox) == (50.0, 61.0, 70.0, 88.0)
+    assert tuple(toks["L2", 1].bbox) == (3.0, 1.0, 4.0, 2.0) and (toks["L2", 0].confidence, toks["L2", 1].confidence) == (0.7, 0.1)
+    assert toks["L3", 0].bbox is None and toks["L1", 0].confidence == 0.8
+
+    pairs = dictation.align(_jobs(spark, KEY, READ))
+    found = dictation.errors(pairs)
+    n = found.where("kind = 'spelling'").first().n
+    for verdict, n_spelling, left in (("ok", 3, 4), ("review", 3, 5), ("error", 4, 5)):
+        v = spark.createDataFrame([("j", n, verdict, 1.5, "нечего", [])], "job_id string, n int, verdict string, margin double, best string, letters array<string>")
+        judged = dictation.judged(found, v)
+        card = dictation.score_cards(pairs, judged).first()
+        assert (card.n_spelling, judged.count()) == (n_spelling, left) and card.needs_review == (verdict == "review")
+        assert dictation.marks(judged).count() == left and [r.ink_says for r in judged.where("ink_says is not null").collect()] == (["нечего"] if verdict == "error" else [])
+    assert dictation.marks(found).where("kind = 'insert'").select("text").distinct().count() == 2 and dictation.recorded(found).where("bbox is null").count() == 0
+
+
+def test_page_block(spark):
+    box = lambda y: {"x0": 0.0, "y0": float(y), "x1": 100.0, "y1": float(y) + 20}
+    b = "bbox struct<x0: double, y0: double, x1: double, y1: double>"
+    gt = spark.createDataFrame([("p", 0, "дом стоит", box(0)), ("p", 1, "кот", box(30)), ("p", 2, "река", box(60))], f"file string, gi long, text string, {b}")
+    pred = spark.createDataFrame([("p", 0, "кит", box(31)), ("p", 1, "дом  стоит", box(1)), ("p", 2, "лишнее", box(500))], f"file string, pj long, text string, {b}")
+    flat = lambda df, place: df.select("file", F.col(place).alias("place"), "text", "bbox.*")
+    pairs = matching.match_lines(flat(gt, "gi"), flat(pred, "pj"))
+    page = scoring.page_scores(scoring.matched_lines(gt, pred, pairs), "file", "gi", pred).first()
+    assert (page.extra_lines, page.box_hit_rate, page.line_recall) == (1, 1.0, 2 / 3)
+    from quillspan.functions.kernels import edit_distance, word_edits
+
+    ref, hyp = "дом стоит\nкот\nрека", "дом стоит\nкит\n\nлишнее"
+    assert page.page_cer == edit_distance(ref, hyp) / len(ref) and page.page_wer == word_edits(ref.split(), hyp.split())[0] / 4
+    # texts are compared in scored form when a box is missing
+    some = flat(pred, "pj").withColumn("x0", F.when(F.col("place") != 2, F.col("x0")))
+    assert {(r.gi, r.pj) for r in matching.match_lines(flat(gt, "gi"), some).collect()} == {(0, 1), (1, 0)} | {(r.gi, r.pj) for r in matching.match_lines(flat(gt, "gi"), some).collect() if r.gi == 2}
+
+
+def test_polyline_and_halves(spark):
+    lines = [[{"x": 0.0, "y": 10.0}, {"x": 100.0, "y": 12.0}], [{"x": 0.0, "y": 50.0}, {"x": 90.0, "y": 52.0}]]
+    df = spark.createDataFrame([(95.0, 14.0, lines), (95.0, 45.0, lines), (300.0, 12.0, lines), (95.0, 30.0, lines)], "x double, y double, l array<array<struct<x: double, y: double>>>")
+    got = [r[0] for r in df.select(G.nearest_polyline(F.col("x"), F.col("y"), F.lit(20.0), F.lit(10.0), F.col("l"))).collect()]
+    assert got == [0, 1, None, None]
+    h = spark.range(1).select(G.page_halves(F.lit(101), F.lit(50)).alias("h")).first().h
+    assert [(x.x_offset, x.width) for x in h] == [(0, 50), (50, 51)]
+
+
+def test_rounding(spark):
+    df = spark.createDataFrame([(0.125,), (2.675,), (2.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(T.rounded(F.col("x"), 2)).collect()] == [0.12, 2.67, 2.5, None]
 
 
 def test_contract(spark):
-    body = '{"request": {"job_id": "a", "type": "x"}, "response": {"job_id": "b", "marks": [{"kind": "odd", "confidence": 2}], "status": "ok"}}'
-    got = spark.createDataFrame([(body,)], "b string").select(contract.violations(contract.parse(F.col("b")))).first()[0]
-    assert got == sorted(got) and {"request.type unknown", "response.job_id differs", "response.marks kind unknown", "response.score_card missing"} <= set(got)
+    import json
+
+    good = {
+        "request": {"job_id": "a", "type": "open_question", "image": {"uri": "x"}, "key": {"questions": [{"id": "1", "points": 2}]}},
+        "response": {"job_id": "a", "type": "open_question", "status": "ok", "marks": [], "score_card": {"score": 1, "max_score": 2, "summary": "s", "confidence": 1, "answers": []}},
+    }
+    assert contract.broken_rules(json.dumps(good)) == []
+    bad = json.loads(json.dumps(good))
+    bad["request"]["key"]["questions"] = []
+    bad["request"]["grade_level"] = 12
+    bad["response"] |= {"job_id": "b", "status": "fine", "marks": [{"kind": "odd", "bbox": [0, 1, 2], "confidence": 2}]}
+    del bad["response"]["score_card"]["summary"]
+    assert contract.broken_rules(json.dumps(bad)) == [
+        ("request.grade_level", "out of range"), ("request.key.questions", "empty"), ("response.job_id", "differs"), ("response.marks.bbox", "not four numbers"), ("response.marks.confidence", "out of range"),
+        ("response.marks.kind", "unknown"), ("response.marks.reason", "missing"), ("response.score_card.summary", "missing"), ("response.status", "unknown"),
+    ]
+    for kind, rule in (("dictation", "request.key"), ("math", "request.key"), ("mcq", "request.key"), ("retelling", "request.key")):
+        assert (rule, "missing") in contract.broken_rules(json.dumps({"request": {"type": kind}, "response": {}}))
+    df = spark.createDataFrame([(json.dumps(good),), ("[]",), ("{",), (None,), ("{}",)], "b string")
+    assert [None if r[0] is None else len(r[0]) for r in df.select(contract.violations("b")).collect()] == [0, None, None, None, 2]
 
 
 def test_sources(spark, tmp_path):
@@ -136,6 +313,10 @@ def test_sources(spark, tmp_path):
     pred = files.keyed_pages(spark, str(tmp_path / "p.txt"), "string")
     assert scoring.prediction_lines(pred, "file", "value").count() == 3
     (tmp_path / "x.inkml").write_text('<ink xmlns="u"><annotation type="label">1</annotation><annotation type="normalizedLabel">2</annotation><trace>1 2, 3 4</trace><trace>1 2</trace></ink>')
+    files.write_csv(pred.withColumn("nested", F.array("value")), str(tmp_path / "csv"), "nested")
+    assert spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "csv")).count() == 2
+    (tmp_path / "l.jsonl").write_text('{"file": "a", "text": " x  y "}\n{"file": "b", "text": "x y", "split": "train"}\n{"file": "c", "text": "z", "split": "val"}\n')
+    assert [r.text for r in files.distinct_labels(files.labels(spark, str(tmp_path / "l.jsonl"))).collect()] == ["x y"]
     r = files.ink(spark, str(tmp_path / "x.inkml")).first()
     assert r.label == "2" and r.traces == [[[1.0, 2.0], [3.0, 4.0]]]
     files.write_json(pred, str(tmp_path / "out"))

@@ -179,14 +179,15 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     is_word = wordy[codes]
     hyphens = np.flatnonzero(codes[:-1] == 45)
     hyphens = hyphens[(hyphens > 0) & (codes[np.minimum(hyphens + 1, len(codes) - 1)] == 32)]
-    hyphens = hyphens[is_word[hyphens - 1]]
+    # an apostrophe beside the break stands inside the word that is made whole
+    hyphens = hyphens[is_word[hyphens - 1] | ((hyphens > 1) & (codes[hyphens - 1] == 39) & is_word[hyphens - 2])]
     if len(hyphens):
         drop = np.zeros(len(codes), dtype=bool)
         for h in hyphens.tolist():
             end = h + 1
             while end < len(codes) and codes[end] == 32:
                 end += 1
-            if end < len(codes) and is_word[end]:
+            if end < len(codes) and (is_word[end] or (codes[end] == 39 and end + 1 < len(codes) and is_word[end + 1])):
                 drop[h:end] = True
         codes, is_word = codes[~drop], is_word[~drop]
     quotes = np.flatnonzero(codes == 39)
@@ -214,7 +215,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text_no, h
 
 
-_BROKEN = re.compile(r"(?<=[^\W_])-\s+(?=[^\W_])")
+_BROKEN = re.compile(r"(?<=[^\W_])('?)-\s+(?='?[^\W_])")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 
 
@@ -224,7 +225,7 @@ def words(text: str | None) -> list[str]:
     if not key:
         return []
     if "- " in key:
-        key = _BROKEN.sub("", key)
+        key = _BROKEN.sub(r"\1", key)
     return _WORD.findall(key)
 
 

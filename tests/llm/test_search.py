@@ -235,6 +235,78 @@ def test_paraphrases_at_every_place(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(n, 7) for n in range(25)}
 
 
+def test_words_broken_beside_an_apostrophe():
+    from quillspan.llm.lookalike import word_hashes
+
+    whole = ["qishlogʻida", "koʻngʻiroqni", "oʻzbek", "mas’ul"]
+    broken = ["qishlogʻ-\nida", "koʻng-  ʻiroqni", "oʻ- zbek", "mas-\n’ul"]
+    for a, b in zip(whole, broken, strict=True):
+        assert words(a) == words(b) and len(words(b)) == 1
+        assert word_hashes([a, b])[1].tolist() == word_hashes([a, a])[1].tolist()
+    assert len(words("bog'- 'ida")) == 2 and len(words("да- да' - нет")) == 2
+
+
+def _planted(rng, n):
+    """Items, and documents into which a paraphrase of some 24 to 40 words of an item is put at any place."""
+    vocab = ["".join(rng.choices("абвгдежзиклмнопрст", k=rng.randint(3, 9))) for _ in range(3000)]
+    weights = [1 / (k + 5) for k in range(3000)]
+    text = lambda k: rng.choices(vocab, weights, k=k)
+    items = [text(rng.randint(30, 70)) for _ in range(n)]
+    docs, truth = [], set()
+    for d in range(4 * n):
+        t = text(rng.randint(20, 120))
+        if d < n:
+            w = items[d]
+            k = rng.randint(24, min(40, len(w)))
+            s = rng.randrange(len(w) - k + 1)
+            part = [x if rng.random() > 0.2 else rng.choices(vocab, weights)[0] for x in w[s : s + k]]
+            for i in range(len(part) - 1):
+                if rng.random() < 0.05:
+                    part[i], part[i + 1] = part[i + 1], part[i]
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + part + t[at:]
+            truth.add((d, d))
+        docs.append((d, " ".join(t)))
+    return docs, [(i, " ".join(w)) for i, w in enumerate(items)], truth
+
+
+def test_planted_paraphrases_are_found(spark):
+    docs, items, truth = _planted(random.Random(12), 150)
+    got = {(r.doc_id, r.item_id) for r in K.paraphrases(spark.createDataFrame(docs, "d long, t string").repartition(3), "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t").collect()}
+    print("RECALL", len(got & truth) / len(truth), len(got - truth))
+    assert len(got & truth) >= 0.9 * len(truth), len(got & truth) / len(truth)
+    assert len(got - truth) <= 0.02 * len(truth)
+
+
+def test_paraphrases_are_those_of_all_pairs(spark):
+    docs, items, _ = _planted(random.Random(13), 8)
+    dd, ii = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string")
+    width, cosine, share = 24, 0.5, 0.6
+    _, item_words, table, weight = K._corpus(dd, "d", "t", ii, "i", "t", 64, width)
+    block = item_words.toPandas().sort_values("id", ignore_index=True)
+    vocab, ids, item_no = K._vocabulary(block)
+    nothing = len(vocab)
+    passages, owner = K._passages(ids, item_no, width, width // 8, nothing)
+    rarest = K._rarest(passages, np.append(weight[K._feature(vocab)], 0.0), 3, nothing)
+    of_word = np.vstack((table[K._feature(vocab)], table[-1:]))
+    vectors, want = K._vectors(passages, of_word), set()
+    for d, t in docs:
+        places = K._places(K.word_hashes([t])[1], vocab)
+        q = K._from(places, np.array([0, len(places)]), np.zeros(len(places), int), np.arange(len(places)), width, nothing)
+        cos = K._vectors(q, of_word) @ vectors.T
+        for p in range(len(passages)):
+            rare = set(rarest[p].tolist()) - {nothing}
+            hit = np.array([len(rare & set(w.tolist())) for w in q])
+            n = (passages[p] != nothing).sum()
+            lcs = K.lcs_lengths(np.repeat(passages[p : p + 1], len(q), 0), q, nothing) / n
+            if ((cos[:, p] >= cosine) & (hit >= max(1, len(rare) - 1)) & (lcs >= share)).any() and n >= 4:
+                want.add((d, int(block["id"][owner[p]])))
+    for most in (4_000_000, 3000):
+        assert {(r.doc_id, r.item_id) for r in K.paraphrases(dd, "d", "t", ii, "i", "t", max_chars=most).collect()} == want
+    assert len(want) >= 6
+    assert K.paraphrases(dd.where("1 = 0"), "d", "t", ii, "i", "t").count() == 0 and K.paraphrases(dd, "d", "t", ii.where("1 = 0"), "i", "t").count() == 0
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 6, (50, 12)), rng.integers(0, 6, (50, 12))

@@ -17,6 +17,7 @@ Null stays null and an empty text stays empty in all three. Texts are processed
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -29,6 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.llm.skew import spread_join
+from quillspan.session import written
+
 LATIN, CYRILLIC, GREEK = 0, 1, 2
 
 # Letters with the same upright drawing, as Latin, Cyrillic, Greek ("." = none).
@@ -354,42 +358,73 @@ class ScriptReader:
         return unicodedata.normalize("NFC", "".join(spans) + skel[at:])
 
 
+#: the letters whose pairs are counted: three alphabets, so at most a quarter of a million pairs
+ALPHABETS = {LATIN: ((0x41, 0x250), (0x1E00, 0x1F00)), CYRILLIC: ((0x400, 0x530), (0x1C80, 0x1C90)), GREEK: ((0x370, 0x400), (0x1F00, 0x2000))}
+_OTHER, _INSIDE, _BREAK, _START = 3, 4, 5, 0x10FFFE
+
+
+@lru_cache(maxsize=1)
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For code points below 0x3000: the alphabet of a letter (others by what they do to a word), and its small letter."""
+    kind = np.full(0x3001, _BREAK, np.int8)
+    small = np.arange(0x3001, dtype=np.int64)
+    for cp in range(0x3000):
+        c = chr(cp)
+        if c.isalpha():
+            kind[cp] = next((s for s, spans in ALPHABETS.items() if any(a <= cp < b for a, b in spans)), _OTHER)
+            small[cp] = ord(c.lower()) if len(c.lower()) == 1 else cp
+        elif c == "'" or 0x300 <= cp <= 0x36F:
+            kind[cp] = _INSIDE
+    kind[0x3000] = _OTHER  # any letter above
+    return kind, small
+
+
+def _pairs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring letters of words written in one script, as script, letter, letter in one number, and how often each is.
+    Apostrophes and marks inside a word don't part its letters."""
+    kind_of, small_of = _letter_tables()
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.minimum(codes, 0x3000)
+    kind = kind_of[codes]
+    at = np.flatnonzero(kind <= _OTHER)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    parted = np.cumsum(kind == _BREAK)[at]
+    new = np.append(True, parted[1:] != parted[:-1])
+    word = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    script = kind[at].astype(np.int64)
+    low, high = np.minimum.reduceat(script, starts), np.maximum.reduceat(script, starts)
+    pure = ((low == high) & (low != _OTHER))[word]
+    letter = small_of[codes[at]]
+    before = np.where(new, _START, np.append(_START, letter[:-1]))
+    return np.unique(((script << 42) | (before << 21) | letter)[pure], return_counts=True)
+
+
 def count_bigrams(texts: DataFrame, column: str) -> DataFrame:
-    """Letter pairs of the tokens written in one script: (script, pair, n), over all rows.
+    """Letter pairs of the words written in one script: (script, pair, n), over all rows; ``^`` stands before the first letter.
 
-    Each task counts its rows first, so the shuffle carries one row a distinct pair.
+    Each task counts its rows first, so the shuffle carries one row a distinct pair and task.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, str], int] = {}
+        total: dict[int, int] = {}
         for batch in batches:
-            tokens: dict[str, int] = {}
-            for text in batch[column]:
-                if text:
-                    for t in _TOKEN.findall(_composed(text)):
-                        tokens[t] = tokens.get(t, 0) + 1
-            for t, n in tokens.items():
-                letters = [c for c in t if c.isalpha()]
-                scripts = {_script(c) for c in letters}
-                if len(scripts) == 1:
-                    s, low = scripts.pop(), "^" + "".join(letters).lower()
-                    for a, b in zip(low, low[1:], strict=False):
-                        total[s, a + b] = total.get((s, a + b), 0) + n
+            pairs, n = _pairs_of([_composed(t) for t in batch[column] if t])
+            for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
+                total[p] = total.get(p, 0) + k
+        name = lambda x: "^" if x == _START else chr(x)
         if total:
-            yield pd.DataFrame([(s, p, n) for (s, p), n in total.items()], columns=["script", "pair", "n"])
+            yield pd.DataFrame([(p >> 42, name((p >> 21) & 0x1FFFFF) + name(p & 0x1FFFFF), n) for p, n in total.items()], columns=["script", "pair", "n"])
 
     return (
         texts.select(column).mapInPandas(count, "script int, pair string, n long").groupBy("script", "pair").agg(F.sum("n").alias("n"))
     )
 
 
-def train_reader(texts: DataFrame, column: str, max_pairs: int = 60_000) -> dict[int, dict[str, float]]:
-    """Bigram log probabilities of each script.
-
-    The pairs are letters of three alphabets, a bounded set; the ``max_pairs`` most frequent are kept (more
-    can only be reached by letters outside those alphabets, which are scored by the floor).
-    """
-    rows = count_bigrams(texts, column).orderBy(F.desc("n"), "script", "pair").limit(max_pairs).collect()
+def train_reader(texts: DataFrame, column: str) -> dict[int, dict[str, float]]:
+    """Bigram log probabilities of each script, from all rows; the pairs are those of three alphabets."""
+    rows = count_bigrams(texts, column).collect()  # bounded by the alphabets
     before: dict[tuple[int, str], int] = {}
     for r in rows:
         before[r.script, r.pair[0]] = before.get((r.script, r.pair[0]), 0) + r.n
@@ -399,9 +434,9 @@ def train_reader(texts: DataFrame, column: str, max_pairs: int = 60_000) -> dict
     return out
 
 
-def consistent_form(texts: DataFrame, column: str, out: str = "form", skeleton_as: str | None = None) -> DataFrame:
-    """Add the consistent form (and the skeleton) of ``column``; the bigram scores are trained on all rows of ``texts``."""
-    model = texts.sparkSession.sparkContext.broadcast(train_reader(texts, column))
+def consistent_form(texts: DataFrame, column: str, out: str = "form", skeleton_as: str | None = None, trained_on: DataFrame | None = None) -> DataFrame:
+    """Add the consistent form (and the skeleton) of ``column``; the bigram scores are trained on all rows of ``texts`` or of ``trained_on``."""
+    model = texts.sparkSession.sparkContext.broadcast(train_reader(texts if trained_on is None else trained_on, column))
     cell: list[ScriptReader] = []
 
     @F.pandas_udf(T.StructType([T.StructField("f", T.StringType()), T.StructField("s", T.StringType())]))
@@ -438,31 +473,29 @@ def squeezed_key_col(texts: pd.Series) -> pd.Series:
     return pd.Series([squeezed_key(t) for t in texts], dtype=object)
 
 
-def same_look_pairs(rows: DataFrame, key: str, text: str, parts: int = 32) -> DataFrame:
+@F.pandas_udf(T.BinaryType())
+def skeleton_hash(texts: pd.Series) -> pd.Series:
+    """128 bits of the skeleton."""
+    return pd.Series([None if t is None else hashlib.blake2b(skeleton(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], dtype=object)
+
+
+def same_look_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (id_a < id_b) of rows whose texts look the same but are other code points.
 
-    Rows are grouped by consistent form. A group is split into its distinct texts first: a group of copies
-    has one text and gives nothing, and a pair of texts is expanded to rows only when they differ, so no
-    group is paired with itself as a whole. The larger text of a pair is spread over ``parts`` salts of its
-    rows, so that no task expands a hot text alone. Null texts and null keys give no pair.
+    The form is a function of the skeleton, so a text whose skeleton no other text has can't be in a pair; the rest are
+    read, by a model of all rows, and grouped by consistent form. A pair of different texts is expanded to rows, so copies
+    are never paired with each other. Forms, texts and pairs that are frequent are split over tasks. Null texts and null
+    keys give no pair; a repeated row counts once.
     """
-    forms = consistent_form(rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null"), "text")
-    h = forms.select("id", F.md5("form").alias("f"), F.md5("text").alias("t")).distinct()
-    from quillspan.session import cut
-
-    h = cut(h)
-    texts = h.groupBy("f", "t").agg(F.count("*").alias("n"))
-    mixed = texts.groupBy("f").agg(F.count("*").alias("k"), F.sort_array(F.collect_list("t")).alias("ts")).where("k > 1")
-    pairs = mixed.select(
-        F.explode(F.flatten(F.transform("ts", lambda a: F.transform(F.filter("ts", lambda b: b > a), lambda b: F.struct(a.alias("ta"), b.alias("tb")))))).alias("p")
-    ).select("p.ta", "p.tb")
-    left = h.select(F.col("t").alias("ta"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("salt"))
+    source = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
+    drawn = written(source.select("id", "text", skeleton_hash("text").alias("s"), F.md5("text").alias("t")).distinct())
+    # one row a text first, so a skeleton of many copies is counted by a handful of rows
+    shared = drawn.select("s", "t").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    alike = drawn.join(shared, "s", "left_semi")
+    h = written(consistent_form(alike, "text", trained_on=source).select("id", F.md5("form").alias("f"), "t"))
+    texts = h.select("f", "t").distinct()
+    pairs = spread_join(texts.select("f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb")), "f", "ta", "tb").where("ta < tb").select("ta", "tb")
+    left = h.select(F.col("t").alias("ta"), F.col("id").alias("ia"))
     right = h.select(F.col("t").alias("tb"), F.col("id").alias("ib"))
-    spread = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    return (
-        spread.join(left, ["ta", "salt"])
-        .join(right, "tb")
-        .select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-        .where("id_a < id_b")
-        .distinct()
-    )
+    half = spread_join(pairs, left, "ta", "tb", "ia").select("tb", "ia")
+    return spread_join(half, right, "tb", "ia", "ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).where("id_a < id_b").distinct()

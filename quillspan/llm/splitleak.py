@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.editdistance import distances
 from quillspan.llm.lookalike import keys_of
+from quillspan.llm.skew import spread_join
 from quillspan.session import written
 
 TRAIN, HELD = 0, 1
@@ -610,28 +611,13 @@ def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float =
     return members.select("id", "side", "cls"), near.unionByName(same)
 
 
-def row_pairs(members: DataFrame, pairs: DataFrame, parts: int = 16) -> DataFrame:
-    """Class pairs expanded to (id_a < id_b).
-
-    The rows of a class that more than a thousandth of all rows have (fewer than 1,000 classes) are spread over
-    ``parts`` on either side, and the parts meet pairwise.
-    """
+def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Class pairs expanded to (id_a < id_b); classes of many rows are split over tasks on either side."""
     members = members.select("id", "side", "cls").distinct()
-    n = members.count()
-    hot = members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > n).select("cls", F.lit(parts).alias("parts"))
-    hot = F.broadcast(written(hot))
-    times = lambda c: F.coalesce(F.col(c), F.lit(1))
-    rows = members.join(hot, "cls", "left").select("id", "side", "cls", F.pmod(F.xxhash64("id"), times("parts")).cast("int").alias("part"))
-    of = lambda k, name: rows.where(f"side = {k}").select(F.col("cls").alias(f"{name}_cls"), F.col("part").alias(f"{name}_part"), F.col("id").alias(f"{name}_id"))
-    spread = pairs.select("train_cls", "held_cls")
-    for name in ("train", "held"):
-        spread = spread.join(hot.withColumnsRenamed({"cls": f"{name}_cls", "parts": "p"}), f"{name}_cls", "left").withColumn(f"{name}_part", F.explode(F.sequence(F.lit(0), times("p") - 1))).drop("p")
-    return (
-        spread.join(of(HELD, "held"), ["held_cls", "held_part"])
-        .join(of(TRAIN, "train"), ["train_cls", "train_part"])
-        .select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
-        .distinct()
-    )
+    of = lambda k, name: members.where(f"side = {k}").select(F.col("cls").alias(f"{name}_cls"), F.col("id").alias(f"{name}_id"))
+    half = spread_join(pairs.select("train_cls", "held_cls"), of(HELD, "held"), "held_cls", "train_cls", "held_id").select("train_cls", "held_id")
+    both = spread_join(half, of(TRAIN, "train"), "train_cls", "held_id", "train_id")
+    return both.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
 def record_coverage(rows: DataFrame, key: str, text: str, split: str, source: str, **how) -> DataFrame:

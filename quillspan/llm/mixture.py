@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from quillspan.session import written
 
-MAX_SOURCES = 10_000
+MOST_BLOCKS = 500_000_000  # blocks grow beyond their size where there would be more, so that counts can be drawn exactly
 
 
 def source_name(column: str) -> Column:
@@ -46,7 +46,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         mid = (lo + hi) // 2
         total = int(have.sum())
         take = total * (mid - lo) // (hi - lo)
-        # numpy's marginals method handles counts up to 1e9 of all colours; draw colour by colour, exact for any count
+        # source by source; counts stay under MOST_BLOCKS, where the draw is exact
         left, rest, want = np.zeros_like(have), total, take
         rng = np.random.default_rng([seed, path])
         for i, n in enumerate(have.tolist()):
@@ -60,10 +60,23 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _cells(plan: np.ndarray, present: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(source, cell, shard, first block, end block): each shard's stretch of each source's blocks, by cells of about a stretch's
+    length, so that a block meets one or a few stretches: at most three rows a source and shard."""
+    ends, out = np.cumsum(plan, axis=0), []
+    for i in present:
+        size = max(1, int(ends[-1, i]) // len(plan))
+        for s in np.flatnonzero(plan[:, i]).tolist():
+            a, b = int(ends[s, i] - plan[s, i]), int(ends[s, i])
+            out += [(i, cell, s, a, b) for cell in range(a // size, (b - 1) // size + 1)]
+    return out
+
+
 def mix(
-    sized: DataFrame, targets: DataFrame, *, shards: int = 16, block_tokens: int = 8192, total_tokens: int | None = None, seed: int = 0, buckets: int = 256
+    sized: DataFrame, targets: DataFrame, *, shards: int | None = None, shard_tokens: int = 1 << 30, block_tokens: int = 8192, total_tokens: int | None = None, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """``sized``: (id, source, n_tokens); ``targets``: (source, target_share, max_repeat).
+    """``sized``: (id, source, n_tokens); ``targets``: (source, target_share, max_repeat), a table of parameters that the driver reads.
+    Without ``shards`` there are as many as make ``shard_tokens`` each, 16 at least.
 
     Returns the mixture (shard, place, source, id, copy_no, n_tokens) and the report (source, target_share,
     available_tokens, drawn_tokens, actual_share, most_uses).
@@ -74,11 +87,8 @@ def mix(
         .where("source is not null and share > 0 and max_repeat > 0")
         .groupBy("source")
         .agg(F.sum("share").alias("share"), F.first("max_repeat").alias("max_repeat"))
-        .limit(MAX_SOURCES + 1)
         .collect()
     )
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
     wanted.sort(key=lambda r: r.source)
     names = [r.source for r in wanted]
     number = {n: i for i, n in enumerate(names)}
@@ -87,10 +97,12 @@ def mix(
     docs = written(
         sized.select("id", source_name("source").alias("source"), "n_tokens")
         .where("n_tokens > 0")
-        .join(F.broadcast(listed), "source")  # at most MAX_SOURCES rows
-        .select("source_no", "id", "n_tokens", order.alias("h"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets)).alias("bucket"))
+        .join(F.broadcast(listed), "source")  # the targets
+        .select("source_no", "id", "n_tokens", order.alias("h"))
     )
-    # running totals in the permuted order of each source: by bucket of the order first, then within a bucket
+    # running totals in the permuted order of each source: by the leading bits of the order first, then within a bucket of some million
+    bits = max(8, (docs.count() >> 20).bit_length())
+    docs = docs.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     by_bucket = docs.groupBy("source_no", "bucket").agg(F.sum("n_tokens").alias("m"))  # at most sources x buckets rows
     before = by_bucket.select("source_no", "bucket", (F.sum("m").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("m")).alias("before"))
     within = Window.partitionBy("source_no", "bucket").orderBy("h", "id")
@@ -102,23 +114,25 @@ def mix(
     total = total_tokens if total_tokens is not None else int(min((room[i] / share[i] for i in present), default=0))
     quota = {i: min(room[i], int(round(share[i] * total))) for i in present}
     # a source is a ring of its documents read again and again; quota tokens of it are drawn
+    drawn_total = sum(quota.values())
+    block_tokens = max(block_tokens, -(-drawn_total // (MOST_BLOCKS - len(names) - 1)))
+    shards = shards or max(16, -(-drawn_total // shard_tokens))
     blocks = np.array([-(-quota.get(i, 0) // block_tokens) for i in range(len(names))], np.int64)
     plan = split_quotas(blocks, shards, seed) if len(names) else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(plan, axis=0)
-    shard_rows = [(i, s, int(ends[s, i] - plan[s, i]), int(ends[s, i])) for i in present for s in range(shards) if plan[s, i]]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("source_no", "shard", "first_block", "end_block")])
-    stretches = spark.createDataFrame(shard_rows, schema).withColumn("source_no", F.col("source_no").cast("int"))
-    limits = spark.createDataFrame([(i, names[i], size[i], quota[i]) for i in present], "source_no int, source string, size long, quota long")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("source_no", "cell", "shard", "first_block", "end_block")])
+    stretches = spark.createDataFrame(_cells(plan, present), schema).withColumn("source_no", F.col("source_no").cast("int"))
+    limits = spark.createDataFrame([(i, names[i], size[i], quota[i], max(1, int(blocks[i]) // shards)) for i in present], "source_no int, source string, size long, quota long, cell_size long")
     passes = F.floor((F.col("quota") - F.col("start") - 1) / F.col("size")) + 1
     drawn = (
-        laid.join(F.broadcast(limits), "source_no")  # at most MAX_SOURCES rows
+        laid.join(F.broadcast(limits), "source_no")  # the targets
         .where("quota > start")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), passes.cast("long"))))
         .withColumn("at", F.col("start") + (F.col("copy_no") - 1) * F.col("size"))
         # a block is a stretch of the ring; a document belongs to the block in which it starts
-        .withColumn("block", F.floor(F.col("at") / block_tokens))
+        .withColumn("block", F.expr(f"at div {block_tokens}"))
+        .withColumn("cell", F.expr("block div cell_size"))
     )
-    placed = drawn.join(stretches, (drawn["source_no"] == stretches["source_no"]) & (drawn["block"] >= stretches["first_block"]) & (drawn["block"] < stretches["end_block"]))
+    placed = drawn.join(F.broadcast(stretches), ["source_no", "cell"]).where("block >= first_block and block < end_block")  # shards times targets rows
     local = F.xxhash64("id", "copy_no", F.lit(seed + 1))
     mixture = placed.select("shard", local.alias("place_key"), "source", "id", "copy_no", "n_tokens")
     drawn_by = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("copy_no").alias("most_uses"))
@@ -140,5 +154,5 @@ def mix(
 
 
 def shuffled(mixture: DataFrame) -> DataFrame:
-    """The mixture with each shard's rows in a random order, for writing one file set a shard."""
+    """The mixture with each shard's rows (keys and sizes, not texts) in a random order, for writing one file set a shard."""
     return mixture.repartition("shard").sortWithinPartitions("shard", "place_key", "id", "copy_no")

@@ -2,8 +2,8 @@
 
 ``find_items`` locates e-mail addresses, phone numbers, identity numbers, street addresses and names of
 persons; ``redact`` puts a typed placeholder in the place of each. A placeholder carries a pseudonym: numbers
-are permuted by a keyed Feistel network within their own format (digits stay digits, letters stay letters,
-separators stay), other values get a keyed token, so equal values have equal pseudonyms in all documents,
+are permuted by a keyed Feistel network within their own format (digits stay digits, letters stay letters of their alphabet,
+separators stay; a number with a right check keeps a right check, and the date in it is permuted among valid dates), other values get a keyed token of 128 bits, so equal values have equal pseudonyms in all documents,
 however they are written, and nothing else of the text changes.
 
 A text is read as it looks: characters without ink are skipped, wide forms are ordinary ones, a letter drawn
@@ -15,6 +15,7 @@ read whole, whatever their length; each row is treated on its own, so repeated r
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -120,6 +121,7 @@ GIVEN_RU = (
 GIVEN_OTHER = (
     "Anvar Aziz Barno Bekzod Botir Dilnoza Doniyor Farrux Feruza Gulnora Jasur Kamola Lola Madina Malika Nargiza Nodira Otabek Oʻgʻiloy Rustam "
     "Ilhom Jamshid Nigora Nodir Ravshan Sanjar Sardor Sevara Shahlo Sherzod Shoʻhrat Shuhrat Ulugʻbek Umida Zafar Zuhra Alisher Bobur Dilshod Iroda Oybek Temur "
+    "Gulbahor Muhammad Yusuf Oljas Nursulton Aziza Gulchehra Ibrohim Ismoil Karim Mavluda Murod Nazokat Odil Sabohat Said "
     "Alice Anna Arthur Clara Daniel Edgar Edward Ella Emma Felix Frank George Grace Hazel Henry Hugo Iris Ivy Jack James Jane John Laura Lucy Mark Martha Martin Mary Max Miles Nora Oliver Oscar Owen Peter Robert Rose Ruth Sarah Simon Thomas Violet Walter William"
 ).split()
 
@@ -128,11 +130,38 @@ def _plain(word: str) -> str:
     return re.sub(_Q, "'", word).lower().replace("ё", "е")
 
 
+# How Uzbek Latin is written in Cyrillic and back, longer spellings first; two where usage varies.
+_TO_CYRILLIC = (("sh", "ш"), ("ch", "ч"), ("yo", "ё"), ("yu", "ю"), ("ya", "я"), ("o'", "ў"), ("g'", "ғ"), ("ng", "нг"), *zip("abdefghijklmnopqrstuvxyz'", "абдефгҳижклмнопқрстувхйзъ", strict=True))
+_TO_LATIN = (("ш", "sh"), ("щ", "sh"), ("ч", "ch"), ("ж", "j"), ("ё", "yo"), ("ю", "yu"), ("я", "ya"), ("ц", "ts"), *zip("абвгдезийклмнопрстуфхыэьъ", [*"abvgdeziyklmnoprstufxie", "", ""], strict=True))
+#: parts that given names of the region are made of; a word with one is a given name beside a surname, patronymic or initial
+_NAME_PART = re.compile(
+    r"(?:gul|abdu|muham|nur|dil|sher|shoh|ziyo|mir)[a-z']{3,}|[a-z']{2,}(?:bek|jon|xon|boy|gul|shod|niso|bonu|iddin|ulloh?|mirzo)"
+    r"|(?:гуль?|абду|мухам|нур|дил|шер|шох|зиё)[а-яўқғҳ]{3,}|[а-яўқғҳ]{2,}(?:бек|жон|жан|хон|хан|бай|бой|гуль?|нисо|иддин|улла|мирза)(?:а|у|ом|е)?"
+)
+
+
+def _written(word: str, table: tuple) -> str:
+    for a, b in table:
+        word = word.replace(a, b)
+    return word
+
+
+def _also(word: str) -> set[str]:
+    """The other spellings of a name: in the other script, and with plain letters for those that only Uzbek has."""
+    if word.isascii():
+        word = _written(word, _TO_CYRILLIC)
+        return {word, word.translate(str.maketrans("ўқғҳ", "укгх"))} if not word.isascii() else set()
+    return {_written(word, _TO_LATIN)}
+
+
 @lru_cache(maxsize=1)
 def given_forms() -> frozenset[str]:
-    """Given names in every case form, small letters, ye for yo."""
-    out = {_plain(n) for n in GIVEN_OTHER}
-    for n in map(_plain, GIVEN_RU):
+    """Given names in every case form and both scripts, small letters, ye for yo."""
+    other = {_plain(n) for n in GIVEN_OTHER}
+    latin = {_plain(x) for n in map(_plain, GIVEN_RU) for x in _also(n)}
+    cyrillic = {_plain(x) for n in other for x in _also(n)}
+    out = other | latin
+    for n in [*map(_plain, GIVEN_RU), *sorted(cyrillic)]:
         stem = {"павел": "павл", "любовь": "любов"}.get(n, n)
         if n.endswith("ия"):
             ends, stem = ("и", "ю", "ей"), n[:-1]
@@ -159,7 +188,7 @@ _SURNAME = re.compile(
 )
 _CAPITAL = "A-ZА-ЯЁ"
 _TOKEN = rf"[{_CAPITAL}](?:\.|[\w'`´‘’ʻʼ-]*\w)"
-_SEQUENCE = re.compile(rf"(?<![\w])(?:{_TOKEN}(?:(?<=\.) ?| )){{1,400}}(?:{_TOKEN}|(?<=\.))", re.S)
+_SEQUENCE = re.compile(rf"(?<![\w])(?:{_TOKEN}(?:(?<=\.) ?| ))+(?:{_TOKEN}|(?<=\.))", re.S)
 _PART = re.compile(_TOKEN)
 _SON = re.compile(rf" (?:o{_Q}g{_Q}li|qizi)\b", re.I)
 
@@ -176,17 +205,19 @@ def _classify(token: str) -> str:
         return ""
     if len(low) > 4 and _PATRONYMIC.search(low):
         return "P"
-    return "S" if _SURNAME.fullmatch(low) else ""
+    if _SURNAME.fullmatch(low):
+        return "S"
+    return "G" if len(low) > 5 and token[1:].islower() and _NAME_PART.fullmatch(low) else ""
 
 
 
 
 #: components side by side that make a name, the longer first; x before an initial and a surname is a given name
-SHAPES = ("SGP", "GPS", "IIS", "SII", "GIS", "xIS", "SIP", "GP", "SG", "GS", "IS", "SI", "SP", "GI")
+SHAPES = ("SGP", "GPS", "GGS", "IIS", "SII", "GIS", "xIS", "SIP", "GP", "SG", "GS", "IS", "SI", "SP", "GI", "GG")
 
 
 def names_in(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of names: two or more of given name, patronymic, surname and initials side by side."""
+    """(start, end) of names: two or more of given name, patronymic, surname and initials side by side; also two given names."""
     for m in _SEQUENCE.finditer(text):
         parts = [(p.start() + m.start(), p.end() + m.start(), p.group()) for p in _PART.finditer(m.group())]
         kinds = "".join(_classify(p[2]) or "x" for p in parts)
@@ -205,14 +236,12 @@ def names_in(text: str) -> Iterator[tuple[int, int]]:
                 continue
             start, end = parts[at][0], parts[at + best - 1][1]
             at += best
-            son = at < len(kinds) and kinds[at] == "G" and _SON.match(text, parts[at][1])
+            # "son" or "daughter of" after a father's name
+            father = at < len(kinds) and kinds[at] == "G"
+            son = _SON.match(text, parts[at][1]) if father else _SON.match(text, end) if shape == "GG" else None
             if son:
-                end, at = son.end(), at + 1
+                end, at = son.end(), at + father
             yield start, end
-        # given name, father's name and "son" or "daughter of", without a surname
-        for i in range(len(kinds) - 1):
-            if kinds[i : i + 2] == "GG" and (i == 0 or kinds[i - 1] != "S") and (son := _SON.match(text, parts[i + 1][1])):
-                yield parts[i][0], son.end()
 
 
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -220,23 +249,17 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 
 # whatever EMAIL matches holds a match of _AT
 _SIGN = re.compile(rf"{_AT}|at[\])}}]|собака|kuchukcha| (?:dot|точка|nuqta) ", re.I)
-_DIGITS = re.compile(r"\d[\d ().\-]*")
+_DIGITS = re.compile(r"\d")
 
 
-def _around(pattern: re.Pattern, text: str, before: int, after: int) -> Iterator[tuple[int, int]]:
-    """Stretches of the text near the matches of ``pattern``, each place in one: items can't be longer than the margins, and start and end at blanks."""
-    start = end = -1
+def _lines_with(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """The lines of the text in which ``pattern`` matches; no item crosses the end of a line."""
+    end = -1
     for m in pattern.finditer(text):
-        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
-        if start < 0:
-            start, end = a, b
-        elif a <= end:
-            end = b
-        else:
+        if m.start() >= end:
+            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            end = len(text) if end < 0 else end
             yield start, end
-            start, end = a, b
-    if start >= 0:
-        yield start, end
 
 
 def items_in(text: str | None) -> list[tuple[str, int, int]]:
@@ -245,9 +268,9 @@ def items_in(text: str | None) -> list[tuple[str, int, int]]:
         return []
     seen, at = as_seen(text)
     found: list[tuple[str, int, int]] = []
-    for a, b in _around(_SIGN, seen, 80, 90):
+    for a, b in _lines_with(_SIGN, seen):
         found += [("email", m.start(), m.end()) for m in EMAIL.finditer(seen, a, b)]
-    numbers = list(_around(_DIGITS, seen, 100, 70))
+    numbers = list(_lines_with(_DIGITS, seen))
     for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE), ("address", ADDRESS)):
         for a, b in numbers:
             found += [(kind, m.start(), m.end()) for m in pattern.finditer(seen, a, b)]
@@ -291,32 +314,98 @@ def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 8) -> i
             return value
 
 
+CYRILLIC_SERIES = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+LATIN_SERIES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _permuted_letters(letters: str, key: bytes, tweak: str) -> str:
+    """Letters of one alphabet, in capitals, permuted together."""
+    alphabet = LATIN_SERIES if letters[0] in LATIN_SERIES else CYRILLIC_SERIES
+    n = 0
+    for c in letters:
+        n = n * len(alphabet) + alphabet.index(c)
+    n, out = feistel(n, len(alphabet) ** len(letters), key, f"{tweak}{alphabet[0]}l"), ""
+    for _ in letters:
+        out, n = alphabet[n % len(alphabet)] + out, n // len(alphabet)
+    return out
+
+
+def permute_digits(digits: str, key: bytes, tweak: str) -> str:
+    return str(feistel(int(digits), 10 ** len(digits), key, f"{tweak}d")).zfill(len(digits)) if digits else ""
+
+
+def _put(value: str, digits: str, key: bytes, tweak: str) -> str:
+    """``value`` with its digits replaced, letters permuted by alphabet, everything else where it was."""
+    up = value.upper()
+    new = {a[0]: iter(_permuted_letters("".join(c for c in up if c in a), key, tweak)) for a in (LATIN_SERIES, CYRILLIC_SERIES) if any(c in a for c in up)}
+    d, out = iter(digits), []
+    for c, u in zip(value, up, strict=True):
+        if c.isdigit():
+            out.append(next(d))
+        elif u in LATIN_SERIES or u in CYRILLIC_SERIES:
+            x = next(new[LATIN_SERIES[0] if u in LATIN_SERIES else CYRILLIC_SERIES[0]])
+            out.append(x if c == u else x.lower())
+        else:
+            out.append(c)
+    return "".join(out)
+
+
 def permute_format(value: str, key: bytes, tweak: str) -> str:
     """Digits permuted together, letters permuted together, everything else where it was."""
-    digits = [c for c in value if c.isdigit()]
-    letters = [c for c in value.upper() if "A" <= c <= "Z"]
-    new_digits = new_letters = ""
-    if digits:
-        new_digits = str(feistel(int("".join(digits)), 10 ** len(digits), key, f"{tweak}d")).zfill(len(digits))
-    if letters:
-        n = 0
-        for c in letters:
-            n = n * 26 + ord(c) - 65
-        n = feistel(n, 26 ** len(letters), key, f"{tweak}l")
-        for _ in letters:
-            new_letters, n = chr(65 + n % 26) + new_letters, n // 26
-    d, x = iter(new_digits), iter(new_letters)
-    return "".join(next(d) if c.isdigit() else (y if c.isupper() else y.lower()) if "A" <= c.upper() <= "Z" and (y := next(x)) else c for c in value)
+    return _put(value, permute_digits("".join(c for c in value if c.isdigit()), key, tweak), key, tweak)
 
 
-def permute_date(day: int, month: int, year: int, key: bytes, span: int = 60) -> tuple[int, int, int]:
-    """A keyed permutation of the valid dates of the ``span`` years that hold the date; an invalid date comes back as it is."""
-    import datetime
+# ---- numbers with a check -------------------------------------------------------------------------
+
+
+def insurance_check(nine: str) -> str:
+    """The two check digits of a nine-digit insurance number: a weighted sum modulo 101."""
+    return f"{sum(int(c) * (9 - i) for i, c in enumerate(nine)) % 101 % 100:02d}"
+
+
+def personal_check(thirteen: str) -> str:
+    """The check digit of a fourteen-digit personal code: weights 7, 3, 1."""
+    return str(sum(int(c) * (7, 3, 1)[i % 3] for i, c in enumerate(thirteen)) % 10)
+
+
+CENTURY = {"1": 1800, "2": 1800, "3": 1900, "4": 1900, "5": 2000, "6": 2000}
 
+
+def permute_number(value: str, key: bytes) -> str:
+    """An identity number permuted within its format.
+
+    A number whose check is right keeps a right check: of an insurance number the nine digits are permuted and the check is made
+    anew; of a personal code the date of birth is permuted among valid dates of its century (the first digit, which says
+    century and sex, stays), the place and serial number among all, and the check is made anew. Any other is permuted digit by digit,
+    and its check is wrong as before, or right by chance. Series letters are permuted within their alphabet.
+    """
+    digits = "".join(c for c in value if c.isdigit())
+    letters = any(c.isalpha() for c in value)
+    if not letters and len(digits) == 11 and insurance_check(digits[:9]) == digits[9:]:
+        nine = permute_digits(digits[:9], key, "insurance")
+        return _put(value, nine + insurance_check(nine), key, "id")
+    if not letters and len(digits) == 14 and personal_check(digits[:13]) == digits[13] and digits[0] in CENTURY:
+        day, month, year = int(digits[1:3]), int(digits[3:5]), CENTURY[digits[0]] + int(digits[5:7])
+        if valid_date(day, month, year):
+            d, m, y = permute_date(day, month, year, key, span=100)
+            new = f"{digits[0]}{d:02d}{m:02d}{y % 100:02d}" + permute_digits(digits[7:13], key, "code")
+            return _put(value, new + personal_check(new), key, "id")
+    return permute_format(value, key, "id")
+
+
+def valid_date(day: int, month: int, year: int) -> bool:
     try:
-        date = datetime.date(year, month, day)
+        datetime.date(year, month, day)
     except ValueError:
+        return False
+    return True
+
+
+def permute_date(day: int, month: int, year: int, key: bytes, span: int = 60) -> tuple[int, int, int]:
+    """A keyed permutation of the valid dates of the ``span`` years that hold the date; an invalid date comes back as it is."""
+    if not valid_date(day, month, year):
         return day, month, year
+    date = datetime.date(year, month, day)
     first = datetime.date(year - year % span or 1, 1, 1)
     size = (datetime.date(first.year + span, 1, 1) - first).days
     new = first + datetime.timedelta(days=feistel((date - first).days, size, key, f"date{first.year}"))
@@ -334,11 +423,11 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
         head = value[: m.end()] if m and sum(c.isdigit() for c in value) > 10 else ""
         return head + permute_format(value[len(head) :], key, "phone")
     if kind == "id_number":
-        return permute_format(value, key, "id")
+        return permute_number(value, key)
     plain = re.sub(r"[\s.,\-]+", " ", _plain(value)).strip()
     if kind == "email":
         plain = re.sub(rf"{_DOT}", ".", re.sub(_AT, "@", value.lower()))
-    return hmac.new(key, f"{kind}|{plain}".encode(), hashlib.blake2s).hexdigest()[:10]
+    return hmac.new(key, f"{kind}|{plain}".encode(), hashlib.blake2s).hexdigest()[:32]  # 128 bits
 
 
 def redacted(text: str | None, key: bytes) -> str | None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,13 @@ def encoder(path: str = TOKENIZER):
 def with_sizes(docs: DataFrame, key: str, text: str, *keep: str, path: str = TOKENIZER) -> DataFrame:
     """(id, n_tokens, *keep): the size of each text. A null text has 0 tokens; a row with a null id is left out."""
 
+    name = os.path.basename(path)
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)  # the vocabulary reaches executors whether or not they have the folder
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        sent = SparkFiles.get(name)
+        enc = encoder(sent if os.path.exists(sent) else path)
         for batch in batches:
             texts = batch.pop("text__").fillna("").tolist()
             batch["n_tokens"] = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]

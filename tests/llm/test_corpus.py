@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 
 import numpy as np
 import pytest
@@ -56,6 +57,26 @@ def test_quota_tree():
     assert M.split_quotas(np.array([5]), 1, 0).tolist() == [[5]]
 
 
+def test_blocks_meet_their_shards():
+    rng = np.random.default_rng(1)
+    plan = M.split_quotas(np.array([1000, 3, 0, 40_000]), 37, 2)
+    cells, ends = M._cells(plan, [0, 1, 3]), np.cumsum(plan, axis=0)
+    for i in (0, 1, 3):
+        size = max(1, int(ends[-1, i]) // 37)
+        for block in rng.integers(0, ends[-1, i], 60).tolist():
+            found = [s for j, cell, s, a, b in cells if j == i and cell == block // size and a <= block < b]
+            assert found == [int(np.searchsorted(ends[:, i], block, side="right"))]
+    assert len(cells) <= 3 * 37 * 3
+
+
+def test_huge_quotas():
+    # what would be more than half a billion blocks is drawn in larger ones
+    total = 10**14
+    size = max(8192, -(-total // (M.MOST_BLOCKS - 3)))
+    plan = M.split_quotas(np.array([total // size // 2, total // size // 3]), 64, 0)
+    assert plan.sum() == total // size // 2 + total // size // 3 and np.ptp(plan.sum(1)) <= 1
+
+
 def test_mixture(spark):
     rng = random.Random(0)
     names = ["big"] * 2000 + ["Small Source"] * 40 + ["unlisted"] * 30 + [None] * 10
@@ -95,6 +116,10 @@ def _kinds(text):
         ("Sinf rahbari Zakroshov Otabek Bekzod oʻgʻli keldi", [("name", "Zakroshov Otabek Bekzod oʻgʻli")]),
         ("Контакт: ЛИВРОМИН РУСТАМ и Иванов Пётр Ильич", [("name", "ЛИВРОМИН РУСТАМ"), ("name", "Иванов Пётр Ильич")]),
         ("Вечером Глеб ушёл. Мы гуляли по улице Ленинской. Учебник 978-0-00-185072-0, счёт 59:3, рамка 834 864 615 609, № 1928018", []),
+        ("Gulbahor Karimova keldi. Олжас Сулейменов, Мухаммад Юсуф и Aleksandr Petrov", [("name", x) for x in ("Gulbahor Karimova", "Олжас Сулейменов", "Мухаммад Юсуф", "Aleksandr Petrov")]),
+        ("Дилнозабону Рахимова; Otabek Bekzod oʻgʻli", [("name", "Дилнозабону Рахимова"), ("name", "Otabek Bekzod oʻgʻli")]),
+        ("a" * 100 + "@mail.uz, x@" + "sub." * 14 + "uz", [("email", "a" * 100 + "@mail.uz"), ("email", "x@" + "sub." * 14 + "uz")]),
+        ("ул. " + "Д" + "о" * 150 + ", д. 5", [("address", "ул. " + "Д" + "о" * 150 + ", д. 5")]),
         ("", []),
     ],
 )
@@ -120,6 +145,42 @@ def test_pseudonyms():
     assert datetime.date(d[2], d[1], d[0]) and N.permute_date(31, 2, 2024, key) == (31, 2, 2024)
 
 
+def test_numbers_keep_their_check():
+    key = b"k"
+    assert N.insurance_check("112233445") == "95"  # fixed value: a published example
+    seen = set()
+    for i in range(300):
+        nine = f"{i * 3_331_333 % 10**9:09d}"
+        n = f"{nine[:3]}-{nine[3:6]}-{nine[6:]} {N.insurance_check(nine)}"
+        new = N.permute_number(n, key)
+        digits = "".join(c for c in new if c.isdigit())
+        assert [c.isdigit() for c in n] == [c.isdigit() for c in new] and digits[9:] == N.insurance_check(digits[:9]) and new != n
+        seen.add(new)
+    assert len(seen) == 300
+    body = "3" + "290288" + "017" + "004"  # 29 February 1988
+    code = body + N.personal_check(body)
+    new = N.permute_number(code, key)
+    assert new[0] == "3" and N.valid_date(int(new[1:3]), int(new[3:5]), 1900 + int(new[5:7])) and new[13] == N.personal_check(new[:13]) and new != code
+    wrong = code[:-1] + str((int(code[-1]) + 1) % 10)
+    assert len(N.permute_number(wrong, key)) == 14
+    assert N.permute_number("АА № 1234567", key)[:2] != "АА" and all(c in N.CYRILLIC_SERIES for c in N.permute_number("АА № 1234567", key)[:2])
+    assert N.permute_number("ab 1234567", key)[:2].islower()
+
+
+def test_equal_values_are_linked_across_documents(spark):
+    rows = [
+        (1, "Пишите Дениcу Романову, тел. +998 90 123 45 67"), (2, "ДЕНИСУ РОМАНОВУ звонить (90) 123-45-67"), (3, "тел. 90 123 45 67 и паспорт AB 7654321"), (4, "AB7654321"), (5, "x@mail.uz"), (6, "x (at) mail [dot] uz"),
+    ]
+    red = {r.doc_id: r.redacted for r in N.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", "k").collect()}
+    marks = {i: re.findall(r"\[(\w+):([^\]]+)\]", t) for i, t in red.items()}
+    plain = lambda x: re.sub(r"\W", "", x)[-9:]
+    assert marks[1][0][1] == marks[2][0][1] and len(marks[1][0][1]) == 32  # the same name, however it's written
+    assert plain(marks[1][1][1]) == plain(marks[2][1][1]) == plain(marks[3][0][1]) != "901234567"
+    assert plain(marks[3][1][1]) == plain(marks[4][0][1]) and marks[5][0][1] == marks[6][0][1]
+    other = N.redacted(rows[0][1], b"another key")
+    assert marks[1][0][1] not in other
+
+
 def test_tables(spark):
     rows = [(1, "тел. 09 190 52 59"), (2, None), (None, "a@b.example"), (3, ""), (1, "тел. 09 190 52 59"), (4, "слово " * 30_000 + "a@b.example")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as kind")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.skew import spread_join
+from quillspan.llm.skew import often, spread_join
 from quillspan.session import written
 
 LATIN, CYRILLIC, GREEK = 0, 1, 2
@@ -493,9 +493,13 @@ def same_look_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     shared = drawn.select("s", "t").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     alike = drawn.join(shared, "s", "left_semi")
     h = written(consistent_form(alike, "text", trained_on=source).select("id", F.md5("form").alias("f"), "t"))
-    texts = h.select("f", "t").distinct()
-    pairs = spread_join(texts.select("f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb")), "f", "ta", "tb").where("ta < tb").select("ta", "tb")
-    left = h.select(F.col("t").alias("ta"), F.col("id").alias("ia"))
-    right = h.select(F.col("t").alias("tb"), F.col("id").alias("ib"))
-    half = spread_join(pairs, left, "ta", "tb", "ia").select("tb", "ia")
-    return spread_join(half, right, "tb", "ia", "ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).where("id_a < id_b").distinct()
+    texts = written(h.select("f", "t").distinct())
+    crowded = often(texts, "f")
+    pairs = written(
+        spread_join(texts.select("f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb")), "f", "ta", "tb", left_often=crowded, right_often=crowded).where("ta < tb").select("ta", "tb")
+    )
+    copied = often(h, "t")
+    rows_of = lambda t, i: h.select(F.col("t").alias(t), F.col("id").alias(i))
+    half = written(spread_join(pairs, rows_of("ta", "ia"), "ta", "tb", "ia", right_often=copied.withColumnRenamed("t", "ta")).select("tb", "ia"))
+    both = spread_join(half, rows_of("tb", "ib"), "tb", "ia", "ib", right_often=copied.withColumnRenamed("t", "tb"))
+    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).where("id_a < id_b").distinct()

@@ -615,7 +615,7 @@ def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Class pairs expanded to (id_a < id_b); classes of many rows are split over tasks on either side."""
     members = members.select("id", "side", "cls").distinct()
     of = lambda k, name: members.where(f"side = {k}").select(F.col("cls").alias(f"{name}_cls"), F.col("id").alias(f"{name}_id"))
-    half = spread_join(pairs.select("train_cls", "held_cls"), of(HELD, "held"), "held_cls", "train_cls", "held_id").select("train_cls", "held_id")
+    half = written(spread_join(pairs.select("train_cls", "held_cls"), of(HELD, "held"), "held_cls", "train_cls", "held_id").select("train_cls", "held_id"))
     both = spread_join(half, of(TRAIN, "train"), "train_cls", "held_id", "train_id")
     return both.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 

@@ -95,4 +95,11 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paraphrases, p2_found, p2_splits, p3_found, p3_coverage, p3_records, p5_found, p5_forms, p6_bins, p6_fill, p7_mixture, p7_shares, p8_found, p8_redacted)}
-ORACLE: dict[str, str] = {}
+_CODES = " UNION ALL ".join(f"SELECT image_id AS id, '{i}:' || {c} AS code FROM (SELECT image_id, lower(regexp_replace({c}, '{components.BLANK_OR_DASH}', '', 'g')) AS {c} FROM page_image) WHERE {c} NOT IN ({{}})" for i, c in enumerate(IMAGE_CODES))
+_CODES = _CODES.replace("{}", ", ".join("'" + u.replace("'", "''") + "'" for u in components.UNKNOWN))
+ORACLE: dict[str, str] = {
+    # every image and the heads of its codes, closed by recursion
+    "p2_found": f"WITH RECURSIVE c AS ({_CODES}), h AS (SELECT id AS a, min(id) OVER (PARTITION BY code) AS b FROM c), e AS (SELECT a, b FROM h WHERE a <> b UNION SELECT b, a FROM h WHERE a <> b),"
+    " r(id, x) AS (SELECT DISTINCT image_id, image_id FROM page_image UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a)"
+    " SELECT min(x) AS anchor_id, id AS image_id FROM r GROUP BY id HAVING min(x) <> id",
+}

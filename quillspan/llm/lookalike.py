@@ -479,27 +479,29 @@ def skeleton_hash(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else hashlib.blake2b(skeleton(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], dtype=object)
 
 
-def same_look_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (id_a < id_b) of rows whose texts look the same but are other code points.
+def same_look_pairs(rows: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
+    """Pairs (id_a < id_b) of rows whose texts look the same but are other code points; with ``within``, of rows that agree in that
+    column, which stays as ``within``.
 
     The form is a function of the skeleton, so a text whose skeleton no other text has can't be in a pair; the rest are
     read, by a model of all rows, and grouped by consistent form. A pair of different texts is expanded to rows, so copies
-    are never paired with each other. Forms, texts and pairs that are frequent are split over tasks. Null texts and null
-    keys give no pair; a repeated row counts once.
+    are never paired with each other. Forms, texts and pairs that are frequent are split over tasks. Null texts, null
+    keys and null ``within`` give no pair; a repeated row counts once.
     """
-    source = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    drawn = written(source.select("id", "text", skeleton_hash("text").alias("s"), F.md5("text").alias("t")).distinct())
+    group = F.lit("") if within is None else F.col(f"`{within}`").cast("string")
+    source = rows.select(group.alias("w"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where("w is not null and id is not null and text is not null")
+    drawn = written(source.select("w", "id", "text", skeleton_hash("text").alias("s"), F.md5(F.concat_ws("\n", "w", "text")).alias("t")).distinct())
     # one row a text first, so a skeleton of many copies is counted by a handful of rows
-    shared = drawn.select("s", "t").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    alike = drawn.join(shared, "s", "left_semi")
-    h = written(consistent_form(alike, "text", trained_on=source).select("id", F.md5("form").alias("f"), "t"))
-    texts = written(h.select("f", "t").distinct())
+    shared = drawn.select("w", "s", "t").distinct().groupBy("w", "s").agg(F.count("*").alias("k")).where("k > 1").select("w", "s")
+    alike = drawn.join(shared, ["w", "s"], "left_semi")
+    h = written(consistent_form(alike, "text", trained_on=source).select("w", "id", F.md5(F.concat_ws("\n", "w", "form")).alias("f"), "t"))
+    texts = written(h.select("w", "f", "t").distinct())
     crowded = often(texts, "f")
-    pairs = written(
-        spread_join(texts.select("f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb")), "f", "ta", "tb", left_often=crowded, right_often=crowded).where("ta < tb").select("ta", "tb")
-    )
+    one, two = texts.select("w", "f", F.col("t").alias("ta")), texts.select("f", F.col("t").alias("tb"))
+    pairs = written(spread_join(one, two, "f", "ta", "tb", left_often=crowded, right_often=crowded).where("ta < tb").select("w", "ta", "tb"))
     copied = often(h, "t")
     rows_of = lambda t, i: h.select(F.col("t").alias(t), F.col("id").alias(i))
-    half = written(spread_join(pairs, rows_of("ta", "ia"), "ta", "tb", "ia", right_often=copied.withColumnRenamed("t", "ta")).select("tb", "ia"))
+    half = written(spread_join(pairs, rows_of("ta", "ia"), "ta", "tb", "ia", right_often=copied.withColumnRenamed("t", "ta")).select("w", "tb", "ia"))
     both = spread_join(half, rows_of("tb", "ib"), "tb", "ia", "ib", right_often=copied.withColumnRenamed("t", "tb"))
-    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).where("id_a < id_b").distinct()
+    made = both.select(F.col("w").alias("within"), F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).where("id_a < id_b").distinct()
+    return made.drop("within") if within is None else made

@@ -48,20 +48,22 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return splitleak.record_coverage(table(spark, d, "train_label"), "label_id", "text", "split", "source").withColumnRenamed("id", "label_id")
 
 
+def _texts(spark: SparkSession, d: str, *tables: tuple[str, str]) -> DataFrame:
+    rows = None
+    for name, key in tables:
+        part = table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).alias("id"), "text")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    made = [
-        lookalike.same_look_pairs(table(spark, d, name), key, "text").select(F.lit(name).alias("tbl"), "id_a", "id_b")
-        for name, key in (("gt_line", "line_id"), ("dictation_key", "key_id"))
-    ]
-    return made[0].unionByName(made[1])
+    made = lookalike.same_look_pairs(_texts(spark, d, ("gt_line", "line_id"), ("dictation_key", "key_id")), "id", "text", within="tbl")
+    return made.withColumnRenamed("within", "tbl")
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every text of the three tables in its consistent form."""
-    rows = None
-    for name, key in (("gt_line", "line_id"), ("dictation_key", "key_id"), ("train_label", "label_id")):
-        part = table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).alias("id"), "text")
-        rows = part if rows is None else rows.unionByName(part)
+    rows = _texts(spark, d, ("gt_line", "line_id"), ("dictation_key", "key_id"), ("train_label", "label_id"))
     return lookalike.consistent_form(rows, "text").select("tbl", "id", "form")
 
 

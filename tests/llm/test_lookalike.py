@@ -83,6 +83,21 @@ def test_pairs_and_forms(spark):
     assert L.same_look_pairs(long_, "k", "t").count() == 1
 
 
+def test_pairs_within_groups(spark):
+    rows = [("a", 1, "дом"), ("a", 2, "дoм"), ("b", 1, "дoм"), ("b", 2, "дом"), ("c", 3, "дoм"), (None, 4, "дом")]
+    df = spark.createDataFrame(rows, "g string, k long, t string").selectExpr("*", "1 as w", "2 as id", "'x' as text")
+    assert sorted(tuple(r) for r in L.same_look_pairs(df, "k", "t", within="g").collect()) == [("a", 1, 2), ("b", 1, 2)]
+
+
+def test_letter_pairs_of_arrays():
+    texts = ["Мама мыла", "o'zbek", "сo", "a1б", "х́а", "", "漢字ab"]
+    pairs, n = L._pairs_of(texts)
+    name = lambda x: "^" if x == L._START else chr(x)
+    got = {(p >> 42, name((p >> 21) & 0x1FFFFF) + name(p & 0x1FFFFF)): k for p, k in zip(pairs.tolist(), n.tolist(), strict=True)}
+    assert got[1, "^м"] == 2 and got[1, "ма"] == 2 and got[0, "oz"] == 1 and got[0, "^a"] == 1 and got[1, "^б"] == 1 and got[1, "ха"] == 1
+    assert (1, "^с") not in got and (0, "ab") not in got  # two scripts in one word
+
+
 def test_hot_group(spark):
     rows = [(i, "Диктант" if i % 50 else "Диктaнт") for i in range(600)]
     df = spark.createDataFrame(rows, "k long, t string")

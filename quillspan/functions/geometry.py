@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ LINE_GROWTH = (0.25, 0.365, 0.02)
 WORD_GROWTH = (0.344, 0.416, 0.105)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"), strict=True)])
 
@@ -55,22 +62,31 @@ def word_boxes(text: Column, words: Column, given: Column, line: Column) -> Colu
 
     spans = F.aggregate(words, no_place, next_span, lambda acc: acc["spans"])
     ink = F.array_sort(F.coalesce(given, F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")))
-    side = lambda name, f: f(F.transform(ink, lambda g: g[name]))
-    some = F.size(ink) > 0
-    whole = F.coalesce(line, F.when(some, box(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))))
-    middle = lambda name: F.get(F.array_sort(F.transform(ink, lambda g: g[name])), (F.size(ink) / 2).cast("int"))
-    n = F.greatest(F.length(text), F.lit(1))
-
-    def of(span: Column) -> Column:
-        a = whole["x0"] + (whole["x1"] - whole["x0"]) * span["a"] / n
-        b = whole["x0"] + (whole["x1"] - whole["x0"]) * span["b"] / n
-        overlap = lambda g: F.least(b, g["x1"]) - F.greatest(a, g["x0"])
-        # of equal overlaps the first from the left
-        best = F.get(F.array_sort(F.transform(ink, lambda g, i: F.struct((-overlap(g)).alias("o"), i.alias("i"), g.alias("g")))), 0)
-        own = box(a, F.when(some, middle("y0")).otherwise(whole["y0"]), b, F.when(some, middle("y1")).otherwise(whole["y1"]))
-        return F.when(whole.isNull(), F.lit(None)).when(some & (-best["o"] > 0.3 * (b - a)), best["g"]).otherwise(own)
-
-    return F.transform(spans, of)
+
+    def of_line(at: Column) -> Column:
+        ink, n = at["ink"], at["n"]
+        some = F.size(ink) > 0
+        side = lambda name, f: f(F.transform(ink, lambda g: g[name]))
+        around = F.when(some, box(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max)))
+        middle = lambda name: F.get(F.array_sort(F.transform(ink, lambda g: g[name])), (F.size(ink) / 2).cast("int"))
+        whole = F.coalesce(line, around)
+        high = F.struct(whole.alias("box"), F.when(some, middle("y0")).otherwise(whole["y0"]).alias("y0"), F.when(some, middle("y1")).otherwise(whole["y1"]).alias("y1"))
+        return let(high, lambda h: F.transform(at["spans"], lambda span: of_word(span, ink, n, h)))
+
+    def of_word(span: Column, ink: Column, n: Column, h: Column) -> Column:
+        width = h["box"]["x1"] - h["box"]["x0"]
+        a, b = h["box"]["x0"] + width * span["a"] / n, h["box"]["x0"] + width * span["b"] / n
+        own = box(a, h["y0"], b, h["y1"])
+
+        def best_of(own: Column) -> Column:
+            overlap = lambda g: F.least(own["x1"], g["x1"]) - F.greatest(own["x0"], g["x0"])
+            # of equal overlaps the first from the left
+            ranked = F.array_sort(F.transform(ink, lambda g, i: F.struct((-overlap(g)).alias("o"), i.alias("i"), g.alias("g"))))
+            return let(F.get(ranked, 0), lambda best: F.when(-best["o"] > 0.3 * (own["x1"] - own["x0"]), best["g"]).otherwise(own))
+
+        return F.when(h["box"].isNull(), F.lit(None)).when(F.size(ink) == 0, own).otherwise(let(own, best_of))
+
+    return let(F.struct(ink.alias("ink"), spans.alias("spans"), F.greatest(F.length(text), F.lit(1)).alias("n")), of_line)
 
 
 def nearest_polyline(x: Column, y: Column, width: Column, height: Column, lines: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspan.functions import text as T
+from quillspan.functions.geometry import let
 from quillspan.functions.kernels import edit_events
 from quillspan.functions.uzbek import corrupted_line
 
@@ -33,11 +34,6 @@ def below(n: Column, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.greatest(n, F.lit(1)).cast("long")).cast("int")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _spots(word: Column, first: int, last: Column) -> Column:
     return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
 

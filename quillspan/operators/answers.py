@@ -103,20 +103,19 @@ def record_status(kind: Column, needs_review: Column) -> Column:
     return F.when(~F.coalesce(kind.isin("dictation", "math", "mcq"), F.lit(False)), "unsupported").when(needs_review, "needs_review").otherwise("ok")
 
 
-def grade_choices(questions: DataFrame, policy: str = "exact_set", changed: str = "last") -> DataFrame:
+def grade_choices(questions: DataFrame, policy: str = "exact_set", changed: str = "invalid") -> DataFrame:
     """Add verdict, points_awarded and needs_review to (key, detected, points, and optionally first_detected: what was chosen
-    before it was changed).
+    before it was crossed out).
 
-    ``policy`` exact_set, any_correct or partial (points by share of the key); ``changed`` last (the changed answer counts), first or
-    review (an answer that was changed is ambiguous).
+    ``policy`` exact_set, any_correct or partial (points by share of the key); ``changed`` last_mark_wins, or invalid: a changed answer
+    is ambiguous.
     """
-    moved = F.col("first_detected").isNotNull() & (F.array_sort("first_detected") != F.array_sort("detected")) if "first_detected" in questions.columns else F.lit(False)
-    seen = F.when(moved, F.col("first_detected")).otherwise(F.col("detected")) if changed == "first" and "first_detected" in questions.columns else F.col("detected")
-    verdict = choice_verdict(F.col("key"), seen, F.lit(policy))
-    if changed == "review":
+    moved = F.coalesce(F.size("first_detected") > 0, F.lit(False)) & (F.array_sort("first_detected") != F.array_sort("detected")) if "first_detected" in questions.columns else F.lit(False)
+    verdict = choice_verdict(F.col("key"), F.col("detected"), F.lit(policy))
+    if changed == "invalid":
         verdict = F.when(moved, "ambiguous").otherwise(verdict)
     points = F.coalesce("points", F.lit(1.0))
-    share = F.size(F.array_intersect("key", seen)) / F.greatest(F.size(F.array_distinct("key")), F.lit(1))
+    share = F.size(F.array_intersect("key", "detected")) / F.greatest(F.size(F.array_distinct("key")), F.lit(1))
     return questions.withColumn("verdict", verdict).withColumns(
         {
             "points_awarded": F.when(F.col("verdict") == "correct", points).when(F.col("verdict") == "partial", points * share).otherwise(0.0),
@@ -125,6 +124,24 @@ def grade_choices(questions: DataFrame, policy: str = "exact_set", changed: str
     )
 
 
+def choice_cards(graded: DataFrame, job: str = "job_id") -> DataFrame:
+    """One row a job: score, max_score, n_correct, n_questions, needs_review."""
+    return graded.groupBy(job).agg(
+        F.sum("points_awarded").alias("score"), F.sum(F.coalesce("points", F.lit(1.0))).alias("max_score"), F.count_if(F.col("verdict") == "correct").alias("n_correct"), F.count("*").alias("n_questions"), F.max("needs_review").alias("needs_review"),
+    )
+
+
+def last_criteria(rows: DataFrame, job: str, name: str, place: Column, points: str, most: str) -> DataFrame:
+    """(job, name, place, points, most): criteria that are given more than once count once, with their last points at their first place."""
+    return rows.groupBy(job, name).agg(F.min(place).alias("place"), F.max_by(F.struct(points, most), place).alias("v")).select(job, name, "place", F.col(f"v.{points}").alias("points"), F.col(f"v.{most}").alias("most"))
+
+
+def criteria_totals(last: DataFrame, job: str) -> DataFrame:
+    """(job, n_criteria, score, max_score); criteria without points count nought."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)))
+    return last.groupBy(job).agg(F.count("*").alias("n_criteria"), total("points").alias("score"), total("most").alias("max_score"))
+
+
 def choice_verdict(key: Column, detected: Column, policy: Column) -> Column:
     """blank, correct, partial or wrong of a question's letters; ``policy``: exact_set, any_correct or partial."""
     k, d = F.array_sort(F.array_distinct(key)), F.array_sort(F.array_distinct(detected))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillspan.functions import geometry as G
 from quillspan.functions import text as T
 from quillspan.functions.kernels import indel_ratio_col, similarity_col
-from quillspan.operators import dictation, matching, scoring
+from quillspan.operators import answers, dictation, matching, scoring
 from quillspan.plans.registry import Registry
 from quillspan.session import table
 
@@ -467,10 +467,21 @@ def best_by_median(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.min_by("event_type", F.struct("m", "event_type")).alias("best"))
 
 
-@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS last_value, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY user_id, event_type")
+_LAST = "(SELECT user_id, event_type, arg_max(struct_pack(v := value), (ts, event_id)).v AS value, min((ts, event_id)) AS place FROM events GROUP BY user_id, event_type)"
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS points, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY user_id, event_type")
 def last_value_first_place(spark: SparkSession, d: str) -> DataFrame:
-    at = F.struct("ts", "event_id")
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", at).alias("last_value"), F.min_by("event_id", at).alias("first_event"))
+    """Criteria (here kinds of events of a user) with their last value at their first place."""
+    ev = table(spark, d, "events").withColumn("most", F.lit(100.0))
+    last = answers.last_criteria(ev, "user_id", "event_type", F.struct("ts", "event_id"), "value", "most")
+    return last.select("user_id", "event_type", "points", F.col("place.event_id").alias("first_event"))
+
+
+@query(f"SELECT user_id, count(*) AS n_criteria, sum(coalesce(value, 0)) AS score, 100.0 * count(*) AS max_score FROM {_LAST} GROUP BY user_id")
+def criteria_totals(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").withColumn("most", F.lit(100.0))
+    return answers.criteria_totals(answers.last_criteria(ev, "user_id", "event_type", F.struct("ts", "event_id"), "value", "most"), "user_id")
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -164,13 +164,22 @@ def test_choices(spark):
     rows = [(["A"], ["A"], None), (["A", "B"], ["A"], ["B"]), (["C"], [], None), (["A"], ["A", "B"], None), (["D"], None, None)]
     df = spark.createDataFrame([(*r, 2.0) for r in rows], "key array<string>, detected array<string>, first_detected array<string>, points double")
     run = lambda **k: [(r.verdict, r.points_awarded) for r in answers.grade_choices(df, **k).collect()]
-    assert run() == [("correct", 2.0), ("wrong", 0.0), ("blank", 0.0), ("multiple", 0.0), ("blank", 0.0)]
-    assert run(policy="partial")[1] == ("partial", 1.0) and run(policy="any_correct")[1] == ("correct", 2.0)
-    assert run(changed="review")[1] == ("ambiguous", 0.0) and run(policy="partial", changed="first")[1] == ("partial", 1.0)
+    assert run() == [("correct", 2.0), ("ambiguous", 0.0), ("blank", 0.0), ("multiple", 0.0), ("blank", 0.0)]
+    last = {"changed": "last_mark_wins"}
+    assert run(**last)[1] == ("wrong", 0.0) and run(policy="partial", **last)[1] == ("partial", 1.0) and run(policy="any_correct", **last)[1] == ("correct", 2.0)
+    card = answers.choice_cards(answers.grade_choices(df.withColumn("job_id", F.lit("j")))).first()
+    assert (card.score, card.max_score, card.n_correct, card.n_questions, card.needs_review) == (2.0, 10.0, 1, 5, True)
     kinds = spark.createDataFrame([("math", True), ("mcq", False), ("essay", False), (None, True)], "t string, r boolean")
     assert [r[0] for r in kinds.select(answers.record_status(F.col("t"), F.col("r"))).collect()] == ["needs_review", "ok", "unsupported", "unsupported"]
 
 
+def test_last_criteria(spark):
+    df = spark.createDataFrame([("j", "a", 0, 1.0, 2.0), ("j", "b", 1, None, 3.0), ("j", "a", 2, 2.0, 4.0)], "job string, name string, n int, points double, most double")
+    last = answers.last_criteria(df, "job", "name", F.col("n"), "points", "most")
+    assert {(r.name, r.place, r.points, r.most) for r in last.collect()} == {("a", 0, 2.0, 4.0), ("b", 1, None, 3.0)}
+    assert tuple(answers.criteria_totals(last, "job").first()) == ("j", 2, 2.0, 7.0)
+
+
 LINE = "Мама мыла раму и пела песню у окна весь вечер"
 
 

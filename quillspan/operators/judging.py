@@ -30,6 +30,17 @@ def pmi(parts: DataFrame, key: str, with_picture: str, without: str, weight: flo
     return parts.groupBy(key).agg((F.sum(with_picture) - F.lit(weight) * F.sum(without)).alias("pmi"))
 
 
+def best_spellings(scores: DataFrame, word: str, spelling: str, score: str, is_key: str, most: int = 20) -> DataFrame:
+    """(word, best, margin, key_score, top): for each word the best of its other spellings, by how much it beats the key (0 without
+    any), and the ``most`` best in order. Equal scores go by spelling."""
+    other, c = ~F.col(is_key), F.struct((-F.col(score)).alias("s"), F.col(spelling).alias("c"))
+    made = scores.groupBy(word).agg(F.max(F.when(F.col(is_key), F.col(score))).alias("key_score"), F.array_sort(F.collect_list(F.when(other, c))).alias("o"))
+    first = F.get("o", 0)
+    return made.select(
+        word, first["c"].alias("best"), F.coalesce(-first["s"] - F.col("key_score"), F.lit(0.0)).alias("margin"), "key_score", F.transform(F.slice("o", 1, most), lambda x: x["c"]).alias("top")
+    )
+
+
 def trusted(letters: DataFrame, word: str, probability: str, width: str, least: float = 0.6, share: float = 0.5) -> DataFrame:
     """(word, n_trusted, kept): a word is kept if at least ``share`` of its letters (one at least) are certain, and its letters are wide enough
     and not of very uneven width (0.15 to 3 times their median)."""

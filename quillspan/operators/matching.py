@@ -160,6 +160,19 @@ def words_to_lines(words: DataFrame, lines: DataFrame, page: str, word_id: str,
     )
 
 
+def union_boxes(words: DataFrame, page: str, group: str) -> DataFrame:
+    """(page, group, bbox): the box around all words of a group; words without a group or a box don't count."""
+    ends = [f(F.col(f"bbox.{c}")) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    return words.where(F.col(group).isNotNull() & F.col("bbox").isNotNull()).groupBy(page, group).agg(G.box(*ends).alias("bbox"))
+
+
+def likely_boxes(boxes: DataFrame, least_area: float = 0.0, widest: float = float("inf"), confidence: str | None = None, least: float = 0.0) -> DataFrame:
+    """Boxes of at least ``least_area``, at most ``widest`` times as wide as high, and of at least ``least`` confidence (1 if there is none)."""
+    w, h = F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0")
+    ok = (w * h >= least_area) & (w <= widest * h)
+    return boxes.where(ok if confidence is None else ok & (F.coalesce(F.col(confidence), F.lit(1.0)) >= least))
+
+
 def reading_order(lines: DataFrame, page: str, width: str, height: str) -> DataFrame:
     """Add ``reading_no``: left page before right page on a spread (wide, and a fifth to four fifths on the right), then from the top."""
     per = Window.partitionBy(page)

@@ -69,6 +69,24 @@ def word_lines(spark: SparkSession, d: str) -> DataFrame:
     return matching.words_to_lines(ann.where("category = 'pupil_text'"), lines, "page", "ann_id", "line_no")
 
 
+@query(
+    f"SELECT image_id, group_id, min(list_min({_XS})) AS x0, min(list_min({_YS})) AS y0, max(list_max({_XS})) AS x1, max(list_max({_YS})) AS y1 FROM {_ANN}"
+    " WHERE len(segmentation) >= 6 AND len(segmentation) % 2 = 0 AND category = 'pupil_text' AND group_id IS NOT NULL GROUP BY image_id, group_id"
+)
+def group_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as the boxes around their words."""
+    words = annotations(spark, d).where("category = 'pupil_text'")
+    return matching.union_boxes(words.select("image_id", "group_id", "bbox"), "image_id", "group_id").select("image_id", "group_id", "bbox.*")
+
+
+@query(
+    "SELECT line_id FROM gt_line WHERE bbox IS NOT NULL AND (bbox.x1 - bbox.x0) * (bbox.y1 - bbox.y0) >= 20000 AND bbox.x1 - bbox.x0 <= 25 * (bbox.y1 - bbox.y0) AND (line_id % 10) / 10.0 >= 0.3"
+)
+def likely_boxes(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "gt_line").where("bbox is not null").withColumn("conf", (F.col("line_id") % 10) / 10.0)
+    return matching.likely_boxes(lines, 20_000.0, 25.0, "conf", 0.3).select("line_id")
+
+
 def _shifted() -> Column:
     """A detected box for every true line: moved and grown by rule, so that some match, some don't."""
     h, k = F.col("bbox.y1") - F.col("bbox.y0"), F.col("line_id") % 7

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver to let go of what it no longer refers to, so that shuffle files of finished steps leave the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

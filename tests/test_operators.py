@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import geometry as G
 from quillspan.functions import text as T
-from quillspan.operators import answers, augment, contract, dictation, matching, scoring
+from quillspan.operators import answers, augment, contract, dictation, judging, matching, scoring
 from quillspan.sources import files
 
 KEY = "Странный, тихий, ни на что не похожий, прерывистый звук слышался где-то неподалёку. Хотя Петя и сидел на мельнице, но он никого и ничего не увидел."
@@ -173,6 +173,21 @@ def test_choices(spark):
     assert [r[0] for r in kinds.select(answers.record_status(F.col("t"), F.col("r"))).collect()] == ["needs_review", "ok", "unsupported", "unsupported"]
 
 
+def test_judging(spark):
+    df = spark.createDataFrame([("w", "кот", -1.0, True), ("w", "код", -0.5, False), ("w", "кит", -0.5, False), ("w", "рот", -3.0, False), ("v", "дом", -2.0, True)], "w string, c string, s double, k boolean")
+    got = {r.w: r for r in judging.best_spellings(df, "w", "c", "s", "k", 2).collect()}
+    assert (got["w"].best, got["w"].margin, got["w"].top) == ("кит", 0.5, ["кит", "код"]) and (got["v"].best, got["v"].margin, got["v"].top) == (None, 0.0, [])
+    m = spark.createDataFrame([(14.0, None), (6.0, None), (0.0, None), (20.0, 9.0), (20.0, 1.0), (20.0, -2.0)], "c double, p double")
+    assert [r[0] for r in m.select(judging.verdict(F.col("c"), F.col("p"))).collect()] == ["error", "review", "ok", "error", "review", "ok"]
+    bank = judging.donor_bank(spark.createDataFrame([("a", 1, "к"), ("a", 2, "о"), ("a", 3, "т")], "w string, n int, l string"), "w", ["n"], "l")
+    assert [(r.before, r.after) for r in bank.orderBy("n").collect()] == [("^", "о"), ("к", "т"), ("о", "$")]
+    letters = [(1, "о", "к", "т", 10.0), (2, "о", "к", "т", 12.0), (3, "о", "к", "м", 10.0), (4, "о", "к", "т", 40.0), (5, "а", "к", "т", 10.0)]
+    d = spark.createDataFrame(letters, "id int, letter string, before string, after string, w double")
+    assert {(r.want_id, r.donor_id, r.tier) for r in judging.donors(d, d, ["letter"], "id", "w").collect()} == {(1, 2, 0), (2, 1, 0), (3, 1, 1)}
+    p = spark.createDataFrame([("a", 0.9, 10.0), ("a", 0.1, 12.0), ("b", 0.1, 10.0), ("c", 0.9, 2.0), ("d", 0.9, 10.0), ("d", 0.9, 10.0), ("d", 0.9, 40.0)], "w string, p double, x double")
+    assert {r.w: r.kept for r in judging.trusted(p, "w", "p", "x").collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
 def test_last_criteria(spark):
     df = spark.createDataFrame([("j", "a", 0, 1.0, 2.0), ("j", "b", 1, None, 3.0), ("j", "a", 2, 2.0, 4.0)], "job string, name string, n int, points double, most double")
     last = answers.last_criteria(df, "job", "name", F.col("n"), "points", "most")

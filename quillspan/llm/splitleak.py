@@ -13,13 +13,15 @@ pair within ``share``:
 
 * the shift of the seed is made by insertions and deletions,
 * in each of the two parts beside the seed, the letters one text has more are edits (letter counts in 32
-  classes of four bits a part, more than 15 count as 15).
+  classes of four bits a part, more than 15 count as 15),
+* an edit takes away at most three of a text's sets of three letters (512 bits a text); seeds that more than ``many`` held-out
+  texts have carry these bits too, others are checked by them once the texts are together.
 
 So the time for one seed grows with the product of the texts that hold it on either side, at some nanoseconds a
 pair, and the result doesn't depend on how frequent it is.
 
-Seeds travel packed: a task brings the seeds of its texts into buckets of the seed's hash and sends each bucket's part
-as one compressed row, and a bucket is joined in sorted arrays, held-out seeds first, train seeds part by part.
+Seeds travel packed: a task brings the seeds of its texts into buckets of the seed's hash (those of frequent seeds apart) and
+sends each bucket's part as one compressed row of some 25 bytes a seed, and a bucket is joined in sorted arrays, held-out seeds first, train seeds part by part.
 A seed that makes up a large part of all is split on either side into parts that meet pairwise, so no task gets
 it whole; which ones are is read from counts by hash in arrays of fixed size, where a collision only splits a
 seed without need. A bitmap of fixed size of the held-out seeds keeps train seeds that meet none from being sent; where
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.editdistance import distances
 from quillspan.llm.lookalike import keys_of
 from quillspan.llm.skew import spread_join
-from quillspan.session import written
+from quillspan.session import release, written
 
 TRAIN, HELD = 0, 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -218,17 +220,19 @@ def _seeds(batch: pd.DataFrame, seed: int, window: int) -> tuple:
     return codes, length, start, at, np.searchsorted(start, at, side="right") - 1, h[at]
 
 
-def seed_counts(members: DataFrame, seed: int, window: int) -> list[Packed]:
-    """A bitmap of the held-out seeds, and how many seeds of either side fall into each slot."""
+def seed_counts(members: DataFrame, seed: int, window: int, every: int = 8) -> list[Packed]:
+    """A bitmap of the held-out seeds, and how many seeds of either side fall into each slot. The train side is counted by one class of
+    ``every``, times ``every``: its counts only say how many parts a seed is split into.
+    """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, counts = np.zeros(BITS // 8, np.uint8), np.zeros((2, SLOTS), np.int64)
-        for batch in _classes_once(batches):
+        for batch in _classes_once(b[(b["side"] == HELD) | (b["cls"] % every == 0)] for b in batches if len(b)):
             *_, text, h = _seeds(batch, seed, window)
             held = batch["side"].to_numpy()[text] == HELD
             _mark(bits, h[held])
-            for k in (TRAIN, HELD):
-                counts[k] += np.bincount(_slot(h[held == (k == HELD)]).astype(np.int64), minlength=SLOTS)
+            for k, times in ((TRAIN, every), (HELD, 1)):
+                counts[k] += times * np.bincount(_slot(h[held == (k == HELD)]).astype(np.int64), minlength=SLOTS)
         yield from (_parts(0, bits), _parts(1, counts[TRAIN]), _parts(2, counts[HELD]))
 
     return _collected(members.select("side", "cls", "key").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8])
@@ -254,41 +258,76 @@ def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndar
     return out
 
 
+GRAM, GRAM_BITS = 3, 512
+
+
+def _grams(codes: np.ndarray, length: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The grams of each text as a set of bits."""
+    bits = np.zeros((len(length), GRAM_BITS), bool)
+    h = _rolling(codes, GRAM) % np.uint64(GRAM_BITS)
+    text = np.repeat(np.arange(len(length)), length)[: len(h)]
+    whole = np.arange(len(h)) + GRAM <= (start + length)[text]
+    bits[text[whole], h[whole].astype(np.int64)] = True
+    return np.packbits(bits, 1)
+
+
+def _grams_near(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """False for pairs that can't be within their limits: an edit takes away at most ``GRAM`` grams of either text."""
+    lost = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+    return np.maximum(*lost) <= GRAM * limit
+
+
 SENT = "bucket int, held_first byte, n long, m binary"
-_FIELDS = (("key", np.uint64), ("cls", np.int64), ("place", np.int32), ("length", np.int32))
+KEY_BYTES = 5  # of a seed's hash; seeds that agree in them by chance are ruled out like others
+
 
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The bytes of numbers, first bytes first, so that what is always nought packs away."""
+    return np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
 
-def _packed(key, cls, place, length, counts) -> bytes:
-    by = np.argsort(key, kind="stable")
-    low = counts[by]
-    parts = [np.ascontiguousarray(x[by], t).tobytes() for x, (_, t) in zip((key, cls, place, length), _FIELDS, strict=True)]
-    parts.append(np.ascontiguousarray((low[:, ::2] | (low[:, 1::2] << 4)).T).tobytes())
+
+def _packed(key, row, place, length, counts, grams) -> bytes:
+    """Seeds in the order of their texts."""
+    parts = [
+        _planes(key, 8)[: len(key) * KEY_BYTES], _planes(np.diff(row.view(np.uint64), prepend=np.uint64(0)), 8), _planes(place, 4), _planes(length, 4),
+        np.ascontiguousarray((counts[:, ::2] | (counts[:, 1::2] << 4)).T).tobytes(), b"" if grams is None else grams.tobytes(),
+    ]
     return zstandard.compress(b"".join(parts), 3)
 
 
 def _unpacked(rows: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
     out: dict[str, list[np.ndarray]] = {}
     for n, m in rows:
-        data, at = zstandard.decompress(m), 0
-        for name, t in _FIELDS:
-            size = n * np.dtype(t).itemsize
-            out.setdefault(name, []).append(np.frombuffer(data, t, n, at))
-            at += size
-        two = np.frombuffer(data, np.uint8, n * CLASSES, at).reshape(CLASSES, n)
-        counts = np.empty((2 * CLASSES, n), np.uint8)
-        counts[::2], counts[1::2] = two & 15, two >> 4
-        out.setdefault("counts", []).append(counts)
+        data, at = np.frombuffer(zstandard.decompress(m), np.uint8), 0
+
+        def take(size: int, full: int, data=data, n=n) -> np.ndarray:
+            nonlocal at
+            x = np.zeros((full, n), np.uint8)
+            x[:size] = data[at : at + size * n].reshape(size, n)
+            at += size * n
+            return np.ascontiguousarray(x.T).view(f"<u{full}").ravel()
+
+        got = {"key": take(KEY_BYTES, 8), "row": np.cumsum(take(8, 8), dtype=np.uint64).view(np.int64), "place": take(4, 4).astype(np.int32), "length": take(4, 4).astype(np.int32)}
+        two = data[at : at + n * CLASSES].reshape(CLASSES, n)
+        got["counts"] = np.empty((2 * CLASSES, n), np.uint8)
+        got["counts"][::2], got["counts"][1::2] = two & 15, two >> 4
+        at += n * CLASSES
+        if at < len(data):
+            got["grams"] = np.ascontiguousarray(data[at:].reshape(n, GRAM_BITS // 8).T)
+        for k, v in got.items():
+            out.setdefault(k, []).append(v)
     return {k: np.concatenate(v, axis=-1) for k, v in out.items()}
 
 
 class Spread:
-    """In how many parts the seeds of a slot are split on either side, and the bucket of each."""
+    """In how many parts the seeds of a slot are split on either side, and the bucket of each: those of slots with more than
+    ``many`` held-out seeds have buckets of their own, the second half."""
 
-    def __init__(self, counts: list[Packed], buckets: int, least: int):
+    def __init__(self, counts: list[Packed], buckets: int, least: int, many: int):
         both = [c.bytes().view(np.int64) for c in counts]
         most = max(least, int(sum(c.sum() for c in both)) // 4096)
         often = np.flatnonzero((both[0] > most) | (both[1] > most))  # fewer than 8,192 slots
-        self.slots, self.buckets = often, buckets
+        self.slots, self.buckets, self.crowded = often, buckets, both[HELD] > many
         self.parts = [-(-c[often] // most) for c in both]
 
     def rows(self, side: int, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,20 +343,29 @@ class Spread:
             other = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
         train, held = (mine, other) if side == TRAIN else (other, mine)
         key = h[which] ^ (train * np.uint64(0x8CB92BA72F3D8DD7)) ^ (held * np.uint64(0xE7037ED1A0B428DB))
-        return which, key, ((key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % np.uint64(self.buckets)
+        half = np.uint64(self.buckets // 2)
+        bucket = ((key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % half
+        return which, key, bucket + half * self.crowded[_slot(h[which]).astype(np.int64)].astype(np.uint64)
 
 
 def _sent(side: int, seed: int, window: int, classes, useful, spread, many: int = 300_000):
     """The seeds of one side, packed by bucket in parts of some ``many``."""
 
     def pack(parts: list[tuple]) -> pd.DataFrame:
-        key, bucket, cls, place, length, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, grams = 0, []
+        for p in parts:
+            grams.append(p[6])
+            p[5][:] += at
+            at += len(p[6])
+        grams = np.concatenate(grams)
+        key, bucket, row, place, length, text, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 5, 7))
         by = np.argsort(bucket, kind="stable")
         edges = np.append(np.flatnonzero(np.diff(bucket[by].astype(np.int64), prepend=-1)), len(by))
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             w = by[a:b]
-            rows.append((int(bucket[w[0]]), 1 - side, b - a, _packed(key[w], cls[w], place[w], length[w], counts[w])))
+            crowded = int(bucket[w[0]]) >= spread.value.buckets // 2
+            rows.append((int(bucket[w[0]]), 1 - side, b - a, _packed(key[w], row[w], place[w], length[w], counts[w], grams[text[w]] if crowded else None)))
         return pd.DataFrame(rows, columns=["bucket", "held_first", "n", "m"])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,10 +377,10 @@ def _sent(side: int, seed: int, window: int, classes, useful, spread, many: int
                 at, text, h = at[keep], text[keep], h[keep]
             if not len(h):
                 continue
-            cls = batch["cls"].to_numpy(np.int64)[text]
-            which, key, bucket = spread.value.rows(side, h, cls)
+            which, key, bucket = spread.value.rows(side, h, batch["cls"].to_numpy(np.int64)[text])
             counts = _beside(codes, length, at, text, classes.value)
-            parts.append((key, bucket, cls[which], (at - start[text]).astype(np.int32)[which], length[text].astype(np.int32)[which], counts[which]))
+            row, place = batch["row"].to_numpy(np.int64)[text], (at - start[text]).astype(np.int32)
+            parts.append((key, bucket, row[which], place[which], length[text].astype(np.int32)[which], text[which], _grams(codes, length, start), counts[which]))
             n += len(key)
             if n >= many:
                 yield pack(parts)
@@ -347,7 +395,7 @@ def _near(held: dict, train: dict, i: np.ndarray, j: np.ndarray, share: float) -
     """The pairs (i, j) of seeds that can belong to texts within ``share``."""
     shift = np.abs(held["place"][i] - train["place"][j]) + np.abs(held["rest"][i] - train["rest"][j])
     allowed = np.maximum(held["allowed"][i], train["allowed"][j])
-    ok = (shift <= allowed) & (held["cls"][i] != train["cls"][j])
+    ok = shift <= allowed
     i, j, allowed = i[ok], j[ok], allowed[ok]
     rough = np.zeros(len(i), np.int64)
     for c in range(held["rough"].shape[0]):
@@ -358,6 +406,14 @@ def _near(held: dict, train: dict, i: np.ndarray, j: np.ndarray, share: float) -
     i, j, allowed = i[ok], j[ok], allowed[ok]
     most = np.maximum(held["by_row"][i], train["by_row"][j]).sum(1, dtype=np.int64)
     ok = most - np.minimum(held["left"][i], train["left"][j]) - np.minimum(held["right"][i], train["right"][j]) <= allowed
+    return _by_grams(held, train, i[ok], j[ok])
+
+
+def _by_grams(held: dict, train: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sets of three letters can be near, where seeds carry them."""
+    if "grams" not in held or not len(i):
+        return i, j
+    ok = _grams_near(held["grams"][i], train["grams"][j], np.maximum(held["allowed"][i], train["allowed"][j]))
     return i[ok], j[ok]
 
 
@@ -378,21 +434,18 @@ def _block(held: dict, train: dict, a: slice, b: slice) -> tuple[np.ndarray, np.
         total += one
     ok &= total - outer(np.minimum, "left") - outer(np.minimum, "right") <= allowed
     i, j = np.nonzero(ok)
-    i, j = i + a.start, j + b.start
-    ok = held["cls"][i] != train["cls"][j]
-    return i[ok], j[ok]
+    return _by_grams(held, train, i + a.start, j + b.start)
 
 
 def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
-    """Sorted by key and place, each once, with what the pairs are compared by."""
-    by = np.lexsort((d["cls"], d["place"], d["key"]))
+    """Sorted by key and place, with what the pairs are compared by."""
+    by = np.lexsort((d["place"], d["key"]))
     d = {k: v[..., by] for k, v in d.items()}
-    if len(by):
-        new = np.append(True, (np.diff(d["key"]) != 0) | (np.diff(d["place"]) != 0) | (np.diff(d["cls"]) != 0))
-        d = {k: v[..., new] for k, v in d.items()}
     d["counts"] = np.ascontiguousarray(d["counts"])
     d["rough"] = d["counts"].reshape(8, -1, d["counts"].shape[1]).sum(1, dtype=np.int16)
     d["by_row"] = np.ascontiguousarray(d["counts"].T)
+    if "grams" in d:
+        d["grams"] = np.ascontiguousarray(d["grams"].T).view(np.uint64)
     d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=np.int32) for k in (0, 1))
     d["rest"] = d["length"] - d["place"]
     d["allowed"] = np.floor(d["length"] * share + 1e-9).astype(np.int32)
@@ -430,7 +483,7 @@ def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np
                 yield _block(held, train, a, slice(t, min(t + TILE[1], int(y))))
 
 
-CANDIDATES = "train_cls long, held_cls long, places long"  # place in the train text * 2**32 + place in the held-out text
+CANDIDATES = "train_row long, held_row long, places long"  # place in the train text * 2**32 + place in the held-out text
 
 
 def _joined(share: float, many: int = 500_000):
@@ -443,7 +496,7 @@ def _joined(share: float, many: int = 500_000):
         held[:] = [h]
         for i, j in meet(h, t, share):
             if len(i):
-                yield pd.DataFrame({"train_cls": t["cls"][j], "held_cls": h["cls"][i], "places": (t["place"][j].astype(np.int64) << 32) + h["place"][i]})
+                yield pd.DataFrame({"train_row": t["row"][j], "held_row": h["row"][i], "places": (t["place"][j].astype(np.int64) << 32) + h["place"][i]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, held, train, n = None, [], [], 0
@@ -529,27 +582,11 @@ def gaps(a: str, b: str, seeds: list[tuple[int, int]], size: int) -> list[tuple[
     return out
 
 
-GRAM, GRAM_BITS = 3, 512
-
-
-def _grams(texts: list[str]) -> np.ndarray:
-    """The grams of each text as a set of bits."""
-    codes, length, start = _flat(texts)
-    bits = np.zeros((len(texts), GRAM_BITS), bool)
-    h = _rolling(codes, GRAM) % np.uint64(GRAM_BITS)
-    text = np.repeat(np.arange(len(texts)), length)[: len(h)]
-    whole = np.arange(len(h)) + GRAM <= (start + length)[text]
-    bits[text[whole], h[whole].astype(np.int64)] = True
-    return np.packbits(bits, 1).view(np.uint64)
-
-
 def _can_be_near(ka: list[str], kb: list[str], limit: np.ndarray) -> np.ndarray:
-    """False for pairs that can't be within their limits: an edit takes away at most ``GRAM`` grams of either text."""
+    """False for pairs whose sets of three letters say that they aren't within their limits."""
     which, texts = pd.factorize(np.array([*ka, *kb], object))
-    bits = _grams(texts.tolist())
-    a, b = bits[which[: len(ka)]], bits[which[len(ka) :]]
-    lost = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a))]
-    return np.maximum(*lost) <= GRAM * limit
+    bits = _grams(*_flat(texts.tolist())).view(np.uint64)
+    return _grams_near(bits[which[: len(ka)]], bits[which[len(ka) :]], limit)
 
 
 def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, limit: np.ndarray) -> np.ndarray:
@@ -564,21 +601,26 @@ def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, li
     return total
 
 
-def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, bucket_seeds: int = 250_000) -> DataFrame:
-    """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
+def _candidates(members: DataFrame, share: float, seed: int, window: int, least: int, many: int, bucket_seeds: int = 250_000) -> DataFrame:
+    """(train_row, held_row, places): texts that share a seed and can be near, with the places of the seeds they share."""
     sc = members.sparkSession.sparkContext
-    side = lambda k: members.where(f"side = {k}").select("side", "cls", "key")
+    side = lambda k: members.where(f"side = {k}").select("row", "side", "cls", "key")
     classes = sc.broadcast(letter_classes(side(HELD)))
     useful, *counts = seed_counts(members, seed, window)
     total = int(sum(c.bytes().view(np.int64).sum() for c in counts))
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * bucket_seeds))
-    useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 4 * parts, least))
+    useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 8 * parts, least, many))
     sent = [side(k).mapInPandas(_sent(k, seed, window, classes, useful, spread), SENT) for k in (HELD, TRAIN)]
     met = sent[0].unionByName(sent[1]).repartition(parts, "bucket").sortWithinPartitions("bucket", "held_first").mapInPandas(_joined(share), CANDIDATES)
-    # the candidates of a train text come together, and meet its text there
-    candidates = met.repartition("train_cls").groupBy("train_cls", "held_cls").agg(F.collect_list("places").alias("places"))
-    texts = lambda k, cls, key: side(k).select(F.col("cls").alias(cls), F.col("key").alias(key)).dropDuplicates([cls])
-    pairs = candidates.join(texts(TRAIN, "train_cls", "ka"), "train_cls").join(texts(HELD, "held_cls", "kb"), "held_cls")
+    return written(met.groupBy("train_row", "held_row").agg(F.collect_list("places").alias("places")))
+
+
+def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, many: int = 64) -> DataFrame:
+    """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
+    candidates = _candidates(members, share, seed, window, least, many)
+    release(members.sparkSession)  # the seeds
+    texts = lambda k, name, key: members.where(f"side = {k}").select(F.col("row").alias(f"{name}_row"), F.col("cls").alias(f"{name}_cls"), F.col("key").alias(key))
+    pairs = candidates.join(texts(TRAIN, "train", "ka"), "train_row").join(texts(HELD, "held", "kb"), "held_row").where("train_cls <> held_cls").drop("train_row", "held_row")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -594,16 +636,19 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, least:
             ok = edits <= limit
             yield pd.DataFrame({"train_cls": batch["train_cls"][ok], "held_cls": batch["held_cls"][ok], "distance": edits[ok], "longer": length[ok]})
 
-    return pairs.mapInPandas(align, "train_cls long, held_cls long, distance long, longer long")
+    made = pairs.mapInPandas(align, "train_cls long, held_cls long, distance long, longer long")
+    # copies that different tasks have sent are one class
+    return made.groupBy("train_cls", "held_cls").agg(F.min("distance").alias("distance"), F.max("longer").alias("longer"))
 
 
-def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536) -> tuple[DataFrame, DataFrame]:
+def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536, many: int = 64) -> tuple[DataFrame, DataFrame]:
     """Membership (id, side, cls) and class pairs (train_cls, held_cls, distance, longer), equal texts with distance 0.
 
-    ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks.
+    ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks; ``many``: a seed with more
+    held-out texts than that carries more to compare by. Neither changes the result.
     """
-    members = written(keyed(rows, key, text, split, min_chars))
-    near = written(class_pairs(members, share, seed, window, least))
+    members = written(keyed(rows, key, text, split, min_chars).withColumn("row", F.monotonically_increasing_id()))
+    near = written(class_pairs(members, share, seed, window, least, many))
     sides = members.groupBy("cls").agg(F.bit_or(F.col("side") + 1).alias("sides"), F.max(F.length("key")).cast("long").alias("longer"))
     same = sides.where("sides = 3").select(
         F.col("cls").alias("train_cls"), F.col("cls").alias("held_cls"), F.lit(0).cast("long").alias("distance"), "longer"

@@ -74,8 +74,8 @@ def test_overlaps_against_brute_force(spark):
     # what the fingerprints promise: every pair that shares a run of seed + window - 1 = 18 characters
     promised = {(i, j) for i, j in want if run(key[i], key[j]) >= 18 or key[i] == key[j]}
     assert len(promised) > 0.5 * len(want)
-    for least in (65_536, 40):  # seeds in one part, and frequent ones in several
-        found = {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "label_id", "text", "split", least=least)).collect()}
+    for how in ({}, {"least": 40, "many": 2}):  # seeds in one part, and frequent ones in several and with more to compare by
+        found = {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "label_id", "text", "split", **how)).collect()}
         assert found <= want and promised <= found
     records = S.record_coverage(df, "label_id", "text", "split", "source").collect()
     linked = {i for i, _, s in usable if s == 1} & {x for p in found for x in p}
@@ -95,8 +95,8 @@ def test_frequent_seeds_lose_no_pair(spark):
     key = {i: squeezed_key(t) for i, t, _ in rows}
     want = {(i, j) for i in range(60) for j in range(100, 160) if _levenshtein(key[i], key[j]) * 100 <= 15 * max(len(key[i]), len(key[j]))}
     assert len(want) >= 60
-    for least in (65_536, 16):
-        assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", least=least)).collect()} == want
+    for how in ({}, {"least": 16, "many": 3}):
+        assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", **how)).collect()} == want
 
 
 def test_heading_of_many_texts_loses_no_pair(spark):
@@ -122,6 +122,18 @@ def test_chain_and_gaps():
     assert S._edits([a], [b], [np.array([(at[0] << 32) + at[1]])], 12, np.array([9])).tolist() == [_levenshtein(a, b)] == [2]
 
 
+def test_seeds_are_unpacked_as_they_were():
+    rng = np.random.default_rng(3)
+    for n, grams in ((1, None), (500, rng.integers(0, 256, (500, 64), np.uint8))):
+        key, row = rng.integers(0, 2**63, n).astype(np.uint64), np.sort(rng.integers(0, 2**50, n))
+        place, length = rng.integers(0, 10**6, n), rng.integers(0, 10**6, n)
+        counts = rng.integers(0, 16, (n, 64)).astype(np.uint8)
+        got = S._unpacked([(n, S._packed(key, row, place, length, counts, grams))] * 2)
+        assert (got["key"] == np.tile(key & np.uint64(2**40 - 1), 2)).all() and (got["row"] == np.tile(row, 2)).all()
+        assert (got["place"] == np.tile(place, 2)).all() and (got["length"] == np.tile(length, 2)).all() and (got["counts"].T == np.tile(counts, (2, 1))).all()
+        assert ("grams" in got) == (grams is not None) and (grams is None or (got["grams"].T == np.tile(grams, (2, 1))).all())
+
+
 def test_grams_rule_out_no_near_pair():
     rng = random.Random(7)
     a = _texts(rng, 200)

@@ -21,7 +21,7 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -253,6 +253,7 @@ class ScriptReader:
 
     def __init__(self, bigrams: dict[int, dict[str, float]]):
         self.bigrams, self.memo, self.runs = bigrams, {}, {}
+        self.scores: np.ndarray | None = None
 
     def _step(self, script: int, a: str, b: str) -> float:
         return self.bigrams.get(script, {}).get((a + b).lower(), FLOOR)
@@ -273,13 +274,86 @@ class ScriptReader:
             if first:
                 best, first = {s: (self._step(s, "^", x), x, x) for s, x in options}, False
                 continue
-            best = {
-                s: max((p - SWITCH_IN_WORD * (q != s) + self._step(s, last, x), out + x, x) for q, (p, out, last) in best.items())
-                for s, x in options
-            }
+            # of equal paths the one from the script that comes first
+            steps = {s: max((p - SWITCH_IN_WORD * (q != s) + self._step(s, last, x), -q) for q, (p, _, last) in best.items()) for s, x in options}
+            best = {s: (steps[s][0], best[-steps[s][1]][1] + x, x) for s, x in options}
         script, (_, out, _) = max(best.items(), key=lambda kv: (kv[1][0], -kv[0]))
         return out, script, decided
 
+    def _tables(self) -> None:
+        """Scores of pairs as an array (script, letter before, letter) over the letters that occur in pairs, ``^``, and one for any other letter."""
+        self.place = {c: i for i, c in enumerate(sorted({c for pairs in self.bigrams.values() for pair in pairs for c in pair} | {"^"}))}
+        n = len(self.place)
+        self.scores = np.full((3, n + 1, n + 1), FLOOR)
+        for script, pairs in self.bigrams.items():
+            for pair, p in pairs.items():
+                self.scores[script, self.place[pair[0]], self.place[pair[1]]] = p
+        self.kinds: dict[str, int] = {}
+        self.open: list[list[bool]] = []
+        self.letters: list[list[int]] = []
+        self.to_script = [{ord(rep): cls[k] for rep, cls in READINGS.items() if cls[k] != "."} for k in range(3)]
+
+    def _kind(self, c: str) -> int:
+        """The number of a letter: in which scripts it can be read, and as which letter of the score table."""
+        got = self.kinds.get(c)
+        if got is None:
+            arcs = READINGS.get(c) or [c if k == _script(c) else "." for k in range(3)]
+            self.open.append([x != "." for x in arcs])
+            self.letters.append([self.place.get(x.lower(), len(self.place)) for x in arcs])
+            got = self.kinds[c] = len(self.kinds)
+        return got
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Search the lattices of many tokens at once, those of one length together."""
+        if self.scores is None:
+            self._tables()
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        by_length: dict[int, list[tuple[str, list[int]]]] = {}
+        for t in tokens:
+            if t not in self.memo:
+                kinds = [self._kind(c) for c in t if c in READINGS or c.isalpha()]
+                by_length.setdefault(len(kinds), []).append((t, kinds))
+        open_, letters, start = np.array(self.open), np.array(self.letters), self.place["^"]
+        scripts = np.arange(3)
+        price = SWITCH_IN_WORD * (scripts[:, None] != scripts[None, :])
+        for n, group in by_length.items():
+            kinds = np.array([k for _, k in group])
+            here = letters[kinds[:, 0]]
+            score = np.where(open_[kinds[:, 0]], self.scores[scripts, start, here], -np.inf)
+            back = []
+            for j in range(1, n):
+                before, here = here, letters[kinds[:, j]]
+                step = self.scores[scripts[None, None, :], before[:, :, None], here[:, None, :]]
+                paths = score[:, :, None] - price[None] + step
+                back.append(paths.argmax(1))
+                score = np.where(open_[kinds[:, j]], paths.max(1), -np.inf)
+            at = score.argmax(1)
+            path = [at]
+            for b in reversed(back):
+                path.append(b[np.arange(len(at)), path[-1]])
+            path = np.stack(path[::-1], 1)
+            single = (path == path[:, :1]).all(1)
+            for i, (t, _) in enumerate(group):
+                script = int(at[i])
+                if single[i]:
+                    out = t.translate(self.to_script[script])
+                else:
+                    out = self._spelled(t, path[i].tolist())
+                self.memo[t] = out, script, any(c not in READINGS and c.isalpha() for c in t)
+
+    @staticmethod
+    def _spelled(token: str, path: list[int]) -> str:
+        """The token with each letter read in its script."""
+        out, k = [], 0
+        for c in token:
+            if c in READINGS:
+                out.append(READINGS[c][path[k]])
+            else:
+                out.append(c)
+            k += c in READINGS or c.isalpha()
+        return "".join(out)
+
     def pure(self, token: str) -> list[tuple[float, str] | None]:
         """A token of class letters only: its reading in each script, or None where a letter isn't there."""
         out = []
@@ -340,8 +414,6 @@ class ScriptReader:
             token = m.group()
             got = memo.get(token)
             if got is None:
-                if len(memo) > 500_000:
-                    memo.clear()
                 got = memo[token] = self.lattice(token)
             where.append(m.span())
             replaced.append(got[0])
@@ -445,6 +517,7 @@ def consistent_form(texts: DataFrame, column: str, out: str = "form", skeleton_a
             cell.append(ScriptReader(model.value))
         for batch in batches:
             skels = [skeleton(t) for t in batch]
+            cell[0].learn({t for s in skels if s for t in _TOKEN.findall(s)})
             yield pd.DataFrame({"f": [cell[0].read(s) for s in skels], "s": skels})
 
     made = "__quillspan_form"

@@ -103,3 +103,14 @@ def test_hot_group(spark):
     df = spark.createDataFrame(rows, "k long, t string")
     assert L.same_look_pairs(df, "k", "t").count() == 12 * 588
     random.seed(0)
+
+
+def test_lattices_searched_together():
+    rng = random.Random(4)
+    letters = "".join(c for cls in L.CLASSES for c in cls if c != ".") + "бдйжшщbfgl漢ß"
+    one, many = _reader(), _reader()
+    tokens = {"".join(rng.choice(letters) + rng.choice(["", "", "'", "́"]) for _ in range(rng.randint(1, 9))).rstrip("'") for _ in range(800)}
+    tokens = {t for s in tokens for t in L._TOKEN.findall(L.skeleton(s))}
+    many.learn(tokens)
+    assert {t: one.lattice(t) for t in tokens} == {t: many.memo[t] for t in tokens}
+    many.learn([])

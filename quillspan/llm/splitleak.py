@@ -589,12 +589,25 @@ def _can_be_near(ka: list[str], kb: list[str], limit: np.ndarray) -> np.ndarray:
     return _grams_near(bits[which[: len(ka)]], bits[which[len(ka) :]], limit)
 
 
-def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, limit: np.ndarray) -> np.ndarray:
-    """Edits of each pair: from its chain outwards; the least number where that is over the limit."""
-    pieces = [gaps(a, b, list(zip((p >> 32).tolist(), (p & 0xFFFFFFFF).tolist(), strict=True)), size) for a, b, p in zip(ka, kb, places, strict=True)]
-    owner = np.repeat(np.arange(len(ka)), [len(p) for p in pieces])
+def covered(places: list[int], size: int) -> int:
+    """Characters that seeds of ``size`` at these places cover together."""
+    total, end = 0, 0
+    for p in sorted(places):
+        total += p + size - max(p, end) if p + size > end else 0
+        end = max(end, p + size)
+    return total
+
+
+def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, limit: np.ndarray, chained: float = 0.4) -> np.ndarray:
+    """Edits of each pair: from its chain outwards where its seeds cover ``chained`` of the held-out text; the least number for
+    others, and where the chain's is over the limit."""
+    held = [(p & 0xFFFFFFFF).tolist() for p in places]
+    total = limit + 1
+    by_chain = [i for i, (b, p) in enumerate(zip(kb, held, strict=True)) if covered(p, size) >= chained * len(b)]
+    pieces = [gaps(ka[i], kb[i], list(zip((places[i] >> 32).tolist(), held[i], strict=True)), size) for i in by_chain]
+    owner = np.repeat(np.array(by_chain, np.int64), [len(p) for p in pieces])
     flat = [x for p in pieces for x in p]
-    total = np.zeros(len(ka), np.int64)
+    total[by_chain] = 0
     np.add.at(total, owner, distances([x[0] for x in flat], [x[1] for x in flat]))
     over = np.flatnonzero(total > limit)
     total[over] = distances([ka[i] for i in over], [kb[i] for i in over], limit[over])

@@ -122,6 +122,10 @@ def test_chain_and_gaps():
     assert S._edits([a], [b], [np.array([(at[0] << 32) + at[1]])], 12, np.array([9])).tolist() == [_levenshtein(a, b)] == [2]
 
 
+def test_covered():
+    assert S.covered([0, 5, 30, 30], 12) == 29 and S.covered([], 12) == 0 and S.covered([3, 0], 4) == 7
+
+
 def test_seeds_are_unpacked_as_they_were():
     rng = np.random.default_rng(3)
     for n, grams in ((1, None), (500, rng.integers(0, 256, (500, 64), np.uint8))):

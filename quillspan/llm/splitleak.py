@@ -14,7 +14,7 @@ pair within ``share``:
 * the shift of the seed is made by insertions and deletions,
 * in each of the two parts beside the seed, the letters one text has more are edits (letter counts in 32
   classes of four bits a part, more than 15 count as 15),
-* an edit takes away at most three of a text's sets of three letters (512 bits a text); seeds that more than ``many`` held-out
+* an edit takes away at most three of a text's sets of three letters (1,024 bits a text); seeds that more than ``many`` held-out
   texts have carry these bits too, others are checked by them once the texts are together.
 
 So the time for one seed grows with the product of the texts that hold it on either side, at some nanoseconds a
@@ -105,22 +105,15 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 CLASSES = 32
 
 
-def letter_classes(texts: DataFrame) -> np.ndarray:
-    """A class for each code point below 0x3000, so that the 32 classes are about equally frequent in ``texts``."""
-    size = 0x3000
+LETTERS = 1 << 14  # code points that have a class of their own; others share one
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(np.minimum(_flat(batch["key"].tolist())[0], size - 1), minlength=size)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"c": at, "n": total[at]})
 
-    rows = texts.select("key").mapInPandas(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()  # at most 0x3000 rows
-    load, out = [0] * CLASSES, np.arange(size) % CLASSES
-    for r in sorted(rows, key=lambda r: (-r.n, r.c)):
+def letter_classes(count: np.ndarray) -> np.ndarray:
+    """A class for each code point below ``LETTERS``, so that the 32 classes are about equally frequent."""
+    load, out = [0] * CLASSES, np.arange(LETTERS) % CLASSES
+    for c in np.flatnonzero(count)[np.argsort(-count[count > 0], kind="stable")].tolist():
         least = load.index(min(load))
-        out[r.c], load[least] = least, load[least] + r.n
+        out[c], load[least] = least, load[least] + int(count[c])
     return out
 
 
@@ -221,21 +214,23 @@ def _seeds(batch: pd.DataFrame, seed: int, window: int) -> tuple:
 
 
 def seed_counts(members: DataFrame, seed: int, window: int, every: int = 8) -> list[Packed]:
-    """A bitmap of the held-out seeds, and how many seeds of either side fall into each slot. The train side is counted by one class of
+    """A bitmap of the held-out seeds, how many seeds of either side fall into each slot, and how often the held-out texts have each letter. The train side is counted by one class of
     ``every``, times ``every``: its counts only say how many parts a seed is split into.
     """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, counts = np.zeros(BITS // 8, np.uint8), np.zeros((2, SLOTS), np.int64)
+        bits, counts, letters = np.zeros(BITS // 8, np.uint8), np.zeros((2, SLOTS), np.int64), np.zeros(LETTERS, np.int64)
         for batch in _classes_once(b[(b["side"] == HELD) | (b["cls"] % every == 0)] for b in batches if len(b)):
-            *_, text, h = _seeds(batch, seed, window)
-            held = batch["side"].to_numpy()[text] == HELD
+            codes, length, _, _, text, h = _seeds(batch, seed, window)
+            side = batch["side"].to_numpy()
+            letters += np.bincount(np.minimum(codes[np.repeat(side == HELD, length)], LETTERS - 1), minlength=LETTERS)
+            held = side[text] == HELD
             _mark(bits, h[held])
             for k, times in ((TRAIN, every), (HELD, 1)):
                 counts[k] += times * np.bincount(_slot(h[held == (k == HELD)]).astype(np.int64), minlength=SLOTS)
-        yield from (_parts(0, bits), _parts(1, counts[TRAIN]), _parts(2, counts[HELD]))
+        yield from (_parts(0, bits), _parts(1, counts[TRAIN]), _parts(2, counts[HELD]), _parts(3, letters))
 
-    return _collected(members.select("side", "cls", "key").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8])
+    return _collected(members.select("side", "cls", "key").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8, LETTERS * 8])
 
 
 def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -245,10 +240,11 @@ def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndar
     ends = np.zeros(len(codes) + 1, np.int32)
     ends[at] = 1
     stretch = np.cumsum(ends[:-1]) + np.repeat(np.arange(n), length)
-    fold = classes[np.minimum(codes, len(classes) - 1)]
+    fold = classes[np.minimum(codes, LETTERS - 1)]
     counts = np.bincount(stretch * CLASSES + fold, minlength=(len(at) + n) * CLASSES).reshape(-1, CLASSES)
-    upto = np.zeros((len(counts) + 1, CLASSES), np.int32)
-    np.cumsum(counts, 0, out=upto[1:])
+    # differences within a text are right whatever the sums before it have overflowed
+    upto = np.zeros((len(counts) + 1, CLASSES), np.uint16 if length.max() < 1 << 16 else np.uint32)
+    np.cumsum(counts, 0, dtype=upto.dtype, out=upto[1:])
     seeds_before = np.searchsorted(text, np.arange(n + 1))  # seeds of earlier texts
     first, last = seeds_before[:-1] + np.arange(n), seeds_before[1:] + np.arange(n) + 1
     here = np.arange(len(at)) + text + 1  # the stretch that begins with the seed
@@ -258,7 +254,7 @@ def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndar
     return out
 
 
-GRAM, GRAM_BITS = 3, 512
+GRAM, GRAM_BITS = 3, 1024
 
 
 def _grams(codes: np.ndarray, length: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -308,15 +304,13 @@ def _unpacked(rows: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
             return np.ascontiguousarray(x.T).view(f"<u{full}").ravel()
 
         got = {"key": take(KEY_BYTES, 8), "row": np.cumsum(take(8, 8), dtype=np.uint64).view(np.int64), "place": take(4, 4).astype(np.int32), "length": take(4, 4).astype(np.int32)}
-        two = data[at : at + n * CLASSES].reshape(CLASSES, n)
-        got["counts"] = np.empty((2 * CLASSES, n), np.uint8)
-        got["counts"][::2], got["counts"][1::2] = two & 15, two >> 4
+        got["counts"] = np.ascontiguousarray(data[at : at + n * CLASSES].reshape(CLASSES, n).T)  # two a byte
         at += n * CLASSES
         if at < len(data):
-            got["grams"] = np.ascontiguousarray(data[at:].reshape(n, GRAM_BITS // 8).T)
+            got["grams"] = data[at:].reshape(n, GRAM_BITS // 8)
         for k, v in got.items():
             out.setdefault(k, []).append(v)
-    return {k: np.concatenate(v, axis=-1) for k, v in out.items()}
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 class Spread:
@@ -439,13 +433,17 @@ def _block(held: dict, train: dict, a: slice, b: slice) -> tuple[np.ndarray, np.
 
 def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
     """Sorted by key and place, with what the pairs are compared by."""
-    by = np.lexsort((d["place"], d["key"]))
-    d = {k: v[..., by] for k, v in d.items()}
-    d["counts"] = np.ascontiguousarray(d["counts"])
-    d["rough"] = d["counts"].reshape(8, -1, d["counts"].shape[1]).sum(1, dtype=np.int16)
-    d["by_row"] = np.ascontiguousarray(d["counts"].T)
+    by = np.argsort((d["key"] << np.uint64(24)) | np.minimum(d["place"], (1 << 24) - 1).astype(np.uint64))
+    if len(by) and d["place"].max() >= 1 << 24:
+        by = np.lexsort((d["place"], d["key"]))
+    d = {k: v[by] for k, v in d.items()}
+    two = d["counts"]
+    d["by_row"] = np.empty((len(by), 2 * CLASSES), np.uint8)
+    d["by_row"][:, ::2], d["by_row"][:, 1::2] = two & 15, two >> 4
+    d["counts"] = np.ascontiguousarray(d["by_row"].T)
+    d["rough"] = d["counts"].reshape(8, -1, len(by)).sum(1, dtype=np.int16)
     if "grams" in d:
-        d["grams"] = np.ascontiguousarray(d["grams"].T).view(np.uint64)
+        d["grams"] = d["grams"].view(np.uint64)
     d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=np.int32) for k in (0, 1))
     d["rest"] = d["length"] - d["place"]
     d["allowed"] = np.floor(d["length"] * share + 1e-9).astype(np.int32)
@@ -618,8 +616,8 @@ def _candidates(members: DataFrame, share: float, seed: int, window: int, least:
     """(train_row, held_row, places): texts that share a seed and can be near, with the places of the seeds they share."""
     sc = members.sparkSession.sparkContext
     side = lambda k: members.where(f"side = {k}").select("row", "side", "cls", "key")
-    classes = sc.broadcast(letter_classes(side(HELD)))
-    useful, *counts = seed_counts(members, seed, window)
+    useful, *counts, letters = seed_counts(members, seed, window)
+    classes = sc.broadcast(letter_classes(letters.bytes().view(np.int64)))
     total = int(sum(c.bytes().view(np.int64).sum() for c in counts))
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * bucket_seeds))
     useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 8 * parts, least, many))
@@ -628,7 +626,7 @@ def _candidates(members: DataFrame, share: float, seed: int, window: int, least:
     return written(met.groupBy("train_row", "held_row").agg(F.collect_list("places").alias("places")))
 
 
-def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, many: int = 64) -> DataFrame:
+def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, many: int = 128) -> DataFrame:
     """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
     candidates = _candidates(members, share, seed, window, least, many)
     release(members.sparkSession)  # the seeds
@@ -654,7 +652,7 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, least:
     return made.groupBy("train_cls", "held_cls").agg(F.min("distance").alias("distance"), F.max("longer").alias("longer"))
 
 
-def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536, many: int = 64) -> tuple[DataFrame, DataFrame]:
+def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536, many: int = 128) -> tuple[DataFrame, DataFrame]:
     """Membership (id, side, cls) and class pairs (train_cls, held_cls, distance, longer), equal texts with distance 0.
 
     ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks; ``many``: a seed with more
@@ -671,7 +669,6 @@ def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float =
 
 def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Class pairs expanded to (id_a < id_b); classes of many rows are split over tasks on either side."""
-    members = members.select("id", "side", "cls").distinct()
     of = lambda k, name: members.where(f"side = {k}").select(F.col("cls").alias(f"{name}_cls"), F.col("id").alias(f"{name}_id"))
     half = written(spread_join(pairs.select("train_cls", "held_cls"), of(HELD, "held"), "held_cls", "train_cls", "held_id").select("train_cls", "held_id"))
     both = spread_join(half, of(TRAIN, "train"), "train_cls", "held_id", "train_id")

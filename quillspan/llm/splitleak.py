@@ -444,13 +444,16 @@ def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
     d["rough"] = d["counts"].reshape(8, -1, len(by)).sum(1, dtype=np.int16)
     if "grams" in d:
         d["grams"] = d["grams"].view(np.uint64)
-    d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=np.int32) for k in (0, 1))
-    d["rest"] = d["length"] - d["place"]
-    d["allowed"] = np.floor(d["length"] * share + 1e-9).astype(np.int32)
+    # numbers of short texts in two bytes: what a tile compares stays in the cache
+    small = np.int16 if not len(by) or d["length"].max() < 1 << 14 else np.int32
+    d["left"], d["right"] = (d["counts"][k * CLASSES : (k + 1) * CLASSES].sum(0, dtype=small) for k in (0, 1))
+    d["rest"] = (d["length"] - d["place"]).astype(small)
+    d["place"] = d["place"].astype(small)
+    d["allowed"] = np.floor(d["length"] * share + 1e-9).astype(small)
     return d
 
 
-SMALL, MANY, TILE = 4096, 1 << 18, (256, 1024)
+SMALL, MANY, TILE = 4096, 1 << 17, (128, 1024)
 
 
 def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -475,8 +478,8 @@ def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np
         for s in range(int(lo[g]), int(hi[g]), TILE[0]):
             a = slice(s, min(s + TILE[0], int(hi[g])))
             # a seed moves by at most the allowed edits, so a tile meets a stretch of places
-            x = first[g] + np.searchsorted(places, held["place"][a.start] - widest)
-            y = first[g] + np.searchsorted(places, held["place"][a.stop - 1] + widest, side="right")
+            x = first[g] + np.searchsorted(places, int(held["place"][a.start]) - widest)
+            y = first[g] + np.searchsorted(places, int(held["place"][a.stop - 1]) + widest, side="right")
             for t in range(int(x), int(y), TILE[1]):
                 yield _block(held, train, a, slice(t, min(t + TILE[1], int(y))))
 
@@ -494,7 +497,7 @@ def _joined(share: float, many: int = 500_000):
         held[:] = [h]
         for i, j in meet(h, t, share):
             if len(i):
-                yield pd.DataFrame({"train_row": t["row"][j], "held_row": h["row"][i], "places": (t["place"][j].astype(np.int64) << 32) + h["place"][i]})
+                yield pd.DataFrame({"train_row": t["row"][j], "held_row": h["row"][i], "places": (t["place"][j].astype(np.int64) << 32) + h["place"][i].astype(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, held, train, n = None, [], [], 0

@@ -91,6 +91,7 @@ def test_bootstrap_against_numpy(spark):
 
 def test_seen_lines_against_brute_force(spark):
     import random
+    import re
 
     from quillspan.functions.kernels import indel_ratio
 
@@ -103,9 +104,12 @@ def test_seen_lines_against_brute_force(spark):
         for _ in range(rng.randint(0, 5)):
             t[rng.randrange(len(t))] = rng.choice(["", "ж", "аб"])
         lines.append((i, "".join(t).strip() or "x"))
+    lines += [(700, "длинный текст " * 20), (701, "короче " * 30)]
+    train += ["длинный  тикст " * 20]
     lines += [(900, "дом"), (901, None), (902, "совсем другой текст латиницей abc")]
     got = {r.key: r.seen for r in scoring.seen_lines(spark.createDataFrame(lines, "k long, t string"), "k", "t", spark.createDataFrame([(t,) for t in [*train, "", None]], "t string"), "t", block=40).collect()}
-    norm = lambda t: " ".join(t.split(" ")) if t else t
+    norm = lambda t: re.sub("[ \t]+", " ", t).strip() if t else t
+    train = [norm(t) for t in train]
     for k, t in lines:
         t = norm(t)
         want = None if t is None or len(t) < 8 else any(indel_ratio(t, x) >= 80 for x in train)

@@ -24,6 +24,56 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
+def _shared_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """What the matched share of each pair can't be more than: the letters both have."""
+    letters = {c: k for k, c in enumerate(dict.fromkeys("".join(a + b)))}
+    counts = []
+    for side in (a, b):
+        n = np.zeros((len(side), len(letters) + 1), np.int32)
+        for i, t in enumerate(side):
+            np.add.at(n[i], [letters[c] for c in t], 1)
+        counts.append(n)
+    common = np.array([np.minimum(row, counts[1]).sum(1) for row in counts[0]]).reshape(len(a), len(b))
+    total = counts[0].sum(1)[:, None] + counts[1].sum(1)[None, :]
+    return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+
+
+def _text_likeness(a: list[str], b: list[str]) -> np.ndarray:
+    """Matched shares of all pairs of texts."""
+    out, matcher = np.zeros((len(a), len(b))), SequenceMatcher(None)
+    for j, y in enumerate(b):
+        matcher.set_seq2(y)  # what is prepared for one text serves a whole column
+        for i, x in enumerate(a):
+            matcher.set_seq1(x)
+            out[i, j] = matcher.ratio()
+    return out
+
+
+def _assigned_by_text(a: list[str], b: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The assignment of the largest total of matched shares, and the shares (bounds where they weren't needed).
+
+    Pairs are assigned by what their shares can't be more than; assigned pairs are measured, and all of a line that has no
+    good one; until every pair of the best assignment is measured. No other can have a larger total then.
+    """
+    s = _shared_letters(a, b)
+    known = np.zeros(s.shape, bool)
+
+    def measure(i: int, columns: list[int]) -> None:
+        for j in columns:
+            if not known[i, j]:
+                s[i, j], known[i, j] = SequenceMatcher(None, a[i], b[j]).ratio(), True
+
+    while True:
+        found = assign(s)
+        new = [(i, j) for i, j in found if not known[i, j]]
+        if not new:
+            return s, found
+        for i, j in new:
+            measure(i, [j])
+            if s[i, j] < 0.6:
+                measure(i, range(len(b)))
+
+
 def match_lines(gt: DataFrame, pred: DataFrame, page: str = "file", box_limit: float = 0.3, text_limit: float = 0.35, greedy: bool = False) -> DataFrame:
     """(page, gi, pj, similarity): one-to-one pairs of the largest total, then those below the limit dropped.
 
@@ -41,15 +91,13 @@ def match_lines(gt: DataFrame, pred: DataFrame, page: str = "file", box_limit: f
         if boxes:
             s = _iou(a[corners].to_numpy(float), b[corners].to_numpy(float))
         else:
-            s = np.zeros((len(a), len(b)))
-            matcher = SequenceMatcher(None)
-            for j, y in enumerate(b["text"].fillna("")):
-                matcher.set_seq2(y)  # what is prepared for one text serves a whole column
-                for i, x in enumerate(a["text"].fillna("")):
-                    matcher.set_seq1(x)
-                    s[i, j] = matcher.ratio()
+            texts = a["text"].fillna("").tolist(), b["text"].fillna("").tolist()
+            s = _text_likeness(*texts) if greedy else None
         limit = box_limit if boxes else text_limit
-        found = greedy_pairs(s) if greedy else assign(s)
+        if s is None:
+            s, found = _assigned_by_text(*texts)
+        else:
+            found = greedy_pairs(s) if greedy else assign(s)
         rows = [(key[0], int(a["place"].iloc[i]), int(b["place"].iloc[j]), float(s[i, j])) for i, j in found if s[i, j] >= limit]
         return pd.DataFrame(rows or None, columns=[page, "gi", "pj", "similarity"])
 

@@ -127,6 +127,19 @@ def test_matching(spark):
     assert (score.tp, score.precision, score.recall) == (2, 2 / 3, 1.0)
 
 
+def test_assignment_by_bounds_is_the_best():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(30):
+        a = ["".join(rng.choices("абвг ", k=rng.randint(0, 14))) for _ in range(rng.randint(1, 7))]
+        b = ["".join(c for c in x if rng.random() > 0.2) for x in a if rng.random() > 0.3] + ["".join(rng.choices("абвг ", k=9)) for _ in range(rng.randint(1, 3))]
+        full = matching._text_likeness(a, b)
+        assert (matching._shared_letters(a, b) >= full - 1e-12).all()
+        s, found = matching._assigned_by_text(a, b)
+        assert abs(sum(full[p] for p in found) - sum(full[p] for p in matching.assign(full))) < 1e-9 and all(s[p] == full[p] for p in found)
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([([0.0, 0.0, 4.0, 0.0, 4.0, 3.0, 0.0, 3.0],), ([1.0, 2.0, 3.0, 4.0],), (None,)], "p array<double>")
     rows = df.select(G.polygon_box(F.col("p")).alias("b"), G.polygon_area(F.col("p")).alias("a"), G.polygon_length(F.col("p")).alias("n")).collect()

@@ -17,6 +17,10 @@ pair within ``share``:
 * an edit takes away at most three of a text's sets of three letters (1,024 bits a text); seeds that more than ``many`` held-out
   texts have carry these bits too, others are checked by them once the texts are together.
 
+Seeds are sent and joined in ``passes`` by their hash, one after the other: a seed belongs to one pass on both
+sides, so each pair of places is met once, and the shuffle files of a pass are let go before the next, so that the disk
+holds the seeds of one pass at a time. Their places are selected once and kept with the texts, a byte each.
+
 So the time for one seed grows with the product of the texts that hold it on either side, at some nanoseconds a
 pair, and the result doesn't depend on how frequent it is.
 
@@ -59,16 +63,34 @@ def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    c = codes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    c ^= c >> np.uint64(31)
+    c = _letters(codes)
     h = np.zeros(n, np.uint64)
     for i in range(size):
         h = h * _MIX + c[i : i + n]
+    return _stirred(h)
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    c = codes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    c ^= c >> np.uint64(31)
+    return c
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
 
 
+def _hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The rolling hash of the windows at some places only."""
+    c = _letters(codes)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        h = h * _MIX + c[at + i]
+    return _stirred(h)
+
+
 def _selected(h: np.ndarray, length: np.ndarray, start: np.ndarray, size: int, window: int) -> np.ndarray:
     """Places of the minima of every ``window`` neighbouring seeds, for all texts at once; equal minima count alike.
 
@@ -190,12 +212,13 @@ def _classes_once(batches: Iterator[pd.DataFrame], many: int = 8_000) -> Iterato
     for batch in batches:
         if not len(batch):
             continue
-        mark = batch["cls"] ^ (batch["side"].astype("int64") * (1 << 32))
-        fresh = ~(mark.duplicated() | mark.isin(seen))
-        batch = batch[fresh]
         if len(seen) > 200_000:
             seen.clear()
-        seen.update(mark[fresh].tolist())
+        fresh = []
+        for mark in (batch["cls"] ^ (batch["side"].astype("int64") * (1 << 32))).tolist():
+            fresh.append(mark not in seen)
+            seen.add(mark)
+        batch = batch[fresh]
         held.append(batch)
         n += len(batch)
         if n >= many:
@@ -205,15 +228,31 @@ def _classes_once(batches: Iterator[pd.DataFrame], many: int = 8_000) -> Iterato
         yield pd.concat(held, ignore_index=True)
 
 
-def _seeds(batch: pd.DataFrame, seed: int, window: int) -> tuple:
-    """Code points, lengths and starts of the texts; the place, text and hash of each selected seed."""
-    codes, length, start = _flat(batch["key"].tolist())
+def steps(texts: list[str], seed: int, window: int) -> list[bytes]:
+    """The places of the selected seeds of each text, as steps from one to the next: a step is at most ``window``, a byte."""
+    codes, length, start = _flat(texts)
     h = _rolling(codes, seed)
     at = _selected(h, length, start, seed, window) if len(h) else np.empty(0, np.int64)
-    return codes, length, start, at, np.searchsorted(start, at, side="right") - 1, h[at]
+    edges = np.searchsorted(at, np.append(start, len(codes)))
+    step = np.diff(at, prepend=0)
+    first = edges[:-1][np.diff(edges) > 0]
+    step[first] = at[first] - start[np.diff(edges) > 0]
+    data = step.astype(np.uint8).tobytes()
+    return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def seed_counts(members: DataFrame, seed: int, window: int, every: int = 8) -> list[Packed]:
+def _seeds(batch: pd.DataFrame, seed: int) -> tuple:
+    """Code points, lengths and starts of the texts; the place, text and hash of each selected seed."""
+    codes, length, start = _flat(batch["key"].tolist())
+    n = np.fromiter(map(len, batch["steps"]), np.int64, len(batch))
+    upto = np.cumsum(np.frombuffer(b"".join(batch["steps"]), np.uint8), dtype=np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    before = np.append(0, upto)[np.cumsum(n) - n]
+    at = start[text] + upto - before[text]
+    return codes, length, start, at, text, _hashes(codes, at, seed)
+
+
+def seed_counts(members: DataFrame, seed: int, every: int = 8) -> list[Packed]:
     """A bitmap of the held-out seeds, how many seeds of either side fall into each slot, and how often the held-out texts have each letter. The train side is counted by one class of
     ``every``, times ``every``: its counts only say how many parts a seed is split into.
     """
@@ -221,7 +260,7 @@ def seed_counts(members: DataFrame, seed: int, window: int, every: int = 8) -> l
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, counts, letters = np.zeros(BITS // 8, np.uint8), np.zeros((2, SLOTS), np.int64), np.zeros(LETTERS, np.int64)
         for batch in _classes_once(b[(b["side"] == HELD) | (b["cls"] % every == 0)] for b in batches if len(b)):
-            codes, length, _, _, text, h = _seeds(batch, seed, window)
+            codes, length, _, _, text, h = _seeds(batch, seed)
             side = batch["side"].to_numpy()
             letters += np.bincount(np.minimum(codes[np.repeat(side == HELD, length)], LETTERS - 1), minlength=LETTERS)
             held = side[text] == HELD
@@ -230,7 +269,7 @@ def seed_counts(members: DataFrame, seed: int, window: int, every: int = 8) -> l
                 counts[k] += times * np.bincount(_slot(h[held == (k == HELD)]).astype(np.int64), minlength=SLOTS)
         yield from (_parts(0, bits), _parts(1, counts[TRAIN]), _parts(2, counts[HELD]), _parts(3, letters))
 
-    return _collected(members.select("side", "cls", "key").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8, LETTERS * 8])
+    return _collected(members.select("side", "cls", "key", "steps").mapInPandas(mark, PARTS), [BITS // 8, SLOTS * 8, SLOTS * 8, LETTERS * 8])
 
 
 def _beside(codes: np.ndarray, length: np.ndarray, at: np.ndarray, text: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -342,45 +381,63 @@ class Spread:
         return which, key, bucket + half * self.crowded[_slot(h[which]).astype(np.int64)].astype(np.uint64)
 
 
-def _sent(side: int, seed: int, window: int, classes, useful, spread, many: int = 300_000):
-    """The seeds of one side, packed by bucket in parts of some ``many``."""
+def _pass(seeds: np.ndarray, passes: int) -> np.ndarray:
+    return ((seeds * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(40)) % np.uint64(passes)
+
 
-    def pack(parts: list[tuple]) -> pd.DataFrame:
+def _sent(seed: int, turn: int, passes: int, classes, useful, spread, many: int = 300_000):
+    """The seeds that belong to pass ``turn``, packed by side and bucket in parts of some ``many``."""
+
+    def pack(side: int, parts: list[tuple]) -> pd.DataFrame:
         at, grams = 0, []
         for p in parts:
             grams.append(p[6])
             p[5][:] += at
             at += len(p[6])
         grams = np.concatenate(grams)
-        key, bucket, row, place, length, text, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 5, 7))
+        key, bucket, row, place, length, of, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 5, 7))
         by = np.argsort(bucket, kind="stable")
         edges = np.append(np.flatnonzero(np.diff(bucket[by].astype(np.int64), prepend=-1)), len(by))
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             w = by[a:b]
             crowded = int(bucket[w[0]]) >= spread.value.buckets // 2
-            rows.append((int(bucket[w[0]]), 1 - side, b - a, _packed(key[w], row[w], place[w], length[w], counts[w], grams[text[w]] if crowded else None)))
+            rows.append((int(bucket[w[0]]), 1 - side, b - a, _packed(key[w], row[w], place[w], length[w], counts[w], grams[of[w]] if crowded else None)))
         return pd.DataFrame(rows, columns=["bucket", "held_first", "n", "m"])
 
+    def part(side: int, batch: pd.DataFrame) -> tuple | None:
+        if not len(batch):
+            return None
+        codes, length, start, at, text, h = _seeds(batch, seed)
+        keep = np.flatnonzero(_pass(h, passes) == turn)
+        if side == TRAIN:
+            keep = keep[useful.value.has(h[keep])]
+        if not len(keep):
+            return None
+        at, text, h = at[keep], text[keep], h[keep]
+        which, key, bucket = spread.value.rows(side, h, batch["cls"].to_numpy(np.int64)[text])
+        counts = _beside(codes, length, at, text, classes.value)
+        row, place = batch["row"].to_numpy(np.int64)[text], (at - start[text]).astype(np.int32)
+        # letter triples of the texts with crowded seeds, the only ones that carry them
+        full = np.unique(text[spread.value.crowded[_slot(h).astype(np.int64)]])
+        grams = _grams(*_flat(batch["key"].to_numpy()[full].tolist()))
+        return key, bucket, row[which], place[which], length[text].astype(np.int32)[which], np.searchsorted(full, text[which]), grams, counts[which]
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, n = [], 0
+        parts, n = {HELD: [], TRAIN: []}, {HELD: 0, TRAIN: 0}
         for batch in _classes_once(batches):
-            codes, length, start, at, text, h = _seeds(batch, seed, window)
-            if side == TRAIN:
-                keep = useful.value.has(h)
-                at, text, h = at[keep], text[keep], h[keep]
-            if not len(h):
-                continue
-            which, key, bucket = spread.value.rows(side, h, batch["cls"].to_numpy(np.int64)[text])
-            counts = _beside(codes, length, at, text, classes.value)
-            row, place = batch["row"].to_numpy(np.int64)[text], (at - start[text]).astype(np.int32)
-            parts.append((key, bucket, row[which], place[which], length[text].astype(np.int32)[which], text[which], _grams(codes, length, start), counts[which]))
-            n += len(key)
-            if n >= many:
-                yield pack(parts)
-                parts, n = [], 0
-        if n:
-            yield pack(parts)
+            for side in parts:
+                made = part(side, batch[batch["side"] == side])
+                if made is None:
+                    continue
+                parts[side].append(made)
+                n[side] += len(made[0])
+                if n[side] >= many:
+                    yield pack(side, parts[side])
+                    parts[side], n[side] = [], 0
+        for side in parts:
+            if n[side]:
+                yield pack(side, parts[side])
 
     return make
 
@@ -411,10 +468,9 @@ def _by_grams(held: dict, train: dict, i: np.ndarray, j: np.ndarray) -> tuple[np
     return i[ok], j[ok]
 
 
-def _block(held: dict, train: dict, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
-    """The same for all seeds of two slices, class by class over a whole block."""
-    at = lambda d, name, s: d[name][s]
-    outer = lambda f, name: f(at(held, name, a)[:, None], at(train, name, b)[None, :])
+def _block(held: dict, train: dict, a: slice, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a slice of held seeds and some train seeds, class by class over a whole block."""
+    outer = lambda f, name: f(held[name][a][:, None], train[name][b][None, :])
     allowed = outer(np.maximum, "allowed")
     ok = np.abs(outer(np.subtract, "place")) + np.abs(outer(np.subtract, "rest")) <= allowed
     if not ok.any():
@@ -423,19 +479,22 @@ def _block(held: dict, train: dict, a: slice, b: slice) -> tuple[np.ndarray, np.
     small = int(held["length"][a].max()) + int(train["length"][b].max()) < 256
     total = np.zeros(ok.shape, np.uint8 if small else np.uint16)
     one = np.empty(ok.shape, np.uint8)
+    counts = np.take(train["counts"], b, 1)  # each class end to end
     for c in range(2 * CLASSES):
-        np.maximum(held["counts"][c, a][:, None], train["counts"][c, b][None, :], out=one)
+        np.maximum(held["counts"][c, a][:, None], counts[c][None, :], out=one)
         total += one
     ok &= total - outer(np.minimum, "left") - outer(np.minimum, "right") <= allowed
-    i, j = np.nonzero(ok)
-    return _by_grams(held, train, i + a.start, j + b.start)
+    both = np.flatnonzero(ok)
+    return _by_grams(held, train, both // len(b) + a.start, b[both % len(b)])
 
 
-def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
-    """Sorted by key and place, with what the pairs are compared by."""
-    by = np.argsort((d["key"] << np.uint64(24)) | np.minimum(d["place"], (1 << 24) - 1).astype(np.uint64))
-    if len(by) and d["place"].max() >= 1 << 24:
-        by = np.lexsort((d["place"], d["key"]))
+def _ordered(d: dict[str, np.ndarray], share: float, strip: int = 1) -> dict[str, np.ndarray]:
+    """Sorted by key, place in strips, and what is left of the text, with what the pairs are compared by."""
+    at, rest = d["place"] // strip, d["length"] - d["place"]
+    if len(at) and at.max() >= 1 << 12:
+        by = np.lexsort((rest, at, d["key"]))
+    else:
+        by = np.argsort((d["key"] << np.uint64(24)) | (at.astype(np.uint64) << np.uint64(12)) | np.minimum(rest, (1 << 12) - 1).astype(np.uint64))
     d = {k: v[by] for k, v in d.items()}
     two = d["counts"]
     d["by_row"] = np.empty((len(by), 2 * CLASSES), np.uint8)
@@ -453,7 +512,7 @@ def _ordered(d: dict[str, np.ndarray], share: float) -> dict[str, np.ndarray]:
     return d
 
 
-SMALL, MANY, TILE = 4096, 1 << 17, (128, 1024)
+SMALL, MANY, TILE, STRIP = 4096, 1 << 17, (128, 1024), 8
 
 
 def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -473,15 +532,19 @@ def meet(held: dict, train: dict, share: float) -> Iterator[tuple[np.ndarray, np
         wide = np.repeat(n_train[g], w)
         yield _near(held, train, np.repeat(lo[g], w) + k // wide, np.repeat(first[g], w) + k % wide, share)
     for g in np.flatnonzero(work > SMALL).tolist():
-        places = train["place"][first[g] : first[g] + n_train[g]]
-        widest = max(int(held["allowed"][lo[g] : hi[g]].max()), int(train["allowed"][first[g] : first[g] + n_train[g]].max()))
+        of = slice(int(first[g]), int(first[g] + n_train[g]))
+        places, rest, most = train["place"][of].astype(np.int32), train["rest"][of].astype(np.int32), int(train["allowed"][of].max())
         for s in range(int(lo[g]), int(hi[g]), TILE[0]):
             a = slice(s, min(s + TILE[0], int(hi[g])))
-            # a seed moves by at most the allowed edits, so a tile meets a stretch of places
-            x = first[g] + np.searchsorted(places, int(held["place"][a.start]) - widest)
-            y = first[g] + np.searchsorted(places, int(held["place"][a.stop - 1]) + widest, side="right")
-            for t in range(int(x), int(y), TILE[1]):
-                yield _block(held, train, a, slice(t, min(t + TILE[1], int(y))))
+            # a seed moves by at most the allowed edits, and so does the end of its text: a tile meets a stretch of places and of ends
+            widest = max(int(held["allowed"][a].max()), most)
+            if share < 1:  # a longer text is at most so much longer
+                widest = min(widest, int(int(held["length"][a].max()) * share / (1 - share)) + 1)
+            near = [(int(held[k][a].min()) - widest, int(held[k][a].max()) + widest) for k in ("place", "rest")]
+            x, y = np.searchsorted(places, near[0][0]), np.searchsorted(places, near[0][1], side="right")
+            b = of.start + x + np.flatnonzero((rest[x:y] >= near[1][0]) & (rest[x:y] <= near[1][1]))
+            for t in range(0, len(b), TILE[1]):
+                yield _block(held, train, a, b[t : t + TILE[1]])
 
 
 CANDIDATES = "train_row long, held_row long, places long"  # place in the train text * 2**32 + place in the held-out text
@@ -493,7 +556,7 @@ def _joined(share: float, many: int = 500_000):
     def flush(held: list, train: list) -> Iterator[pd.DataFrame]:
         if not held or not train:
             return
-        h, t = held[0] if isinstance(held[0], dict) else _ordered(_unpacked(held), share), _ordered(_unpacked(train), share)
+        h, t = held[0] if isinstance(held[0], dict) else _ordered(_unpacked(held), share, STRIP), _ordered(_unpacked(train), share)
         held[:] = [h]
         for i, j in meet(h, t, share):
             if len(i):
@@ -528,8 +591,8 @@ def read_split(column: str):
     return F.when(s == "train", TRAIN).when(s.isin("val", "exam"), HELD).cast("byte")
 
 
-def keyed(rows: DataFrame, key: str, text: str, split: str, min_chars: int) -> DataFrame:
-    """(id, side, cls, key): the compare key with blanks squeezed, and the class of rows that have the same."""
+def keyed(rows: DataFrame, key: str, text: str, split: str, min_chars: int, seed: int, window: int) -> DataFrame:
+    """(id, side, cls, key, steps): the compare key with blanks squeezed, the class of rows that have the same, and the places of its seeds."""
     source = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), read_split(split).alias("side")).where(
         f"id is not null and text is not null and side is not null and length(text) >= {min_chars}"
     )
@@ -537,10 +600,11 @@ def keyed(rows: DataFrame, key: str, text: str, split: str, min_chars: int) -> D
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["key"] = [" ".join(k.split()) for k in keys_of(batch.pop("text").tolist())] if len(batch) else batch.pop("text")
-            yield batch[batch["key"].str.len() >= min_chars]
+            batch = batch[batch["key"].str.len() >= min_chars]
+            yield batch.assign(steps=steps(batch["key"].tolist(), seed, window))
 
-    made = source.mapInPandas(squeeze, "id long, side byte, key string")
-    return made.select("id", "side", F.xxhash64("key", F.lit(1)).alias("cls"), "key")
+    made = source.mapInPandas(squeeze, "id long, side byte, key string, steps binary")
+    return made.select("id", "side", F.xxhash64("key", F.lit(1)).alias("cls"), "key", "steps")
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -615,24 +679,31 @@ def _edits(ka: list[str], kb: list[str], places: list[np.ndarray], size: int, li
     return total
 
 
-def _candidates(members: DataFrame, share: float, seed: int, window: int, least: int, many: int, bucket_seeds: int = 250_000) -> DataFrame:
+def _candidates(members: DataFrame, share: float, seed: int, least: int, many: int, passes: int, bucket_seeds: int = 250_000) -> DataFrame:
     """(train_row, held_row, places): texts that share a seed and can be near, with the places of the seeds they share."""
-    sc = members.sparkSession.sparkContext
-    side = lambda k: members.where(f"side = {k}").select("row", "side", "cls", "key")
-    useful, *counts, letters = seed_counts(members, seed, window)
+    spark = members.sparkSession
+    sc = spark.sparkContext
+    useful, *counts, letters = seed_counts(members, seed)
     classes = sc.broadcast(letter_classes(letters.bytes().view(np.int64)))
     total = int(sum(c.bytes().view(np.int64).sum() for c in counts))
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * bucket_seeds))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * bucket_seeds * passes))
     useful, spread = sc.broadcast(useful), sc.broadcast(Spread(counts, 8 * parts, least, many))
-    sent = [side(k).mapInPandas(_sent(k, seed, window, classes, useful, spread), SENT) for k in (HELD, TRAIN)]
-    met = sent[0].unionByName(sent[1]).repartition(parts, "bucket").sortWithinPartitions("bucket", "held_first").mapInPandas(_joined(share), CANDIDATES)
-    return written(met.groupBy("train_row", "held_row").agg(F.collect_list("places").alias("places")))
+
+    def met(turn: int) -> DataFrame:
+        sent = members.select("row", "side", "cls", "key", "steps").mapInPandas(_sent(seed, turn, passes, classes, useful, spread), SENT)
+        return written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "held_first").mapInPandas(_joined(share), CANDIDATES))
+
+    found = None
+    for turn in range(passes):
+        one = met(turn)
+        found = one if found is None else found.unionByName(one)
+        release(spark)  # the seeds of this pass
+    return found.groupBy("train_row", "held_row").agg(F.collect_list("places").alias("places"))
 
 
-def class_pairs(members: DataFrame, share: float, seed: int, window: int, least: int = 65_536, many: int = 128) -> DataFrame:
+def class_pairs(members: DataFrame, share: float, seed: int, least: int = 65_536, many: int = 128, passes: int = 2) -> DataFrame:
     """(train_cls, held_cls, distance, longer) of different texts within ``share`` of the longer text."""
-    candidates = _candidates(members, share, seed, window, least, many)
-    release(members.sparkSession)  # the seeds
+    candidates = _candidates(members, share, seed, least, many, passes)
     texts = lambda k, name, key: members.where(f"side = {k}").select(F.col("row").alias(f"{name}_row"), F.col("cls").alias(f"{name}_cls"), F.col("key").alias(key))
     pairs = candidates.join(texts(TRAIN, "train", "ka"), "train_row").join(texts(HELD, "held", "kb"), "held_row").where("train_cls <> held_cls").drop("train_row", "held_row")
 
@@ -655,14 +726,15 @@ def class_pairs(members: DataFrame, share: float, seed: int, window: int, least:
     return made.groupBy("train_cls", "held_cls").agg(F.min("distance").alias("distance"), F.max("longer").alias("longer"))
 
 
-def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536, many: int = 128) -> tuple[DataFrame, DataFrame]:
+def overlaps(rows: DataFrame, key: str, text: str, split: str, *, share: float = 0.15, min_chars: int = 20, seed: int = 12, window: int = 7, least: int = 65_536, many: int = 128, passes: int = 2) -> tuple[DataFrame, DataFrame]:
     """Membership (id, side, cls) and class pairs (train_cls, held_cls, distance, longer), equal texts with distance 0.
 
     ``least``: a seed with more texts than that and than a 4096th of all seeds is split over tasks; ``many``: a seed with more
-    held-out texts than that carries more to compare by. Neither changes the result.
+    held-out texts than that carries more to compare by; ``passes``: so many parts of the seeds are on disk one after the other.
+    None of them changes the result.
     """
-    members = written(keyed(rows, key, text, split, min_chars).withColumn("row", F.monotonically_increasing_id()))
-    near = written(class_pairs(members, share, seed, window, least, many))
+    members = written(keyed(rows, key, text, split, min_chars, seed, window).withColumn("row", F.monotonically_increasing_id()))
+    near = written(class_pairs(members, share, seed, least, many, passes))
     sides = members.groupBy("cls").agg(F.bit_or(F.col("side") + 1).alias("sides"), F.max(F.length("key")).cast("long").alias("longer"))
     same = sides.where("sides = 3").select(
         F.col("cls").alias("train_cls"), F.col("cls").alias("held_cls"), F.lit(0).cast("long").alias("distance"), "longer"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver to let go of what it no longer refers to, so that shuffle files of finished steps leave the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask the driver to let go of what it no longer refers to, so that shuffle files of finished steps leave the executors' disks.
+
+    Twice, as listeners still refer to a step for a moment after its end.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from quillspan.llm import components as C
 from quillspan.llm import leakage as K
@@ -99,6 +100,53 @@ def test_frequent_seeds_lose_no_pair(spark):
         assert {(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", **how)).collect()} == want
 
 
+class _Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_seeds_are_sent_in_passes(spark, monkeypatch):
+    # one pass after the other has a part of the seeds on disk, each seed is in one of them, and no pair is lost
+    rng = random.Random(12)
+    base = _texts(rng, 300)
+    batch = pd.DataFrame({"side": S.HELD, "cls": range(300), "key": base, "row": range(300), "steps": S.steps(base, 12, 7)})
+    classes, spread = _Value(S.letter_classes(np.ones(S.LETTERS, np.int64))), _Value(S.Spread([S.Packed(S.SLOTS * 8, {})] * 2, 8, 64, 3))
+    sent = [pd.concat(S._sent(12, turn, n, classes, None, spread)(iter([batch]))) for n in (1, 3) for turn in range(n)]
+    whole, *parts = [(int(p["n"].sum()), int(p["m"].str.len().sum())) for p in sent]
+    assert sum(n for n, _ in parts) == whole[0] == sum(map(len, batch["steps"])) and max(m for _, m in parts) < 0.5 * whole[1]
+
+    rows = [(i, t, "train") for i, t in enumerate(base[:40])] + [(100 + i, _shake(rng, t, 1), "val") for i, t in enumerate(base[:40])]
+    df = spark.createDataFrame(rows, "i long, t string, s string")
+    let_go = []
+    monkeypatch.setattr(S, "release", let_go.append)
+    found = [{(r.id_a, r.id_b) for r in S.row_pairs(*S.overlaps(df, "i", "t", "s", passes=n)).collect()} for n in (1, 4)]
+    assert found[0] == found[1] >= {(i, 100 + i) for i in range(40)} and len(let_go) == 5
+
+
+def test_steps_are_the_places_of_all_seeds():
+    rng = random.Random(13)
+    texts = ["", "кратко", "x" * 40, *_texts(rng, 50), "ровно двенад"]
+    codes, length, start, at, text, h = S._seeds(pd.DataFrame({"key": texts, "steps": S.steps(texts, 12, 7)}), 12)
+    rolled = S._rolling(codes, 12)
+    want = S._selected(rolled, length, start, 12, 7)
+    assert at.tolist() == want.tolist() and h.tolist() == rolled[want].tolist() and text.tolist() == (np.searchsorted(start, want, side="right") - 1).tolist()
+
+
+def test_tiles_meet_every_near_pair(monkeypatch):
+    rng = np.random.default_rng(14)
+
+    def side(n):
+        length = rng.integers(20, 200, n)
+        place = rng.integers(0, length)
+        return {"key": np.full(n, 7, np.uint64), "row": np.arange(n), "place": place.astype(np.int32), "length": length.astype(np.int32), "counts": np.zeros((n, S.CLASSES), np.uint8)}
+
+    held, train = S._ordered(side(300), 0.15, S.STRIP), S._ordered(side(2500), 0.15)
+    monkeypatch.setattr(S, "_block", lambda held, train, a, b: S._near(held, train, np.repeat(np.arange(a.start, a.stop), len(b)), np.tile(b, a.stop - a.start), 0.15))
+    got = [set(zip(i.tolist(), j.tolist(), strict=True)) for i, j in S.meet(held, train, 0.15)]
+    i, j = S._near(held, train, np.repeat(np.arange(300), 2500), np.tile(np.arange(2500), 300), 0.15)
+    assert sum(map(len, got)) == len(i) and set.union(*got) == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_heading_of_many_texts_loses_no_pair(spark):
     # a heading of 20 characters, then 30 of which three are edited in the twin of the other split
     rng = random.Random(9)

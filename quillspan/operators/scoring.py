@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from pyspark.sql.window import Window
 
 from quillspan.functions import geometry as G
 from quillspan.functions import text as T
-from quillspan.functions.kernels import edit_distance_col, indel_ratio, word_edits_col, word_error_rate
+from quillspan.functions.kernels import edit_distance_col, word_edits_col, word_error_rate
+from quillspan.functions.likeness import like_any, prepared
 from quillspan.session import written
 
 
@@ -163,98 +163,40 @@ def bootstrap(sums: DataFrame, key: str, num: str, den: str, n: int = 1000, othe
     return per.agg(*out, *([((high < 0) | (low > 0)).alias("significant")] if other else []))
 
 
-SEEN_CLASSES, WORDS = 64, 2
-
-
-def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, letter counts by class, and the code points of each text in a row, 0 behind its end."""
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), length)
-    counts = np.bincount(owner * SEEN_CLASSES + codes % SEEN_CLASSES, minlength=len(texts) * SEEN_CLASSES).reshape(-1, SEEN_CLASSES)
-    rows = np.zeros((len(texts), int(length.max(initial=0))), np.int64)
-    rows[owner, np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)] = codes
-    return length, np.minimum(counts, 255).astype(np.uint8), rows
-
-
-def _common_lengths(masks: np.ndarray, i: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Longest common subsequences of many pairs at once: texts of up to 128 letters by their ``masks`` (text, letter, word), and rows of letters (0: none)."""
-    v0, v1 = np.full(len(i), ~np.uint64(0)), np.full(len(i), ~np.uint64(0))
-    for col in range(letters.shape[1]):
-        m = masks[i, letters[:, col]]
-        u0, u1 = v0 & m[:, 0], v1 & m[:, 1]
-        s0 = v0 + u0
-        s1 = v1 + u1 + (s0 < v0)
-        v0, v1 = s0 | (v0 & ~m[:, 0]), s1 | (v1 & ~m[:, 1])
-    return np.bitwise_count(~v0).astype(np.int64) + np.bitwise_count(~v1)
-
-
-def _like_any(asked: list[str], texts: list[str], threshold: float, open_: np.ndarray) -> None:
-    """Close the lines (``open_``) that one of the texts is at least ``threshold`` percent like. Both are sorted by length."""
-    need = threshold / 200.0
-    (la, ca, ra), (lb, cb, rb) = _padded(asked), _padded(texts)
-    alphabet = np.unique(np.append(ra[ra > 0], 0))
-    letter_of = lambda rows: np.where(alphabet[at := np.minimum(np.searchsorted(alphabet, rows), len(alphabet) - 1)] == rows, at, 0)
-    ra, rb = letter_of(ra), letter_of(rb)
-    for s in range(0, len(texts), 512):
-        rows = slice(s, min(s + 512, len(texts)))
-        # lengths of both within the reach of the threshold
-        lo = np.searchsorted(la, np.ceil(lb[rows.start] * need / (1 - need) - 1e-9))
-        hi = np.searchsorted(la, np.floor(lb[rows.stop - 1] * (1 - need) / need + 1e-9), side="right")
-        live = np.flatnonzero(open_[lo:hi]) + lo
-        for t in range(0, len(live), 512):
-            cols = live[t : t + 512]
-            common = np.zeros((len(cols), rows.stop - rows.start), np.uint16)
-            for c in range(SEEN_CLASSES):
-                common += np.minimum(ca[cols, c][:, None], cb[rows, c][None, :])
-            i, j = np.nonzero(common >= need * (la[cols][:, None] + lb[rows][None, :]) - 1e-9)
-            short = la[cols[i]] <= 64 * WORDS
-            for p, q in zip(cols[i[~short]].tolist(), (s + j[~short]).tolist(), strict=True):
-                if open_[p] and indel_ratio(asked[p], texts[q]) >= threshold:
-                    open_[p] = False
-            i, j = i[short], j[short]
-            if not len(i):
-                continue
-            masks = np.zeros((len(cols), len(alphabet), WORDS), np.uint64)
-            for k in range(min(ra.shape[1], 64 * WORDS)):
-                at = ra[cols, k]
-                masks[np.flatnonzero(at), at[at > 0], k // 64] |= np.uint64(1) << np.uint64(k % 64)
-            for x in range(0, len(i), 65_536):
-                p, q = i[x : x + 65_536], s + j[x : x + 65_536]
-                got = _common_lengths(masks, p, rb[q, : int(lb[q].max())])
-                like = 200.0 * got / (la[cols[p]] + lb[q]) >= threshold
-                open_[cols[p[like]]] = False
-
-
-def seen_lines(lines: DataFrame, key: str, text: str, train: DataFrame, train_text: str, threshold: float = 80.0, min_chars: int = 8, block: int = 20_000) -> DataFrame:
+def seen_lines(lines: DataFrame, key: str, text: str, train: DataFrame, train_text: str, threshold: float = 80.0, min_chars: int = 8, block: int = 131_072) -> DataFrame:
     """(key, seen): whether a training text is at least ``threshold`` percent like a line; null for short and null lines.
 
-    The lines are a query set against all training texts, in blocks of ``block`` distinct lines that reach every task (some
-    megabytes); equal texts are found by a join first. A pair is measured unless its lengths, or the letters that both have, rule it
-    out, so nothing is lost; the time grows with lines times training texts, at about a microsecond for a pair that is measured.
+    The lines are a query set against all training texts, in blocks of ``block`` distinct lines that reach every task (some tens of
+    megabytes); equal texts are found by a join first. A pair is measured unless bounds of lengths, letters and letter pairs rule it
+    out (see ``likeness``), so nothing is lost; the time grows with lines times training texts.
     """
     line = lines.select(F.col(key).alias("key"), T.scored_form(F.col(text)).alias("a"))
     a = line.where(F.length("a") >= min_chars).select("a").distinct()
     b = written(train.select(T.scored_form(F.col(train_text)).alias("b")).where("b <> ''").distinct())
-    found = [a.join(b, F.col("a") == F.col("b"), "left_semi")]
-    rest = written(a.join(b, F.col("a") == F.col("b"), "left_anti"))
+    split = written(a.join(b, F.col("a") == F.col("b"), "left").select("a", F.isnotnull("b").alias("equal")))
+    hit, rest = split.where("equal").select("a"), split.where("not equal").select("a")
     n = -(-rest.count() // block)
+    sc = lines.sparkSession.sparkContext
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(n):
         part = rest if n == 1 else rest.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k)
-        given = lines.sparkSession.sparkContext.broadcast(sorted((r.a for r in part.collect()), key=len))  # some ``block`` lines
+        given = sc.broadcast(prepared(sorted(r.a for r in part.collect()), threshold))  # some ``block`` lines
 
         def search(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            asked = given.value
-            open_ = np.ones(len(asked), bool)
-            for batch in batches:
-                if len(batch):
-                    _like_any(asked, sorted(batch["b"].tolist(), key=len), threshold, open_)
-            yield pd.DataFrame({"a": pd.Series([asked[p] for p in np.flatnonzero(~open_)], dtype=object)})
-
-        found.append(b.repartition(parts).mapInPandas(search, "a string"))  # every task has a part of the texts
-    hit = found[0]
-    for f in found[1:]:
-        hit = hit.unionByName(f)
+            yield pd.DataFrame({"a": pd.Series(like_any(given.value, gathered(x["b"] for x in batches)), dtype=object)})
+
+        hit = hit.unionByName(b.repartition(parts).mapInPandas(search, "a string"))  # every task has a part of the texts
     hit = hit.distinct().withColumn("hit", F.lit(True))
     return line.join(hit, "a", "left").select("key", F.when(F.length("a") >= min_chars, F.coalesce("hit", F.lit(False))).alias("seen"))
+
+
+def gathered(batches: Iterable[pd.Series], size: int = 20_000) -> Iterator[list[str]]:
+    """Texts in lists of at least ``size``, the last one aside."""
+    held: list[str] = []
+    for x in batches:
+        held += x.tolist()
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held

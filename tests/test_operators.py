@@ -117,6 +117,58 @@ def test_seen_lines_against_brute_force(spark):
     assert any(v for v in got.values()) and any(v is False for v in got.values())
 
 
+def test_seen_lines_of_one_letter(spark):
+    # more of one letter than a byte counts
+    lines = [(1, "а" * 600 + "б"), (2, "а" * 300 + "б" * 310), (3, "в" * 610)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = scoring.seen_lines(df(lines, "k long, t string"), "k", "t", df([("а" * 600 + "г",), ("б" * 600,)], "t string"), "t")
+    assert {r.key: r.seen for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_likeness_against_brute_force(monkeypatch):
+    import random
+
+    from quillspan.functions import likeness
+    from quillspan.functions.kernels import indel_ratio
+
+    rng, n_like = random.Random(3), 0
+    for letters, most, threshold in (("абвгде ", 12, 80.0), ("abcdefgh ABC,.", 40, 80.0), ("абвгabcd '\x00😀", 12, 60.0), ("".join(map(chr, range(0x4E00, 0x4F90))), 90, 90.0)):
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 8))) for _ in range(30)]
+        texts = [" ".join(rng.choices(words, k=rng.randint(1, most))) for _ in range(120)]
+        lines = set()
+        for i in range(100):
+            t = list(rng.choice(texts)) if i % 2 else list(" ".join(rng.choices(words, k=rng.randint(1, most))))
+            for _ in range(int(len(t) * rng.choice([0, 0.1, 0.18, 0.2, 0.22, 0.25]))):
+                k = rng.randrange(len(t))
+                t[k] = rng.choice(["", "", rng.choice(letters), t[k] + rng.choice(letters)])
+                t = list("".join(t)) or ["x"]
+            lines.add("".join(t))
+        want = {x for x in lines if any(indel_ratio(x, t) >= threshold for t in texts)}
+        n_like += len(want)
+        for sizes in ((4096, 64, 1 << 15, 8192), (7, 3, 20, 5)):  # blocks of some pairs and of a few
+            for name, size in zip(("LINES", "TEXTS", "PAIRS", "SLICE"), sizes, strict=True):
+                monkeypatch.setattr(likeness, name, size)
+            assert set(likeness.like_any(likeness.prepared(sorted(lines), threshold), [texts[:50], [], texts[50:]])) == want
+    assert n_like > 50
+    assert likeness.prepared([], 80.0) == [] and likeness.like_any([], [["текст"]]) == []
+
+
+def test_likeness_measures_few_pairs(monkeypatch):
+    """Sentences of one small set of words: bounds leave fewer than one pair in a hundred to be measured in full."""
+    import random
+
+    from quillspan.functions import likeness
+
+    rng, measured = random.Random(5), []
+    common = likeness._Block._common
+    monkeypatch.setattr(likeness._Block, "_common", lambda self, p, q: measured.append(len(p)) or common(self, p, q))
+    words = ["".join(rng.choices("оаеинтрсвлкмдпуяыьгзбчй", weights=range(23, 0, -1), k=rng.randint(3, 10))) for _ in range(300)]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(8, 11)))
+    lines, texts = [sentence() for _ in range(600)], [sentence() for _ in range(600)]
+    likeness.like_any(likeness.prepared(lines, 80.0), [texts])
+    assert sum(measured) < 0.01 * len(lines) * len(texts)
+
+
 def test_matching(spark):
     box = lambda i, x: ("f", i, "t", float(x), 0.0, float(x) + 10, 10.0)
     schema = "file string, place long, text string, x0 double, y0 double, x1 double, y1 double"

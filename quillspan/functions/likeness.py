@@ -18,12 +18,12 @@ from collections.abc import Iterable
 
 import numpy as np
 
-OWN, POOLS, COMBINATIONS = 40, 8, 256
+OWN, POOLS, COMBINATIONS = 40, 8, 512
 PAIR_BITS, OWN_PAIRS = 512, 400
 #: Lines, texts and pairs that are dealt with at once, and lines that are prepared at once.
-LINES, TEXTS, PAIRS, SLICE = 4096, 64, 1 << 15, 8192
+LINES, TEXTS, PAIRS, SLICE = 2048, 64, 1 << 15, 8192
 #: Letters of a text after which a pair may be given up.
-STOPS = (32, 38, 46)
+STOPS = (32, 38, 44, 52, 60)
 WORD = 64
 
 
@@ -41,6 +41,14 @@ def _script(length: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows >= 128).sum(1) * 8 // np.maximum(length, 1)
 
 
+def _in_order(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts and their lengths; those of one script and of about one length lie together, so that blocks of pairs can be left out."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    script = np.concatenate([_script(*_padded(texts[s : s + SLICE])) for s in range(0, len(texts), SLICE)])
+    order = np.lexsort((length, script))
+    return [texts[k] for k in order], length[order]
+
+
 def _pairs(length: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter pairs of the texts, their ends included, as hashes that also depend on how often the text has the pair already; each
     one's text, and whether it has a letter beyond ASCII."""
@@ -93,19 +101,11 @@ class Lines:
 
     def __init__(self, lines: list[str], threshold: float):
         self.threshold = threshold
-        length = np.fromiter(map(len, lines), np.int64, len(lines))
-        # texts of one script and of about one length lie together, so that blocks of pairs can be left out
-        script = np.concatenate([_script(*_padded(lines[s : s + SLICE])) for s in range(0, len(lines), SLICE)])
-        order = np.lexsort((length, script))
-        self.lines, self.length = [lines[k] for k in order], length[order]
+        self.lines, self.length = _in_order(lines)
         self.alphabet, at = self._alphabet()
         self._classes(at)
         self._frequent_pairs()
-        parts = [self._features(*_padded(self.lines[s : s + SLICE])) for s in range(0, len(lines), SLICE)]
-        rows = np.zeros((len(lines), int(length.max())), parts[0][0].dtype)
-        for k, (letters, _, _) in enumerate(parts):
-            rows[k * SLICE : k * SLICE + len(letters), : letters.shape[1]] = letters
-        self.rows, self.counts, self.bits = rows, np.concatenate([x[1] for x in parts], axis=1), np.concatenate([x[2] for x in parts])
+        self.rows, self.counts, self.bits = self._joined(self.lines)
         self.top = self.counts.max(1)
         self.open = np.ones(len(lines), bool)
 
@@ -147,6 +147,14 @@ class Lines:
         letters = self._letters(rows)
         return letters, self._count(letters), self._bits(*_pairs(length, rows)[:2], len(rows))
 
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters (text, place), counts (class, text) and bits (text) of texts, made slice by slice."""
+        parts = [self._features(*_padded(texts[s : s + SLICE])) for s in range(0, len(texts), SLICE)]
+        rows = np.zeros((len(texts), max(x[0].shape[1] for x in parts)), parts[0][0].dtype)
+        for k, (letters, _, _) in enumerate(parts):
+            rows[k * SLICE : k * SLICE + len(letters), : letters.shape[1]] = letters
+        return rows, np.concatenate([x[1] for x in parts], axis=1), np.concatenate([x[2] for x in parts])
+
     def _letters(self, rows: np.ndarray) -> np.ndarray:
         """Numbers of the letters in the alphabet from 1; 0 for those that no line has, and behind the end."""
         kind = np.min_scalar_type(len(self.alphabet) + 1)
@@ -199,12 +207,11 @@ class Lines:
         texts = [x for x in texts if low <= len(x) <= high]
         if not texts:
             return
-        length, rows = _padded(texts)
-        order = np.lexsort((length, _script(length, rows)))
-        length, rows = length[order], rows[order]
-        letters, counts, bits = self._features(length, rows)
+        texts, length = _in_order(texts)
+        letters, counts, bits = self._joined(texts)
+        letters = np.ascontiguousarray(letters.T)
         sets = self._combinations(counts)
-        size = max(16, LINES * 4 // max(4, -(-int(self.length.max()) // WORD)))
+        size = max(16, LINES * 8 // max(8, -(-int(self.length.max()) // WORD)))
         for s in range(0, len(live), size):
             _Block(self, live[s : s + size], length, letters, counts, bits, sets).search()
 
@@ -252,7 +259,8 @@ class _Block:
                 least, lack = ask[size]
                 hit = np.flatnonzero(acc[x:y] >= least)
                 if len(hit):
-                    q, p = np.divmod(hit, len(la))
+                    q = hit // len(la)
+                    p = hit - q * len(la)
                     q = own[x:y].take(q)
                     apart = self.bits_a.take(p, axis=0)
                     apart ^= self.bits_b.take(q, axis=0)
@@ -282,10 +290,10 @@ class _Block:
         """Where each letter stands in the lines: a word of bits for each line and letter, for each 64 letters of the lines."""
         letters = self.lines.rows[self.at]
         own = np.unique(letters[letters > 0])
-        to = np.zeros(len(self.lines.alphabet) + 1, np.int64)
+        to = np.zeros(len(self.lines.alphabet) + 1, np.min_scalar_type(len(own) + 1))
         to[own] = np.arange(1, len(own) + 1)
         self.width = len(own) + 1
-        self.text = np.ascontiguousarray(to[self.all_letters].T)
+        self.text = to[self.all_letters]
         self.masks = [np.zeros((len(self.at), self.width), np.uint64) for _ in range(self.words)]
         for k in range(int(self.la.max())):
             i = np.flatnonzero(self.la > k)

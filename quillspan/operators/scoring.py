@@ -190,7 +190,7 @@ def seen_lines(lines: DataFrame, key: str, text: str, train: DataFrame, train_te
     return line.join(hit, "a", "left").select("key", F.when(F.length("a") >= min_chars, F.coalesce("hit", F.lit(False))).alias("seen"))
 
 
-def gathered(batches: Iterable[pd.Series], size: int = 20_000) -> Iterator[list[str]]:
+def gathered(batches: Iterable[pd.Series], size: int = 40_000) -> Iterator[list[str]]:
     """Texts in lists of at least ``size``, the last one aside."""
     held: list[str] = []
     for x in batches:

@@ -125,6 +125,28 @@ def test_seen_lines_of_one_letter(spark):
     assert {r.key: r.seen for r in got.collect()} == {1: True, 2: False, 3: False}
 
 
+def test_seen_novel_scores_count_every_like_line(spark, tmp_path):
+    from quillspan.plans import pages
+
+    d = str(tmp_path)
+    lines = [(1, "f", 0, "а" * 600 + "б"), (2, "f", 1, "Новый звонарь построил поляну."), (3, "f", 2, "дом")]
+    labels = [("а" * 600 + "г", " Train"), ("новый  звонарь построил поляну", "exam"), (None, None)]
+    spark.createDataFrame(lines, "line_id long, file string, gi int, text string").write.parquet(f"{d}/gt_line.parquet")
+    spark.createDataFrame(labels, "text string, split string").write.parquet(f"{d}/train_label.parquet")
+    want = {True: 1, False: 1, None: 1}
+    assert {r.seen: r.n_lines for r in pages.seen_novel_scores(spark, d).collect()} == want
+    assert {r.seen: r.n for r in pages.seen_novel(spark, d).collect()} == want
+
+
+def test_gathered():
+    import pandas as pd
+
+    from quillspan.operators.scoring import gathered
+
+    assert list(gathered([pd.Series(["a", "b"]), pd.Series([], dtype=object), pd.Series(["c"]), pd.Series(["d"])], 3)) == [["a", "b", "c"], ["d"]]
+    assert list(gathered([])) == []
+
+
 def test_likeness_against_brute_force(monkeypatch):
     import random
 
